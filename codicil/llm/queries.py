@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codicil.llm import merkle, mixing, packing, secret_scan, token_counts, token_files
+from codicil.llm import merkle, mixing, packing, quality, secret_scan, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         secret_scan.op2_secret_scan,
         mixing.op5_source_mix,
         token_files.op6_token_files,
+        quality.op7_quality_rules,
         packing.op8_best_fit_packing,
         merkle.op9_fingerprints,
         token_counts.op10_token_counts,
