@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codicil.llm import merkle, mixing, packing, quality, secret_scan, token_counts, token_files
+from codicil.llm import merkle, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         secret_scan.op2_secret_scan,
+        ngram_join.op3_ngram_jaccard_join,
         mixing.op5_source_mix,
         token_files.op6_token_files,
         quality.op7_quality_rules,
