@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codicil.llm import merkle, mixing, ngram_join, packing, quality, secret_scan, token_counts, token_files
+from codicil.llm import merkle, mixing, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
+        substring_dedup.op1_substring_dedup,
         secret_scan.op2_secret_scan,
         ngram_join.op3_ngram_jaccard_join,
         mixing.op5_source_mix,
