@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codicil.llm import merkle, mixing, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_files
+from codicil.llm import license_scan, merkle, mixing, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         substring_dedup.op1_substring_dedup,
         secret_scan.op2_secret_scan,
         ngram_join.op3_ngram_jaccard_join,
+        license_scan.op4_license_scan,
         mixing.op5_source_mix,
         token_files.op6_token_files,
         quality.op7_quality_rules,
@@ -18,4 +19,4 @@ QUERIES = {
         token_counts.op10_token_counts,
     )
 }
-ORACLE_SQL = {"op5_source_mix": mixing.OP5_SQL}
+ORACLE_SQL = {"op4_license_scan": license_scan.OP4_SQL, "op5_source_mix": mixing.OP5_SQL}
