@@ -30,3 +30,298 @@ def jump(sections: DataFrame, query: str) -> DataFrame:
     """The first section whose number the query is, with or without `section` before and a dot behind."""
     q = query.strip().upper().removeprefix("SECTION ").strip().removesuffix(".")
     return sections.filter(F.upper("section") == q).orderBy("position").limit(1)
+
+
+# Links and terms ------------------------------------------------------------------------------------------
+
+# Terms that are too common to explain.
+EXCLUDED_TERMS = ["act", "company"]
+#: A glossary of up to this many terms is matched as one pattern; a larger one is joined word by word.
+PATTERN_TERMS = 2000
+
+
+def eligible_terms(glossary: DataFrame) -> DataFrame:
+    """glossary (term, provision_id) without short and common terms."""
+    return glossary.filter((F.length("term") >= 3) & ~F.lower("term").isin(EXCLUDED_TERMS))
+
+
+def single_word_terms(provisions: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(provision_id, term, n): how often each one-word term of the glossary is in a provision's text.
+
+    Words of letters and digits are joined to the terms, so glossary and text may both be large; a provision's
+    own terms are left out.  The texts are summed up per provision and word before the join.
+    """
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    counted = provisions.select("provision_id", F.explode(words).alias("_word")).groupBy("provision_id", "_word").agg(F.count("*").alias("n"))
+    terms = eligible_terms(glossary).select(F.lower("term").alias("_word"), F.col("provision_id").alias("_own"), "term").dropDuplicates(["_word"])
+    return counted.join(terms, "_word").filter(~F.col("_own").eqNullSafe(F.col("provision_id"))).select("provision_id", "term", "n")
+
+
+def term_spans(provisions: DataFrame, terms: list[str]) -> DataFrame:
+    """(provision_id, nth, found): occurrences of any term in list order, leftmost, not overlapping, bounded by other
+    than letters and digits.  For short lists, which become one pattern."""
+    if len(terms) > PATTERN_TERMS:
+        raise ValueError("too many terms for one pattern; use single_word_terms()")
+    pattern = r"(?i)(?<![A-Za-z0-9])(" + "|".join(rf"\Q{t}\E" for t in terms) + r")(?![A-Za-z0-9])"
+    return provisions.select("provision_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("nth", "found"))
+
+
+def cross_references(texts: DataFrame, sections: DataFrame) -> DataFrame:
+    """(from_section, to_section, n, resolved): sections that texts (section, text) mention."""
+    found = texts.select(F.col("section").alias("from_section"), F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\bsection\s+([0-9]+[A-Za-z]?)(?!\w)"), 1)).alias("to_section"))
+    found = found.groupBy("from_section", F.upper("to_section").alias("to_section")).agg(F.count("*").alias("n"))
+    known = sections.select(F.upper("section").alias("to_section")).distinct().withColumn("_known", F.lit(True))
+    return found.join(known, "to_section", "left").select("from_section", "to_section", "n", F.coalesce("_known", F.lit(False)).alias("resolved"))
+
+
+def cited_sources(notes: DataFrame, years: list[str]) -> DataFrame:
+    """(…, year, page): the amendment Acts of a fixed list of years that a note cites, with the page of the first citation."""
+    d = notes.select("*", F.explode(F.array(*map(F.lit, years))).alias("year"))
+    title = F.concat(F.lit(r"(?i)companies\s*(?:\(\s*amendment\s*\)|amendment)\s*(?:act,?\s*)?"), F.col("year"))
+    after = F.when(F.rlike("note", title), F.regexp_replace("note", F.concat(F.lit(r"(?s)\A.*?"), title), F.lit("")))
+    until = F.split(after, r"(?i);\s*(?=(?:inserted|omitted|substituted|amended)\s+by\s+|(?:the\s+)?companies\s*(?:\(\s*amendment\s*\)|amendment))", 2)[0]
+    return d.withColumn("_until", until).filter("_until IS NOT NULL").withColumn("page", F.nullif(F.regexp_extract("_until", r"(?i)PDF\s+page\s+([0-9]+)", 1), F.lit(""))).drop("_until")
+
+
+# Overlays, groups and relations ---------------------------------------------------------------------------
+
+
+def overlay(provisions: DataFrame, nodes: DataFrame, order: str = "node_ord") -> DataFrame:
+    """provisions (section, label, text, status) with curated text and status: verified line, node's text, own text.
+
+    Nodes (section, label, verified_text, current_text, status) match by normalised label, a later node of the
+    same label counting; provisions without a node stay as they are.
+    """
+    n = nodes.groupBy(F.col("section"), X.identifier(F.col("label")).alias("_label")).agg(F.max_by(F.struct("verified_text", "current_text", F.col("status").alias("_status")), order).alias("_n"))
+    d = provisions.withColumn("_label", X.identifier(F.col("label"))).join(n, ["section", "_label"], "left")
+    return d.withColumn("text", F.coalesce("_n.verified_text", "_n.current_text", "text")).withColumn("status", F.coalesce("_n._status", "status")).drop("_n", "_label")
+
+
+def current_and_history(current: DataFrame, historical: DataFrame) -> DataFrame:
+    """(section, identifier, current, historical, position): entries (section, label, text, ord) by normalised label,
+    groups in the order of their first entry, current ones before historical ones."""
+    both = current.withColumn("_kind", F.lit(0)).unionByName(historical.withColumn("_kind", F.lit(1)))
+    key = F.coalesce(F.nullif(X.identifier(F.col("label")), F.lit("")), F.col("label"), F.concat(F.lit("unknown-"), F.col("_kind").cast("string"), F.lit("-"), F.col("ord").cast("string")))
+    texts = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, F.struct("ord", "text")))), lambda x: x["text"]), " | ")
+    g = both.groupBy("section", key.alias("identifier")).agg(texts(0).alias("current"), texts(1).alias("historical"), F.min(F.struct("_kind", "ord")).alias("_first"))
+    at = Window.partitionBy("section").orderBy("_first")
+    return g.withColumn("position", F.row_number().over(at)).drop("_first")
+
+
+def distinct_relationships(edges: DataFrame) -> DataFrame:
+    """The first edge (provision_id, document_id, sort_order) to each document; a null document is one too."""
+    w = Window.partitionBy("provision_id", "document_id").orderBy("sort_order", "relationship_id")
+    return edges.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+
+
+def surplus_relationships(edges: DataFrame) -> DataFrame:
+    """(provision_id, removed): how many edges distinct_relationships() leaves out."""
+    n = edges.groupBy("provision_id").agg(F.count("*").alias("_all"), (F.count_distinct("document_id") + F.max(F.col("document_id").isNull().cast("int"))).alias("_kept"))
+    return n.select("provision_id", (F.col("_all") - F.col("_kept")).alias("removed")).filter("removed > 0")
+
+
+def instrument_categories(kind: Column) -> Column:
+    """Rules and Notifications: a document may be in both or neither."""
+    k = F.lower(F.coalesce(kind, F.lit("")))
+    return F.array_compact(F.array(F.when(F.contains(k, F.lit("rule")), "Rules"), F.when(k.rlike("form|notification|order|circular"), "Notifications")))
+
+
+def tab_counts(edges: DataFrame, callouts: DataFrame) -> DataFrame:
+    """(provision_id, rules, notifications, callouts, amendments, bulbs) of readers' tabs."""
+    tabs = instrument_categories(F.col("instrument_type"))
+    e = distinct_relationships(edges).groupBy("provision_id").agg(F.count_if(F.array_contains(tabs, "Rules")).alias("rules"), F.count_if(F.array_contains(tabs, "Notifications")).alias("notifications"))
+    kind = F.col("callout_type")
+    c = callouts.groupBy("provision_id").agg(F.count_if(~kind.isin("amendment", "bulb")).alias("callouts"), F.count_if(kind == "amendment").alias("amendments"), F.count_if(kind == "bulb").alias("bulbs"))
+    return e.join(c, "provision_id", "full_outer").fillna(0)
+
+
+def refreshed_order(shown: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """Fresh rows: those shown before in their old order, then new ones in theirs (`position`).
+
+    shown (group, key, ord), fresh (group, key, ord, …).
+    """
+    d = fresh.join(shown.select("group", key, F.col("ord").alias("_old")), ["group", key], "left")
+    w = Window.partitionBy("group").orderBy(F.col("_old").isNull(), F.coalesce("_old", "ord"))
+    return d.withColumn("position", F.row_number().over(w)).drop("_old")
+
+
+def family_predecessor(documents: DataFrame, strict: bool = False) -> DataFrame:
+    """documents (id, title, date, text) with predecessor_id: of its family's other documents with text the last by date.
+
+    The other need not be older unless strict.  Within a family only the two last dated documents can be
+    anybody's predecessor, so no family is joined with itself unless strict.
+    """
+    d = documents.withColumn("family", X.family_key(F.col("title"))).withColumn("_day", F.coalesce("date", F.lit("")))
+    has_text = F.coalesce("text", F.lit("")) != ""
+    if strict:
+        w = Window.partitionBy("family").orderBy("_day", "id").rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumn("predecessor_id", F.last(F.when(has_text, F.col("id")), True).over(w)).drop("_day")
+    ranked = d.filter(has_text).withColumn("_nth", F.row_number().over(Window.partitionBy("family").orderBy(F.col("_day").desc(), F.col("id").desc()))).filter("_nth <= 2")
+    last = ranked.groupBy("family").agg(F.max(F.when(F.col("_nth") == 1, F.col("id"))).alias("_last"), F.max(F.when(F.col("_nth") == 2, F.col("id"))).alias("_second"))
+    return d.join(last, "family", "left").withColumn("predecessor_id", F.when(F.col("_last") != F.col("id"), F.col("_last")).otherwise(F.col("_second"))).drop("_last", "_second", "_day")
+
+
+def valid_on(rows: DataFrame, day: Column) -> DataFrame:
+    """Rows whose validity effective_from to effective_to holds the day, both ends inclusive, null ends open."""
+    start, end = F.col("effective_from"), F.col("effective_to")
+    return rows.filter((start.isNull() | (start <= day)) & (end.isNull() | (end >= day)))
+
+
+def live_revisions(revisions: DataFrame, field: str, day: Column) -> DataFrame:
+    """Revisions of a field effective on a day that are neither undone nor undo another."""
+    return revisions.filter((F.col("field_name") == field) & (F.col("effective_date") == day) & F.col("undone_by_revision_id").isNull() & F.col("reverts_revision_id").isNull())
+
+
+def change_history(revisions: DataFrame, query: str = "", field: str | None = None, section: str | None = None) -> DataFrame:
+    """Revisions by substring of all they show, by field or family of fields (`callout_*`), and by section."""
+    blob = F.lower(F.concat_ws(" ", "section", "label", F.col("id").cast("string"), "old_value", "new_value"))
+    d = revisions.filter(F.contains(blob, F.lit(query.lower())))
+    if field:
+        d = d.filter(F.startswith("field_name", F.lit(field[:-1])) if field.endswith("*") else F.col("field_name") == field)
+    return d.filter(F.col("section") == section) if section else d
+
+
+def inbox(feedback: DataFrame, query: str) -> DataFrame:
+    return feedback.filter(F.contains(F.lower(F.concat_ws(" ", "sender_name", "message")), F.lit(query.lower())))
+
+
+def evidence_leaves(rows: DataFrame, column: str) -> DataFrame:
+    """(…, label, text) of a one-level JSON object: keys with blanks for underscores; null and empty values dropped."""
+    d = rows.select("*", F.explode(F.from_json(column, "map<string,string>")).alias("label", "text_value"))
+    return d.filter(F.coalesce("text_value", F.lit("")) != "").withColumn("label", F.replace("label", F.lit("_"), F.lit(" "))).withColumnRenamed("text_value", "value_text")
+
+
+# Order ----------------------------------------------------------------------------------------------------
+
+# Roman numerals.
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def roman_value(c: Column) -> Column:
+    """The value of Roman letters, null for anything else: a smaller one before a larger one counts down."""
+    letters = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    numeral = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
+    values = F.transform(letters, lambda x: numeral[x])
+    total = F.aggregate(F.transform(values, lambda v, i: F.when(v < F.coalesce(F.get(values, i + 1), F.lit(0)), -v).otherwise(v)), F.lit(0), lambda a, v: a + v)
+    return F.when(c.rlike("(?i)^[ivxlcdm]+$"), total)
+
+
+def ordered_labels(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """rows with position in their group: by number if all labels are numbers, by Roman value if all are Roman, else
+    naturally.  The kind is the group's, so that the order is total where comparing pairs is not."""
+    w = Window.partitionBy(group)
+    key = X.identifier(F.col(label))
+    d = rows.withColumn("_k", key).withColumn("_digits", F.min(key.rlike("^[0-9]+$")).over(w)).withColumn("_roman", F.min(key.rlike("^[ivxlcdm]+$")).over(w))
+    number = F.when(F.col("_digits"), F.try_to_number("_k", F.lit("999999999999")).cast("long")).when(F.col("_roman"), roman_value(F.col("_k")).cast("long")).otherwise(0)
+    parts = F.regexp_extract_all("_k", F.lit("([0-9]+|[^0-9]+)"), 1)
+    padded = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "\x1f")
+    natural = F.when(F.col("_digits") | F.col("_roman"), "").otherwise(padded)
+    return d.withColumn("position", F.row_number().over(w.orderBy(number, natural, label))).drop("_k", "_digits", "_roman")
+
+
+def verified_clause_order(clauses: DataFrame, lines: DataFrame) -> DataFrame:
+    """clauses (section, subsection, clause, ord) with position by a verified list of labels (section, line, label).
+
+    A clause's line is the first one of its label after its subsection's line and before the next subsection's;
+    clauses without one come last, in their old order.
+    """
+    at = ["section", "subsection"]
+    labelled = lines.withColumn("_l", X.identifier(F.col("label")))
+    subs = clauses.select(*at).distinct().withColumn("_l", X.identifier(F.col("subsection")))
+    start = labelled.join(subs, ["section", "_l"]).groupBy(*at).agg(F.min("line").alias("_from"))
+    start = start.withColumn("_to", F.lead("_from").over(Window.partitionBy("section").orderBy("_from")))
+    c = clauses.withColumn("_l", X.identifier(F.col("clause"))).join(start, at, "left")
+    line = labelled.select("section", "_l", "line")
+    hit = c.join(line, ["section", "_l"]).filter((F.col("line") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line") < F.col("_to")))).groupBy(*at, "clause").agg(F.min("line").alias("_line"))
+    d = c.join(hit, [*at, "clause"], "left")
+    w = Window.partitionBy(*at).orderBy(F.coalesce("_line", F.lit(2**31 - 1)), "ord")
+    return d.withColumn("position", F.row_number().over(w)).drop("_l", "_from", "_to", "_line")
+
+
+def library_order(documents: DataFrame) -> DataFrame:
+    """documents with position: the latest updated_at first, then the highest id, both as text, null being empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return documents.orderBy(text("updated_at").desc(), text("id").desc())
+
+
+def snapped_anchor(text: Column, offset: Column) -> Column:
+    """struct(offset, kind, quote): the boundary nearest to an offset — ends, ends of sentences and words, the first
+    of equally near ones — with thirty characters on each side."""
+    n = F.length(text)
+    letter = lambda i: F.substring(text, i + 1, F.lit(1)).rlike("[A-Za-z0-9_]")
+    near = F.sequence(F.greatest(F.lit(0), offset - 200), F.least(n, offset + 200))
+    stop = lambda i: F.substring(text, i, F.lit(1)).rlike("[.!?;:]") & F.substring(text, i + 1, F.lit(1)).rlike(r"^(?:\s|)$")
+    bounds = F.filter(near, lambda i: ((i > 0) & (i < n) & (letter(i - 1) != letter(i))) | ((i > 0) & stop(i)))
+    every = F.concat(F.array(F.lit(0), n), bounds)
+    nearest = F.array_min(F.transform(every, lambda i, nth: F.struct(F.abs(i - offset).alias("d"), nth.alias("nth"), i.alias("i"))))["i"]
+    return F.transform(F.array(nearest), lambda best: _anchor(text, n, best))[0]
+
+
+def _anchor(text: Column, n: Column, best: Column) -> Column:
+    kind = F.when(best == n, "end").when(F.substring(text, F.lit(1), best).rlike(r"[.!?;:]\s*$"), "sentence").otherwise("word")
+    start = F.greatest(F.lit(0), best - 30)
+    return F.struct(best.alias("offset"), kind.alias("kind"), F.substring(text, start + 1, F.least(n, best + 30) - start).alias("quote"))
+
+
+# Differences ----------------------------------------------------------------------------------------------
+
+#: Pairs with a larger table than this are not compared but marked.
+MOST_CELLS = 4_000_000
+
+
+def word_diff_operations(old: list[str], new: list[str]) -> list[tuple[str, str]]:
+    """(type, value) runs by a longest common subsequence; at equal lengths removing comes before adding."""
+    import numpy as np
+
+    rows, wide = len(old), len(new)
+    codes: dict[str, int] = {}
+    a = np.array([codes.setdefault(t, len(codes)) for t in old], np.int64)
+    b = np.array([codes.setdefault(t, len(codes)) for t in new], np.int64)
+    table = np.zeros((rows + 1, wide + 1), np.int32)
+    for i in range(rows - 1, -1, -1):
+        # best of skipping old[i] and of matching it, then carried along the row by a running maximum
+        best = np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + 1, 0))
+        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    runs: list[list[str]] = []
+
+    def put(kind: str, value: str) -> None:
+        if runs and runs[-1][0] == kind:
+            runs[-1][1] += value
+        else:
+            runs.append([kind, value])
+
+    i = j = 0
+    while i < rows or j < wide:
+        if i < rows and j < wide and old[i] == new[j]:
+            put("same", old[i])
+            i, j = i + 1, j + 1
+        elif j == wide or (i < rows and table[i + 1, j] >= table[i, j + 1]):
+            put("removed", old[i])
+            i += 1
+        else:
+            put("added", new[j])
+            j += 1
+    return [(k, v) for k, v in runs]
+
+
+def word_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """pairs with diff: array<struct<type,value>>, and quarantined: true where both texts are too long to compare.
+
+    Tokens are white space, runs of letters and digits, and single other characters.  Equal texts are decided
+    without Python.
+    """
+    token = F.lit(r"(\s+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}])")
+    same = F.col(old).eqNullSafe(F.col(new))
+    tokens = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), token, 1)
+    kind = "array<struct<type:string,value:string>>"
+
+    @F.pandas_udf(kind)
+    def runs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"type": k, "value": v} for k, v in word_diff_operations(list(x), list(y))] for x, y in zip(a, b, strict=True)])
+
+    equal = pairs.filter(same).withColumn("quarantined", F.lit(False)).withColumn("diff", F.when(F.coalesce(old, F.lit("")) != "", F.array(F.struct(F.lit("same").alias("type"), F.col(old).alias("value")))).otherwise(F.array().cast(kind)))
+    d = pairs.filter(~same).withColumn("_a", tokens(F.col(old))).withColumn("_b", tokens(F.col(new)))
+    d = d.withColumn("quarantined", (F.size("_a") + 1).cast("long") * (F.size("_b") + 1) > MOST_CELLS)
+    done = d.filter("NOT quarantined").withColumn("diff", runs("_a", "_b"))
+    kept = d.filter("quarantined").withColumn("diff", F.lit(None).cast(kind))
+    return equal.unionByName(done.drop("_a", "_b")).unionByName(kept.drop("_a", "_b"))
