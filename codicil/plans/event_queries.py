@@ -104,7 +104,7 @@ ORACLE_SQL = {
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS largest FROM c GROUP BY user_id""",
     "usage_counts": _USAGE,
     "search_funnel": """WITH u AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(ts) FILTER (event_type = 'click') AS a, max(ts) FILTER (event_type = 'view') AS b, max(ts) FILTER (event_type = 'purchase') AS c FROM events GROUP BY ALL)
-SELECT day, count(a) AS submitted, count_if(b > a) AS completed, count_if(b > a AND c > a) AS selected FROM u GROUP BY day""",
+SELECT day, count(a) AS submitted, count(*) FILTER (b > a) AS completed, count(*) FILTER (b > a AND c > a) AS selected FROM u GROUP BY day""",
     "enriched_events": "SELECT 'web' AS platform, c_mktsegment, count(*) AS n FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY ALL",
     "unread_backlog": _BACKLOG,
     "streamed_usage": _USAGE,

@@ -76,7 +76,7 @@ def subsection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clause_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2: clause texts stitched over their overlaps, first four batches' fragments of every tenth part."""
+    """A1, A2: clause texts stitched over their overlaps; a single fragment stays as it is."""
     return S.merge_clauses(fragments(spark, sf_dir)).withColumn("text", F.md5("text"))
 
 
@@ -199,12 +199,12 @@ ORACLE_SQL = {
 SELECT c1 AS chapter, section, arg_max(title, {{'l': length(title), 'o': -ord}}) AS title, coalesce(arg_min(section_status, ord) FILTER (section_status <> 'active'), 'active') AS status, min(ord) AS position
 FROM p WHERE c1 NOT IN ('', 'N/A') GROUP BY ALL""",
     "subsection_merge": f"WITH {FRAGMENTS} SELECT chapter, section, subsection, coalesce(arg_min(sub_status, ord) FILTER (sub_status <> 'active'), 'active') AS status, min(ord) AS position, count(DISTINCT clause) AS n_clauses FROM r GROUP BY ALL",
-    "clause_merge": f"WITH {FRAGMENTS}, t AS (SELECT chapter, section, subsection, clause, list({_SQUEEZE.format('text')} ORDER BY ord) AS l, min(ord) AS position FROM r GROUP BY ALL) SELECT chapter, section, subsection, clause, md5({_STITCH.format('l')}) AS text, position FROM t",
+    "clause_merge": f"WITH {FRAGMENTS}, t AS (SELECT chapter, section, subsection, clause, list({_SQUEEZE.format('text')} ORDER BY ord) AS l, min(text) AS raw, min(ord) AS position FROM r GROUP BY ALL) SELECT chapter, section, subsection, clause, md5(CASE WHEN len(l) = 1 THEN raw ELSE {_STITCH.format('l')} END) AS text, position FROM t",
     "conversation_stitch": rf"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT 'c' || conv_id AS id, turn, text FROM conversations UNION ALL SELECT 'd' || doc_id, i, array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ') FROM (SELECT doc_id, w, unnest(range(0, len(w) // 40 + 1)) AS i FROM w)),
-t AS (SELECT id, list({_SQUEEZE.format("coalesce(text, '')")} ORDER BY turn, text) AS l FROM p GROUP BY id)
-SELECT id, md5({_STITCH.format('l')}) AS text_md5 FROM t""",
+t AS (SELECT id, list({_SQUEEZE.format("coalesce(text, '')")} ORDER BY turn, text) AS l, min(text) AS raw FROM p GROUP BY id)
+SELECT id, md5(CASE WHEN len(l) = 1 THEN raw ELSE {_STITCH.format('l')} END) AS text_md5 FROM t""",
     "note_union": f"WITH {FRAGMENTS} SELECT section, footnote_ref, {_SQUEEZE.format('note')} AS note, min(ord) AS ord FROM g GROUP BY ALL",
     "chapter_by_content": f"""WITH {FRAGMENTS}, i AS (SELECT chapter, ord // 100000000 AS instance, sum(length(title) + length(text))::BIGINT AS score FROM g GROUP BY ALL)
 SELECT chapter, arg_max(instance, {{'s': score, 'i': -instance}}) AS instance, max(score) AS score, min(instance) AS position FROM i GROUP BY chapter""",
