@@ -37,16 +37,31 @@ def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[i
     return found
 
 
+def shingled(text: str | None, least_words: int) -> list[tuple[int, int, int, np.ndarray, bytes]]:
+    """(start, end, words, shingles, set id) of the paragraphs; a document's words are hashed in one go."""
+    found = paragraphs(text, least_words)
+    if not found:
+        return []
+    hashes = S.word_hashes(" ".join(p for _, _, p, _ in found))
+    ends = np.cumsum([n for *_, n in found])
+    if least_words < S.WORDS_PER_SHINGLE:
+        each = [S.shingles(hashes[e - n : e]) for e, (*_, n) in zip(ends, found, strict=True)]
+    else:  # one run over all words; those that cross into the next paragraph are not looked at
+        every = S.shingles(hashes)
+        each = [every[e - n : e - S.WORDS_PER_SHINGLE + 1] for e, (*_, n) in zip(ends.tolist(), found, strict=True)]
+    return [(start, end, n, s, S.set_id(np.array(sorted(set(s.tolist())), np.uint64))) for (start, end, _, n), s in zip(found, each, strict=True)]
+
+
 def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, start, end, words, id): a row for each paragraph of each document."""
 
     def rows(batches):
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out += [(doc_id, start, end, n, S.set_id(np.unique(S.shingles(S.word_hashes(p))))) for start, end, p, n in paragraphs(text.as_py(), least_words)]
+                out += [(doc_id, start, end, n, i) for start, end, n, _, i in shingled(text.as_py(), least_words)]
             if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "start", "end", "words", "id"])
 
     return docs.mapInArrow(rows, "doc_id long, start long, end long, words long, id binary")
@@ -57,33 +72,27 @@ def banded(docs: DataFrame, least_words: int, bands: int, per_band: int) -> Data
 
     def rows(batches):
         seen: set[bytes] = set()
+        ids, sets, n = [], [], 0
         for b in batches:
-            ids, sets = [], []
             for text in b.column(1):
-                for _, _, p, _ in paragraphs(text.as_py(), least_words):
-                    s = np.unique(S.shingles(S.word_hashes(p)))
-                    if (i := S.set_id(s)) not in seen:
+                for _, _, _, s, i in shingled(text.as_py(), least_words):
+                    if i not in seen:
                         if len(seen) >= MEMO_IDS:
                             seen.clear()
                         seen.add(i)
                         ids.append(i)
                         sets.append(s)
-                if len(ids) > 2000 or (ids and len(sets[-1]) > 4000):
-                    yield of(ids, sets)
-                    ids, sets = [], []
-            if ids:
-                yield of(ids, sets)
+                        n += len(s)
+                        if n > 4096:  # some thousands of shingles at a time
+                            yield of(ids, sets)
+                            ids, sets, n = [], [], 0
+        if ids:
+            yield of(ids, sets)
 
     def of(ids, sets):
-        keys, at = [], 0
-        while at < len(sets):  # some thousands of shingles at a time
-            end, n = at, 0
-            while end < len(sets) and (n == 0 or n + len(sets[end]) <= 4096):
-                n, end = n + len(sets[end]), end + 1
-            starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[at : end - 1]], dtype=np.int64)]).astype(np.int64)
-            keys.append(S.band_keys(S.minhash(np.concatenate(sets[at:end]), bands * per_band, starts), bands, per_band))
-            at = end
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).ravel(), pa.int64()), pa.array([i for i in ids for _ in range(bands)], pa.binary())], names=["bucket", "id"])
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)]).astype(np.int64)
+        keys = S.band_keys(S.minhash(np.concatenate(sets), bands * per_band, starts), bands, per_band)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array([i for i in ids for _ in range(bands)], pa.binary())], names=["bucket", "id"])
 
     return docs.mapInArrow(rows, "bucket long, id binary")
 
