@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs by MinHash bands, exact Jaccard, and components.
 
-A paragraph is a sentence or line of at least LEAST_WORDS words, so that a passage put into another text's
-line still has paragraphs of its own.  Equal paragraphs share a set id; similar ones meet in buckets of
+A paragraph is a sentence of at least LEAST_WORDS words, so that a passage put into another text's line still
+has paragraphs of its own; a line of LEAST_LINE words without such a sentence is one paragraph.  Equal paragraphs share a set id; similar ones meet in buckets of
 MinHash bands, are verified by exact Jaccard similarity of their 5-word shingles, and are clustered by
 connected components.  In each cluster the first occurrence stays and the others are removed.
 """
@@ -18,22 +18,34 @@ from pyspark.sql import functions as F
 from codicil.llm import similar as S
 from codicil.llm.common import cut, documents
 
-LEAST_WORDS = 12
+LEAST_WORDS, LEAST_LINE = 12, 20
 BLOCK = 512
 #: Set ids that a task remembers so that it sends the bands of a repeated paragraph once.
 MEMO_IDS = 500_000
 
-_PARAGRAPH = re.compile(r"[^\n.!?]+[.!?]*")
+_BLANK = " \t\n\r\x0b\x0c"
+_SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 
 
-def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str, int]]:
-    """(start, end, text, words) of the paragraphs, in code points, without white space around."""
-    found = []
-    for m in _PARAGRAPH.finditer(text or ""):
-        p = m[0]
-        if len(p) >= 2 * least_words - 1 and (n := len(p.encode("utf-8", "surrogatepass").split())) >= least_words:
-            left = len(p) - len(p.lstrip())
-            found.append((m.start() + left, m.start() + len(p.rstrip()), p.strip(), n))
+def paragraphs(text: str | None, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> list[tuple[int, int, str, int]]:
+    """(start, end, text, words) of the paragraphs, in code points, without white space around.
+
+    Sentences of at least `least_words` words; of a line without any, the whole line if it has `least_line`.
+    """
+    found: list[tuple[int, int, str, int]] = []
+    at = 0
+    for line in (text or "").split("\n"):
+        if len(line) >= 2 * least_words - 1:
+            before = len(found)
+            for m in _SENTENCE.finditer(line):
+                p = m[0]
+                if len(p) >= 2 * least_words - 1 and (n := len(p.encode("utf-8", "surrogatepass").split())) >= least_words:
+                    left = len(p) - len(p.lstrip(_BLANK))
+                    found.append((at + m.start() + left, at + m.start() + len(p.rstrip(_BLANK)), p.strip(_BLANK), n))
+            if len(found) == before and (n := len(line.encode("utf-8", "surrogatepass").split())) >= least_line:
+                left = len(line) - len(line.lstrip(_BLANK))
+                found.append((at + left, at + len(line.rstrip(_BLANK)), line.strip(_BLANK), n))
+        at += len(line) + 1
     return found
 
 
