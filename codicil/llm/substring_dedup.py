@@ -1,15 +1,16 @@
 """Substring dedup: paragraphs by MinHash bands, exact Jaccard, and components.
 
-A paragraph is a sentence of at least LEAST_WORDS words, so that a passage put into another text's line still
-has paragraphs of its own; a line of LEAST_LINE words without such a sentence is one paragraph.  Equal paragraphs share a set id; similar ones meet in buckets of
-MinHash bands, are verified by exact Jaccard similarity of their 5-word shingles, and are clustered by
-connected components.  In each cluster the first occurrence stays and the others are removed.
+A text is a run of words, line ends being blanks like others, and is cut into paragraphs of LEAST_WORDS words at
+least: around each sentence of so many words, between shorter sentences, and inside very long ones, where a hash
+of the words around says so.  Every cut depends on words nearby alone, so that a passage is cut alike wherever
+it stands, and every word of a text that is long enough is in one paragraph.  Equal paragraphs
+share a set id; similar ones meet in buckets of MinHash bands, are verified by exact Jaccard similarity of
+their 5-word shingles, and are clustered by connected components.  In each cluster the first occurrence stays
+and the others are removed.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,50 +19,104 @@ from pyspark.sql import functions as F
 from codicil.llm import similar as S
 from codicil.llm.common import cut, documents
 
-LEAST_WORDS, LEAST_LINE = 12, 20
+LEAST_WORDS = 12
 BLOCK = 512
 #: Set ids that a task remembers so that it sends the bands of a repeated paragraph once.
 MEMO_IDS = 500_000
 
-_BLANK = " \t\n\r\x0b\x0c"
-_SENTENCE = re.compile(r"[^.!?]+[.!?]*")
+_IS_BLANK, _IS_STOP, _IS_CLOSER = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b".!?", b"\"')]"))
+
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in code points, and whether a sentence ends with it."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.concatenate([[False], ~_IS_BLANK[b], [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = turns[::2], turns[1::2] - 1
+    stops = _IS_STOP[b[last]] | (_IS_CLOSER[b[last]] & _IS_STOP[b[np.maximum(last - 1, first)]])
+    if len(b) == len(text):
+        return first, last + 1, stops
+    points = np.cumsum((b & 0xC0) != 0x80)
+    return points[first] - 1, points[last], stops
 
-def paragraphs(text: str | None, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> list[tuple[int, int, str, int]]:
-    """(start, end, text, words) of the paragraphs, in code points, without white space around.
 
-    Sentences of at least `least_words` words; of a line without any, the whole line if it has `least_line`.
+def unit_edges(hashes: np.ndarray, stops: np.ndarray, least_words: int) -> np.ndarray:
+    """Numbers of the words at which paragraphs start, and the end of the text, which has `least_words` at least.
+
+    Sentences of that length are cut off; fewer words before one go with it, and those at the end with what is before.
+    Other stretches and sentences of twice that length are cut where the hash of the words around is the least
+    nearby, ends of sentences coming first.
     """
-    found: list[tuple[int, int, str, int]] = []
-    at = 0
-    for line in (text or "").split("\n"):
-        if len(line) >= 2 * least_words - 1:
-            before = len(found)
-            for m in _SENTENCE.finditer(line):
-                p = m[0]
-                if len(p) >= 2 * least_words - 1 and (n := len(p.encode("utf-8", "surrogatepass").split())) >= least_words:
-                    left = len(p) - len(p.lstrip(_BLANK))
-                    found.append((at + m.start() + left, at + m.start() + len(p.rstrip(_BLANK)), p.strip(_BLANK), n))
-            if len(found) == before and (n := len(line.encode("utf-8", "surrogatepass").split())) >= least_line:
-                left = len(line) - len(line.lstrip(_BLANK))
-                found.append((at + left, at + len(line.rstrip(_BLANK)), line.strip(_BLANK), n))
-        at += len(line) + 1
-    return found
+    n, least = len(hashes), max(2, least_words)
+    ends = np.unique(np.concatenate([[0], np.flatnonzero(stops) + 1, [n]]))
+    long = np.flatnonzero(np.diff(ends) >= least)
+    edges = np.unique(np.concatenate([[0], ends[long], ends[long + 1], [n]]))
+    short = np.diff(edges) < least
+    drop = np.zeros(len(edges), bool)
+    drop[1:] = short  # the edge behind a short stretch
+    if short[-1] and len(edges) > 2:
+        drop[-2:] = True, False
+    drop[-1] = False
+    edges = edges[~drop]
+    sizes = np.diff(edges)
+    if not (sizes >= 2 * least).any():
+        return edges
+    # keys[g]: of the gap before word g, the largest value where no cut may be
+    place, sizes = np.arange(n) - np.repeat(edges[:-1], sizes), np.repeat(sizes, sizes)
+    reach = least - 1
+    keys = np.full(n + 2 * reach, np.uint64(2**64 - 1))
+    at = np.flatnonzero((place >= least) & (place <= sizes - least))
+    keys[at + reach] = (S.mixed(hashes[at - 1] * S._PLACES[0] + hashes[at] * S._PLACES[1]) >> np.uint64(1)) | np.where(stops[at - 1], np.uint64(0), np.uint64(2**63))
+    best = np.ones(len(at), bool)
+    for k in range(1, reach + 1):
+        best &= (keys[at + reach] < keys[at + reach - k]) & (keys[at + reach] <= keys[at + reach + k])
+    return np.union1d(edges, at[best])
+
+
+def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str, int]]:
+    """(start, end, text, words) of the paragraphs, in code points, without white space around; shorter texts have none."""
+    text = text or ""
+    hashes = S.word_hashes(text)
+    if len(hashes) < max(1, least_words):
+        return []
+    first, last, stops = word_places(text)
+    edges = unit_edges(hashes, stops, least_words)
+    a, b = edges[:-1], edges[1:]
+    return [(s, e, text[s:e], n) for s, e, n in zip(first[a].tolist(), last[b - 1].tolist(), (b - a).tolist(), strict=True)]
 
 
 def shingled(text: str | None, least_words: int) -> list[tuple[int, int, int, np.ndarray, bytes]]:
     """(start, end, words, shingles, set id) of the paragraphs; a document's words are hashed in one go."""
-    found = paragraphs(text, least_words)
-    if not found:
+    text = text or ""
+    hashes = S.word_hashes(text)
+    if len(hashes) < max(1, least_words):
         return []
-    hashes = S.word_hashes(" ".join(p for _, _, p, _ in found))
-    ends = np.cumsum([n for *_, n in found])
+    first, last, stops = word_places(text)
+    edges = unit_edges(hashes, stops, least_words)
+    a, b = edges[:-1], edges[1:]
     if least_words < S.WORDS_PER_SHINGLE:
-        each = [S.shingles(hashes[e - n : e]) for e, (*_, n) in zip(ends, found, strict=True)]
-    else:  # one run over all words; those that cross into the next paragraph are not looked at
+        each = [S.shingles(hashes[i:j]) for i, j in zip(a, b, strict=True)]
+    else:  # one run over all words
         every = S.shingles(hashes)
-        each = [every[e - n : e - S.WORDS_PER_SHINGLE + 1] for e, (*_, n) in zip(ends.tolist(), found, strict=True)]
-    return [(start, end, n, s, S.set_id(np.array(sorted(set(s.tolist())), np.uint64))) for (start, end, _, n), s in zip(found, each, strict=True)]
+        each = [every[i : j - S.WORDS_PER_SHINGLE + 1] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    return list(zip(first[a].tolist(), last[b - 1].tolist(), (b - a).tolist(), each, set_ids(each), strict=True))
+
+
+def set_ids(sets: list[np.ndarray]) -> list[bytes]:
+    """An id for each set of shingles, whatever their order and repetitions: two sums of what a hash makes of them."""
+    n = np.array([len(s) for s in sets])
+    every, unit = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((every, unit))
+    every, starts = every[order], np.cumsum(n) - n
+    again = np.concatenate([[False], every[1:] == every[:-1]])
+    again[starts] = False
+    sums = np.empty((len(sets), 2), np.uint64)
+    for k in range(2):
+        x = S.mixed(every * S._PLACES[2 + k] + S._PLACES[4 + k])
+        x[again] = 0
+        sums[:, k] = np.add.reduceat(x, starts)
+    ids = sums.tobytes()
+    return [ids[i : i + S.ID_BYTES] for i in range(0, len(ids), 16)]
 
 
 def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
@@ -104,28 +159,28 @@ def banded(docs: DataFrame, least_words: int, bands: int, per_band: int) -> Data
     def of(ids, sets):
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)]).astype(np.int64)
         keys = S.band_keys(S.minhash(np.concatenate(sets), bands * per_band, starts), bands, per_band)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array([i for i in ids for _ in range(bands)], pa.binary())], names=["bucket", "id"])
+        at = pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), bands))
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids, pa.binary()).take(at)], names=["bucket", "id"])
 
     return docs.mapInArrow(rows, "bucket long, id binary")
 
 
 def collisions(dealt: DataFrame) -> DataFrame:
-    """(bucket, id) of buckets with two different ids at least, each id once, from rows sorted by both.
+    """(bucket, key) of buckets with two different keys at least, each key once, from rows sorted by both.
 
-    The rows stream through; only the bucket's first id waits for a second one.
+    The rows stream through; only the bucket's first key waits for a second one.
     """
 
     def rows(batches):
         bucket = first = last = None
         shared = False
         for b in batches:
-            keys, ids = b.column(0).to_numpy(), b.column(1)
+            buckets, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             # a row matters if its bucket is the same as that of the row before or after
-            same = keys[1:] == keys[:-1]
+            same = buckets[1:] == buckets[:-1]
             near = np.concatenate([[True], same]) | np.concatenate([same, [True]])
             out = []
-            for i in np.flatnonzero(near):
-                k, x = int(keys[i]), ids[int(i)].as_py()
+            for k, x in zip(buckets[near].tolist(), keys[near].tolist(), strict=True):
                 if k != bucket:
                     bucket, first, last, shared = k, x, x, False
                 elif x != last:
@@ -135,9 +190,11 @@ def collisions(dealt: DataFrame) -> DataFrame:
                         shared = True
                     out.append((k, x))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["bucket", "key"])
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(rows, "bucket long, id binary")
+    # ids are dealt as their hashes, which are shorter; different ids of one hash are all taken for it
+    keyed = dealt.select("bucket", F.xxhash64("id").alias("key"))
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(rows, "bucket long, key long")
 
 
 def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -172,7 +229,7 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = S.THRESHOLD, least_
 
     doc_id, start, end (code points of the text, end exclusive), words, class_doc_id and class_start (the
     cluster's first occurrence by doc_id, then start), n_occurrences of the cluster, removed (false for the
-    first occurrence).  Null and empty texts and shorter paragraphs give no rows, documents without repeated
+    first occurrence).  Null and empty texts and those of fewer words give no rows, documents without repeated
     paragraphs none either; repeated rows of docs are occurrences of their own, of which all but one are
     removed if they tie.  An empty table gives no rows.  A null doc_id comes first.
     """
@@ -182,6 +239,7 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = S.THRESHOLD, least_
     place = F.struct("doc_id", "start", "end")
     sets = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first")), "paragraph-sets")
     met = cut(collisions(banded(d, least_words, bands, per_band)), "collisions")
+    met = met.join(sets.select("id", F.xxhash64("id").alias("key")), "key").select("bucket", "id")
     wanted = met.select("id").distinct().join(sets, "id").select("id", "first.*")
     # whose text: one occurrence of each colliding paragraph, taken out of its document
     texts = d.join(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("id", "start", "end")).alias("of")).withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))

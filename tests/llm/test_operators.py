@@ -76,6 +76,45 @@ def test_op1_odd(spark, odd, nothing):
     assert all("thirteen" not in r.text for r in cleaned.filter("doc_id = 6").collect())
 
 
+def shared_runs(texts, n=50):
+    """(key, word, key, word, length) of maximal runs of n words or more that two texts share, by brute force."""
+    words, at, found = {k: WORD.findall(t or "") for k, t in texts.items()}, collections.defaultdict(list), set()
+    for k, w in words.items():
+        for i in range(len(w) - n + 1):
+            at[tuple(w[i : i + n])].append((k, i))
+    for places in at.values():
+        for (a, i), (b, j) in itertools.combinations(places, 2):
+            x, y = words[a], words[b]
+            if a == b or (i and j and x[i - 1] == y[j - 1]):
+                continue
+            m = n
+            while i + m < len(x) and j + m < len(y) and x[i + m] == y[j + m]:
+                m += 1
+            found.add((a, i, b, j, m))
+    return words, found
+
+
+def test_op1_shared_runs_hold_a_whole_paragraph(texts):
+    """Also passages of short sentences next to a long one, hard-wrapped ones, and ones without a stop within a line."""
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    short = " ".join(" ".join(some(5)) + "." for _ in range(20))
+    wrapped = "\n".join(" ".join(some(8)) for _ in range(13))
+    plain = " ".join(some(100))
+    cases = {}
+    for name, p in (("short", short), ("wrapped", wrapped), ("plain", plain)):
+        for k in range(2):
+            cases[f"{name}{k}"] = " ".join(some(23 + 4 * k)) + (". " if name == "short" else " ") + p + " " + " ".join(some(17 + k)) + "."
+    for part, least in ((cases, 1.0), (texts, 0.9)):
+        words, runs = shared_runs(part)
+        spans = {}
+        for k, t in part.items():
+            starts = {m.start(): i for i, m in enumerate(WORD.finditer(t or ""))}
+            spans[k] = {(starts[s], starts[s] + n) for s, _, _, n in substring_dedup.paragraphs(t)}
+        held = [bool({(s - i, e - i) for s, e in spans[a] if i <= s and e <= i + m} & {(s - j, e - j) for s, e in spans[b] if j <= s and e <= j + m}) for a, i, b, j, m in runs]
+        assert len(runs) >= 3 and sum(held) >= least * len(held)
+
+
 def brute_base(text):
     found = [(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
