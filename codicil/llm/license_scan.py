@@ -2,14 +2,18 @@
 
 Headers (single lines) and licence files (whole texts) are compared with templates by the cosine of sparse
 TF-IDF vectors.  Document frequencies of the templates' words come from all documents; any other word has
-the weight of a word seen nowhere.  Lines are looked up by rare template words, as in an inverted index: a
-line of common words alone has no weight to reach the threshold.  Documents without a licence of their own
+the weight of a word seen nowhere.  Lines and texts are looked up by the templates' heaviest words, as in an
+inverted index: without any of those, the rest of a template is too light to reach the threshold.  Documents without a licence of their own
 inherit that of the nearest ancestor directory with a licence file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.llm.common import cut, documents
@@ -30,7 +34,7 @@ TEMPLATES = [
 ]
 #: Least cosine of a header with a template, and of a whole text for it to be a licence file.
 HEADER_COSINE, FILE_COSINE = 0.7, 0.35
-#: A template word is rare if at most this share of the documents has it.
+#: Used by OP4_SQL alone: there, lines and texts are looked up by words that at most this share of the documents has.
 RARE_SHARE = 0.05
 
 
@@ -44,7 +48,22 @@ def template_words(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return t.select("template", "license", F.explode(tokens(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
 
 
-def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE, rare_share: float = RARE_SHARE) -> DataFrame:
+def heaviest_words(templates, idf: dict[str, float], cosine: float) -> list[str]:
+    """Words of which a text must have one for the cosine with any template: of each template the heaviest ones,
+    until what is left is too short a vector (Cauchy-Schwarz), however many documents have them."""
+    found: set[str] = set()
+    for _, text in templates:
+        tf = Counter(re.findall("[a-z0-9]+", text.lower()))
+        weights = sorted(((n * idf[w]) ** 2, w) for w, n in tf.items())
+        least, left = max(0.0, cosine - 1e-5) ** 2 * sum(x for x, _ in weights), 0.0
+        for x, w in weights:
+            left += x
+            if left >= least:
+                found.add(w)
+    return sorted(found)
+
+
+def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE, rare_share: float | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text, path): license, cosine, origin, line, from_doc_id, path.
 
     origin: 'file' if the whole text is like a template (line null), 'header' if a line is (line: the first
@@ -52,7 +71,7 @@ def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER
     directory, else 'none'.  The best cosine wins, ties by the first template and line.  Of several licence
     files in a directory the best one counts, ties by the lowest doc_id.  Null and empty texts have no
     licence of their own; a null path inherits none.  Rows are told apart by doc_id: rows that repeat one
-    share the best licence of them.  An empty table gives no rows.
+    share the best licence of them.  An empty table gives no rows.  rare_share has no effect any more.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "path")
@@ -64,17 +83,18 @@ def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER
     found = has.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     n_docs = d.count()
     df = {w: 0 for w in vocabulary} | {r["word"]: r["df"] for r in found.collect()}  # a row for each template word at most
-    rare = F.array(*[F.lit(w) for w in vocabulary if df[w] <= rare_share * n_docs]).cast("array<string>")
+    idf = {w: math.log((1 + n_docs) / (1 + n)) + 1 for w, n in df.items()}
+    of_lines, of_texts = (F.array(*map(F.lit, heaviest_words(templates, idf, c))).cast("array<string>") for c in (header_cosine, file_cosine))
     words = words_of.join(spark.createDataFrame(list(df.items()), "word string, df long"), "word").withColumn("idf", F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
     norms = words.groupBy("template").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("t_norm"))
     words = F.broadcast(words.join(norms, "template").select("template", "license", "word", "idf", F.col("tf").alias("t_tf"), "t_norm"))
     idfs = F.broadcast(words.select("word", "idf").distinct())
     unseen = F.log(F.lit(1.0 + n_docs)) + 1
 
-    # lines with a rare word, and the whole text of their documents
-    marked = d.filter(F.arrays_overlap(tokens(F.col("text")), rare)).select("doc_id", F.posexplode(F.split(F.concat_ws("\n", "text"), "\n")).alias("line", "unit"), "text")
-    lines = marked.select("doc_id", F.col("line").cast("long").alias("line"), tokens(F.col("unit")).alias("w")).filter(F.arrays_overlap("w", rare))
-    wholes = d.filter(F.arrays_overlap(tokens(F.col("text")), rare)).select("doc_id", F.lit(-1).cast("long").alias("line"), tokens(F.col("text")).alias("w"))
+    # lines and whole texts with a heavy word
+    marked = d.filter(F.arrays_overlap(tokens(F.col("text")), of_lines)).select("doc_id", F.posexplode(F.split(F.concat_ws("\n", "text"), "\n")).alias("line", "unit"), "text")
+    lines = marked.select("doc_id", F.col("line").cast("long").alias("line"), tokens(F.col("unit")).alias("w")).filter(F.arrays_overlap("w", of_lines))
+    wholes = d.filter(F.arrays_overlap(tokens(F.col("text")), of_texts)).select("doc_id", F.lit(-1).cast("long").alias("line"), tokens(F.col("text")).alias("w"))
     units = cut(lines.unionByName(wholes).withColumn("unit", F.monotonically_increasing_id()), "licence-units")
     counted = units.select("unit", "doc_id", "line", F.explode("w").alias("word")).groupBy("unit", "doc_id", "line", "word").agg(F.count("*").alias("tf"))
     weighted = counted.join(idfs, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).select("unit", "doc_id", "line", "word", "w")
@@ -87,11 +107,13 @@ def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER
 
     # directories with a licence file, then each directory's nearest ancestor among them
     directory = F.regexp_replace("path", "/?[^/]*$", "")
+    directory = F.when(F.startswith("path", F.lit("/")) & (directory == ""), "/").otherwise(directory)
     at = own.filter("own.line < 0").join(d.select("doc_id", directory.alias("dir")), "doc_id").filter("dir IS NOT NULL")
     files = at.groupBy("dir").agg(F.max_by(F.struct(F.col("own.license").alias("license"), F.col("doc_id").alias("from_doc_id")), F.struct("own.cosine", (-F.col("doc_id")).alias("d"))).alias("file"))
     dirs = d.select(directory.alias("dir")).filter("dir IS NOT NULL").distinct()
     parts = F.split("dir", "/")
-    above = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("p")).select("dir", "depth", F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("above"))
+    above = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("p")).select("dir", "depth", F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("above"))
+    above = above.withColumn("above", F.when((F.col("above") == "") & F.startswith("dir", F.lit("/")), "/").otherwise(F.col("above")))  # '' is above all relative paths, / above the others
     near = above.join(files.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by("file", "depth").alias("file"))
 
     out = d.select("doc_id", "path", directory.alias("dir")).join(own, "doc_id", "left").join(near, "dir", "left")

@@ -206,6 +206,13 @@ def test_op4_odd(spark, odd, nothing):
     assert license_scan.licences(nothing).count() == 0
 
 
+def test_op4_words_of_a_hot_header_and_of_small_tables(spark):
+    rows = [(i, "Released under the MIT License.\nbody of " + f"x{i}", f"a/b/{i}.txt") for i in range(3)] + [(3, "something else", "a/c/3.txt"), (4, "Licensed under CC BY-NC 4.0.", "LICENSE"), (5, "nothing here", "/z/5.txt")]
+    got = {r.doc_id: r for r in license_scan.licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert all(got[i].license == "MIT" for i in range(3)) and got[4].origin == "file"
+    assert (got[3].origin, got[3].from_doc_id) == ("inherited", 4) and got[5].origin == "none"
+
+
 def test_op5_targets(spark, odd, nothing):
     sizes = {"a": 100, "b": 1, "c": 50, "d": 0, None: 1000}
     rows = [(k, v) for k, v in sizes.items()]
