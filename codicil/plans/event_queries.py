@@ -61,8 +61,10 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest kept by a restartable stream."""
     path = shared_path(spark, "ingest")
     rows = E.event_stream(spark, f"{sf_dir}/events*.parquet").selectExpr("event_id AS seq", "cast(user_id AS string) AS document_id", "event_type AS particulars", "event_type AS status")
-    E.ingest(rows, lambda d: M.upsert(d, ["particulars"]), f"{path}/table", f"{path}/checkpoint")
-    return spark.read.schema(rows.schema).parquet(f"{path}/table/batch=0")
+    last = E.ingest(rows, lambda d: M.upsert(d, ["particulars"]), f"{path}/table", f"{path}/checkpoint")
+    if last is None:
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(f"{path}/table/batch={last}")
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,8 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests as CSV files below one root; the later row wins."""
     path = shared_path(spark, "manifests")
     rows = table(spark, sf_dir, "events").selectExpr("CASE WHEN event_id % 6 = 0 THEN '' ELSE cast(event_id AS string) END AS document_id", "concat('f', user_id, '.pdf') AS filename", "'2015-01-01' AS date", "event_type AS particulars", "'downloaded' AS status", "event_id AS seq")
-    rows.coalesce(1).write.option("header", "true").csv(path)
+    # files in the order of seq, since the later manifest wins
+    rows.repartitionByRange("seq").write.option("header", "true").csv(path)
     return I.latest_ids(I.scan_manifests(spark, path))
 
 

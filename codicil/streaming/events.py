@@ -82,17 +82,21 @@ def run_to_table(result: DataFrame, name: str) -> DataFrame:
             number -= 1
 
 
-def ingest(stream: DataFrame, upsert, path: str, checkpoint: str) -> None:
+def ingest(stream: DataFrame, upsert, path: str, checkpoint: str) -> int | None:
     """A restartable upsert: each batch is merged with the table so far and written under the batch's number.
 
-    upsert(rows) gives the rows that stay.  The table after batch n is path/batch=n.
+    upsert(rows) gives the rows that stay.  The table after batch n is path/batch=n; returns the number of the last
+    batch written, None if there was nothing new.
     """
     spark = stream.sparkSession
+    written: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch
         if number > 0:
             rows = spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}").unionByName(batch)
         upsert(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        written.append(number)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return written[-1] if written else None

@@ -234,6 +234,16 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     assert got == {(2, "b", "y", "new"), (3, "a", "x", "done")}
 
 
+def test_streamed_ingest_reads_the_last_batch(spark, tmp_path):
+    from codicil.plans import event_queries as Q
+
+    for k in range(6):
+        d = spark.createDataFrame([(10 * k + u, u, f"e{k}", 1.0, "{}") for u in (k, 99)], "event_id long, user_id long, event_type string, value double, props string")
+        d.selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/events{k}.parquet")
+    got = {(r.document_id, r.particulars) for r in Q.streamed_ingest(spark, str(tmp_path)).collect()}
+    assert got == {*((str(k), f"e{k}") for k in range(6)), ("99", "e5")}
+
+
 def test_corpus_scan_and_manifests(spark, tmp_path):
     for name, body in (("a/One.pdf", b"xx%PDF-1.4 body"), ("a/Debug/two.pdf", b"%PDF-"), ("b/three.pdf", b"none"), ("b/x.txt", b"")):
         p = tmp_path / "docs" / name
