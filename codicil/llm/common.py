@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all is one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codicil-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -25,11 +28,65 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/codicil-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again, so that a lost executor costs only what follows."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows, written to the shared folder and read again, and where they are."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read again, so that a lost executor costs only what follows."""
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that written() made and that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dealt_anew(key: str, binary: bool = True) -> Column:
+    """The same key, a binary or else a long column, as one by which rows are not dealt yet.
+
+    A join by it shuffles both sides for itself, so that Spark splits a key that very many rows have
+    (adaptive skew join); it cannot if a side is an aggregate by the same key.
+    """
+    return F.expr(f"concat({key}, X'')" if binary else f"{key} ^ 0L").alias(key)
+
+
+#: Bytes of keys and values, with what Python adds, that a Python worker remembers in one memo.
+MEMO_BYTES = 64_000_000
+
+
+class Memo(dict):
+    """What `make` gives for texts or bytes, up to a bound on the memory; it starts anew beyond."""
+
+    def __init__(self, make, most_bytes: int = MEMO_BYTES, longest: int = 64):
+        super().__init__()
+        self._make, self._most, self._longest, self._bytes = make, most_bytes, longest, 0
+
+    def __missing__(self, key):
+        value = self._make(key)
+        if len(key) <= self._longest:
+            self._bytes += 200 + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self._bytes > self._most:
+                self.clear()
+                self._bytes = 200
+            self[key] = value
+        return value
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """make(), once per Python worker as long as it goes on with the same key: a worker that Spark reuses for
+    another operator lets go of the vocabularies and memos of the one before."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def words(text: Column) -> Column:

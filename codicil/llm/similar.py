@@ -15,47 +15,59 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codicil.llm.common import cut
+from codicil.llm.common import dealt_anew, discard, written
 
 WORDS_PER_SHINGLE = 5
 THRESHOLD = 0.8
 ID_BYTES = 12
-#: Different words whose hashes one Python worker remembers.
-MEMO_WORDS = 1_000_000
+#: Bytes of text whose words are hashed in one go.
+SLICE_BYTES = 1 << 16
 
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h
-        return h
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-_HASHES = _WordHashes()
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash per word; words are runs of other than ASCII white space, as bytes.split() has them."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))
 
 
+def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last byte of each word; words are runs of other than ASCII white space, as bytes.split() has them."""
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = ~_BLANK[b]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2] - 1
+
+
+def hashed_words(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: of the sum of what a hash makes of its bytes and their places, some bytes at a time."""
+    out, lo = np.empty(len(first), np.uint64), 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + SLICE_BYTES)))
+        part, starts = b[first[lo] : last[hi - 1] + 1], first[lo:hi] - first[lo]
+        place = np.arange(len(part)) - np.repeat(starts, np.diff(starts, append=len(part)))
+        x = mixed(((place << 8) | part).astype(np.uint64) * _PLACES[6] + _PLACES[7])
+        x[_BLANK[part]] = 0
+        out[lo:hi] = mixed(np.add.reduceat(x, starts))
+        lo = hi
+    return out
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash per word."""
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return hashed_words(b, *word_bounds(b))
+
+
 def shingles(hashes: np.ndarray, n: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """Hashes of the n-word runs in order; of fewer words than n, one of all of them."""
     if not len(hashes):
@@ -68,6 +80,13 @@ def shingles(hashes: np.ndarray, n: int = WORDS_PER_SHINGLE) -> np.ndarray:
     return mixed(out)
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different shingles of a text, sorted."""
+    s = shingles(word_hashes(text))
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def set_id(sorted_shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(sorted_shingles.tobytes(), digest_size=ID_BYTES).digest()
 
@@ -75,27 +94,32 @@ def set_id(sorted_shingles: np.ndarray) -> bytes:
 @lru_cache
 def _factors(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**64, (k, 1), np.uint64) | np.uint64(1), rng.integers(0, 2**64, (k, 1), np.uint64)
+    return rng.integers(1, 2**32, k, np.uint32) | np.uint32(1), rng.integers(0, 2**32, k, np.uint32)
 
 
 def minhash(hashes: np.ndarray, k: int, starts: np.ndarray | None = None) -> np.ndarray:
-    """k minima of the shingles; with starts, a column for each run of shingles that starts there."""
+    """(k, units) minima in 32 bits of the shingles, a unit being a run of shingles that begins at one of `starts`.
+
+    One hash function after the other goes over all shingles in one buffer, so memory grows with those alone.
+    """
     a, b = _factors(k)
     starts = np.zeros(1, np.int64) if starts is None else starts
-    if len(hashes) <= 4096:
-        return np.minimum.reduceat(hashes[None, :] * a + b, starts, axis=1)
-    return np.stack([np.minimum.reduceat(hashes * a[i, 0] + b[i, 0], starts) for i in range(k)])
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    hashed, out = np.empty_like(x), np.empty((k, len(starts)), np.uint32)
+    for i in range(k):
+        np.multiply(x, a[i], out=hashed)
+        np.add(hashed, b[i], out=hashed)
+        np.minimum.reduceat(hashed, starts, out=out[i])
+    return out
 
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(units, bands) keys from (k, units) minima; a band's number is part of its key."""
-    keys = np.empty((minima.shape[1], bands), np.int64)
-    for j in range(bands):
-        x = np.full(minima.shape[1], j + 1, np.uint64)
-        for i in range(rows):
-            x = mixed(x * _PLACES[0] + minima[j * rows + i])
-        keys[:, j] = x.view(np.int64)
-    return keys
+    of = minima[: bands * rows].reshape(bands, rows, -1).astype(np.uint64)
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], of.shape[2], axis=1)
+    for i in range(rows):
+        keys = mixed(keys * _PLACES[0] + of[:, i])
+    return np.ascontiguousarray(keys.T).view(np.int64)
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = 0.996, unlike: float = 0.2, false: float = 0.07) -> tuple[int, int]:
@@ -118,48 +142,56 @@ def shared_buckets(units: DataFrame) -> DataFrame:
     """(bucket, id, size) of buckets that at least two of the units (id, bands) are in."""
     dealt = units.select(F.explode("bands").alias("bucket"), "id")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return dealt.join(sizes, "bucket")
+    return dealt.join(sizes.select(dealt_anew("bucket", binary=False), "size"), "bucket")
 
 
-def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
-    """members (group, id, size, ...) as rows of pairs of blocks: columns bi <= bj, and mine, the row's own.
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """members (group, id, ...) as rows of pairs of blocks: columns bi <= bj, and mine, the row's own.
 
-    A group of up to `block` members is the pair (0, 0).  Larger ones are split by a hash of the id, and a
-    row goes to as many pairs as there are blocks.
+    blocks: how many the row's group is split into, by a hash of the id.  A group of one block is the pair
+    (0, 0); a row of a larger one goes to as many pairs as there are blocks.
     """
-    n = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
-    d = members.withColumn("mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    d = d.withColumn("bi", F.least("mine", "_other")).withColumn("bj", F.greatest("mine", "_other")).drop("_other", "size")
-    return d.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj", "id")
+    n = F.greatest(F.lit(1), blocks).cast("int")
+    d = members.withColumn("_n", n).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("_n").cast("long")).cast("int"))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return d.withColumn("bi", F.least("mine", "_other")).withColumn("bj", F.greatest("mine", "_other")).drop("_other", "_n")
+
+
+def together(blocks: DataFrame, group: str) -> DataFrame:
+    """Rows of in_blocks(), each pair of blocks side by side in one task."""
+    return blocks.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj", "id")
 
 
 class Forest:
-    """Union-find over positions."""
+    """Which trees positions are in, as labels, so that many are looked up at once."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.tree = np.arange(n)
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that are in other trees than i."""
+        return others[self.tree[others] != self.tree[i]]
 
     def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
+        a, b = self.tree[i], self.tree[j]
+        if a == b:
             return False
-        self.up[max(i, j)] = min(i, j)
+        self.tree[self.tree == max(a, b)] = min(a, b)
         return True
 
 
-def block_groups(batches, keys: int):
-    """Rows, as tuples, of each run of equal first `keys` columns, however runs and batches fall."""
+def block_groups(batches, keys: int, last=None):
+    """Rows, as tuples, of each run of equal first `keys` columns, however runs and batches fall.
+
+    last: what becomes of the last column's values, one at a time, before the run's next row is looked at.
+    """
 
     def rows():
         for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+            columns = [c.to_pylist() for c in (b.columns[:-1] if last else b.columns)]
+            if last:
+                columns.append(last(x.as_py()) for x in b.column(b.num_columns - 1))
+            yield from zip(*columns, strict=True)
 
     for _, run in groupby(rows(), key=lambda r: r[:keys]):
         yield list(run)
@@ -227,19 +259,22 @@ class ExactJaccard:
         return shared / np.maximum(1, self.n[i] + self.n[others] - shared)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, root) of all ids in the edges (a, b): root is the least id of the component.
 
     Large-star and small-star steps in turn: each links an id's neighbours to the least of them, so trees
     flatten while components stay, and the edges never grow in number.  Every round is written to the
-    shared folder.  It ends when a round changes nothing.
+    shared folder, and the one before removed.  It ends when a round changes nothing, and raises if none of
+    `rounds` does (they grow with the logarithm of the ids).  An id with very many neighbours is joined by a
+    shuffle of its own, which Spark splits.
     """
+    spark = edges.sparkSession
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.filter("b < a")
         least = near.groupBy("a").agg(F.min("b").alias("_least")).withColumn("_least", F.least("a", "_least"))
-        near = near.join(least, "a")
+        near = near.join(least.select(dealt_anew("a"), "_least"), "a")
         if large:
             return near.filter("b > a").select(F.col("b").alias("a"), F.col("_least").alias("b")).distinct()
         own = least.select("a", F.col("_least").alias("b"))
@@ -248,13 +283,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e, path = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = state(e)
-    for _ in range(rounds):
-        e = cut(stars(stars(e, True), False), "edges")
-        now = state(e)
+    for _ in range(rounds if before[0] else 0):
+        e, new = written(stars(stars(e, True), False), "edges")
+        discard(spark, path)
+        path, now = new, state(e)
         if now == before:
             break
         before = now
+    else:
+        if before[0]:
+            raise RuntimeError(f"components not found in {rounds} rounds")
     roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

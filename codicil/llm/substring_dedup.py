@@ -4,7 +4,7 @@ A text is a run of words, line ends being blanks like others, and is cut into pa
 least: around each sentence of so many words, between shorter sentences, and inside very long ones, where a hash
 of the words around says so.  Every cut depends on words nearby alone, so that a passage is cut alike wherever
 it stands, and every word of a text that is long enough is in one paragraph.  Equal paragraphs
-share a set id; similar ones meet in buckets of MinHash bands, are verified by exact Jaccard similarity of
+share an id; similar ones meet in buckets of MinHash bands, are verified by exact Jaccard similarity of
 their 5-word shingles, and are clustered by connected components.  In each cluster the first occurrence stays
 and the others are removed.
 """
@@ -17,46 +17,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.llm import similar as S
-from codicil.llm.common import cut, documents
+from codicil.llm.common import cut, dealt_anew, documents
+from codicil.llm.ngram_join import row_key
 
 LEAST_WORDS = 12
-BLOCK = 512
-#: Set ids that a task remembers so that it sends the bands of a repeated paragraph once.
-MEMO_IDS = 500_000
+#: About so many shingles of paragraphs are in a block that is compared at once.
+BLOCK_SHINGLES, BLOCK = 20_000, 512
+#: Ids that a task remembers so that it sends the bands of a repeated paragraph about once.
+MEMO_IDS = 300_000
+#: Bytes of several texts that are cut up in one go.
+BATCH_BYTES = 1 << 16
 
-_IS_BLANK, _IS_STOP, _IS_CLOSER = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b".!?", b"\"')]"))
+_IS_STOP, _IS_CLOSER = (np.isin(np.arange(256), list(x)) for x in (b".!?", b"\"')]"))
 
 
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in code points, and whether a sentence ends with it."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.concatenate([[False], ~_IS_BLANK[b], [False]])
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    first, last = turns[::2], turns[1::2] - 1
-    stops = _IS_STOP[b[last]] | (_IS_CLOSER[b[last]] & _IS_STOP[b[np.maximum(last - 1, first)]])
-    if len(b) == len(text):
-        return first, last + 1, stops
-    points = np.cumsum((b & 0xC0) != 0x80)
-    return points[first] - 1, points[last], stops
+def unit_edges(hashes: np.ndarray, stops: np.ndarray, least_words: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the words at which paragraphs start, and the end, for texts one after the other.
 
-
-def unit_edges(hashes: np.ndarray, stops: np.ndarray, least_words: int) -> np.ndarray:
-    """Numbers of the words at which paragraphs start, and the end of the text, which has `least_words` at least.
-
-    Sentences of that length are cut off; fewer words before one go with it, and those at the end with what is before.
-    Other stretches and sentences of twice that length are cut where the hash of the words around is the least
-    nearby, ends of sentences coming first.
+    starts: the first words of the texts, which have `least_words` at least.  Sentences of that length are cut
+    off; fewer words before one go with it, and those at a text's end with what is before.  Other stretches and
+    sentences of twice that length are cut where the hash of the words around is the least nearby, ends of
+    sentences coming first.
     """
     n, least = len(hashes), max(2, least_words)
-    ends = np.unique(np.concatenate([[0], np.flatnonzero(stops) + 1, [n]]))
+    starts = np.zeros(1, np.int64) if starts is None else starts
+    of_text = np.zeros(n + 1, bool)
+    of_text[starts] = True
+    of_text[n] = True
+    at_end = np.zeros(n + 1, bool)
+    at_end[1:] = stops
+    ends = np.flatnonzero(at_end | of_text)
     long = np.flatnonzero(np.diff(ends) >= least)
-    edges = np.unique(np.concatenate([[0], ends[long], ends[long + 1], [n]]))
-    short = np.diff(edges) < least
+    edge = of_text.copy()
+    edge[ends[long]] = edge[ends[long + 1]] = True
+    edges = np.flatnonzero(edge)
+    # a short stretch goes with what follows, or at a text's end with what is before
+    short, closes = np.diff(edges) < least, of_text[edges[1:]]
+    opens = of_text[edges[:-1]]
     drop = np.zeros(len(edges), bool)
-    drop[1:] = short  # the edge behind a short stretch
-    if short[-1] and len(edges) > 2:
-        drop[-2:] = True, False
-    drop[-1] = False
+    drop[1:] |= short & ~closes
+    drop[:-1] |= short & closes & ~opens
     edges = edges[~drop]
     sizes = np.diff(edges)
     if not (sizes >= 2 * least).any():
@@ -67,102 +67,99 @@ def unit_edges(hashes: np.ndarray, stops: np.ndarray, least_words: int) -> np.nd
     keys = np.full(n + 2 * reach, np.uint64(2**64 - 1))
     at = np.flatnonzero((place >= least) & (place <= sizes - least))
     keys[at + reach] = (S.mixed(hashes[at - 1] * S._PLACES[0] + hashes[at] * S._PLACES[1]) >> np.uint64(1)) | np.where(stops[at - 1], np.uint64(0), np.uint64(2**63))
-    best = np.ones(len(at), bool)
+    best = at
     for k in range(1, reach + 1):
-        best &= (keys[at + reach] < keys[at + reach - k]) & (keys[at + reach] <= keys[at + reach + k])
-    return np.union1d(edges, at[best])
+        own = keys[best + reach]
+        best = best[(own < keys[best + reach - k]) & (own <= keys[best + reach + k])]
+    edge = np.zeros(n + 1, bool)
+    edge[edges] = edge[best] = True
+    return np.flatnonzero(edge)
+
+
+class Units:
+    """The paragraphs of some texts: of which text, start and end in code points, words, id, and their shingles."""
+
+    def __init__(self, texts: list[bytes], least_words: int):
+        b = np.frombuffer(b"\n".join(texts), np.uint8)
+        first, last = S.word_bounds(b)
+        text_at = np.cumsum([0] + [len(t) + 1 for t in texts])
+        n = np.diff(np.searchsorted(first, text_at))
+        use = n >= max(1, least_words)
+        if not use.all():
+            first, last = first[np.repeat(use, n)], last[np.repeat(use, n)]
+        hashes, starts, use = S.hashed_words(b, first, last), np.cumsum(n[use]) - n[use], np.flatnonzero(use)
+        stops = _IS_STOP[b[last]] | (_IS_CLOSER[b[last]] & _IS_STOP[b[np.maximum(last - 1, first)]])
+        edges = unit_edges(hashes, stops, least_words, starts) if len(use) else np.zeros(1, np.int64)
+        a, e = edges[:-1], edges[1:]
+        self.text, self.words = use[np.searchsorted(starts, a, side="right") - 1] if len(use) else use, e - a
+        self.start, self.end = first[a], last[e - 1]
+        if (b >= 128).any():
+            points = np.cumsum((b & 0xC0) != 0x80, dtype=np.int32).astype(np.int64) - 1
+            before = points[text_at[self.text]]
+            self.start, self.end = points[self.start] - before, points[self.end] - before
+        else:
+            self.start, self.end = self.start - text_at[self.text], self.end - text_at[self.text]
+        self.end = self.end + 1
+        self.id = self._ids(hashes, a, self.words)
+        # the shingles of all paragraphs, and where each one's begin
+        width = np.minimum(S.WORDS_PER_SHINGLE, self.words)
+        m = self.words - width + 1
+        self.begin = np.cumsum(m) - m
+        if least_words >= S.WORDS_PER_SHINGLE:
+            at = np.arange(int(m.sum())) + np.repeat(a - self.begin, m)
+            self.shingles = S.shingles(hashes)[at] if len(at) else hashes[:0]
+        else:
+            self.shingles = np.concatenate([S.shingles(hashes[i:j]) for i, j in zip(a, e, strict=True)] or [hashes[:0]])
+
+    @staticmethod
+    def _ids(hashes: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Two 64-bit sums over each run of words of what a hash makes of a word and its place."""
+        place = (np.arange(len(hashes)) - np.repeat(a, n)).astype(np.uint64) if len(a) else hashes[:0]
+        sums = np.empty((len(a), 2), np.uint64)
+        for k in range(2 if len(a) else 0):
+            sums[:, k] = np.add.reduceat(S.mixed(hashes * S._PLACES[2 + k] + (place + np.uint64(1)) * S._PLACES[4 + k]), a)
+        return sums
 
 
 def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str, int]]:
     """(start, end, text, words) of the paragraphs, in code points, without white space around; shorter texts have none."""
-    text = text or ""
-    hashes = S.word_hashes(text)
-    if len(hashes) < max(1, least_words):
-        return []
-    first, last, stops = word_places(text)
-    edges = unit_edges(hashes, stops, least_words)
-    a, b = edges[:-1], edges[1:]
-    return [(s, e, text[s:e], n) for s, e, n in zip(first[a].tolist(), last[b - 1].tolist(), (b - a).tolist(), strict=True)]
-
-
-def shingled(text: str | None, least_words: int) -> list[tuple[int, int, int, np.ndarray, bytes]]:
-    """(start, end, words, shingles, set id) of the paragraphs; a document's words are hashed in one go."""
-    text = text or ""
-    hashes = S.word_hashes(text)
-    if len(hashes) < max(1, least_words):
-        return []
-    first, last, stops = word_places(text)
-    edges = unit_edges(hashes, stops, least_words)
-    a, b = edges[:-1], edges[1:]
-    if least_words < S.WORDS_PER_SHINGLE:
-        each = [S.shingles(hashes[i:j]) for i, j in zip(a, b, strict=True)]
-    else:  # one run over all words
-        every = S.shingles(hashes)
-        each = [every[i : j - S.WORDS_PER_SHINGLE + 1] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    return list(zip(first[a].tolist(), last[b - 1].tolist(), (b - a).tolist(), each, set_ids(each), strict=True))
-
-
-def set_ids(sets: list[np.ndarray]) -> list[bytes]:
-    """An id for each set of shingles, whatever their order and repetitions: two sums of what a hash makes of them."""
-    n = np.array([len(s) for s in sets])
-    every, unit = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    order = np.lexsort((every, unit))
-    every, starts = every[order], np.cumsum(n) - n
-    again = np.concatenate([[False], every[1:] == every[:-1]])
-    again[starts] = False
-    sums = np.empty((len(sets), 2), np.uint64)
-    for k in range(2):
-        x = S.mixed(every * S._PLACES[2 + k] + S._PLACES[4 + k])
-        x[again] = 0
-        sums[:, k] = np.add.reduceat(x, starts)
-    ids = sums.tobytes()
-    return [ids[i : i + S.ID_BYTES] for i in range(0, len(ids), 16)]
-
-
-def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, start, end, words, id): a row for each paragraph of each document."""
+    u = Units([(text or "").encode("utf-8", "surrogatepass")], least_words)
+    return [(s, e, text[s:e], n) for s, e, n in zip(u.start.tolist(), u.end.tolist(), u.words.tolist(), strict=True)]
 
-    def rows(batches):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out += [(doc_id, start, end, n, i) for start, end, n, _, i in shingled(text.as_py(), least_words)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "start", "end", "words", "id"])
 
-    return docs.mapInArrow(rows, "doc_id long, start long, end long, words long, id binary")
+def occurrences(docs: DataFrame, least_words: int, bands: int, per_band: int) -> DataFrame:
+    """(doc_id, row, key, start, end, words, id, buckets): a row for each paragraph of each row (doc_id, row, key, text).
 
-
-def banded(docs: DataFrame, least_words: int, bands: int, per_band: int) -> DataFrame:
-    """(bucket, id): the bands of each paragraph, those of a repeated one about once per task."""
+    Equal runs of words have equal ids.  buckets: the paragraph's bands, about once per task, else null.
+    """
 
     def rows(batches):
-        seen: set[bytes] = set()
-        ids, sets, n = [], [], 0
+        seen: set[int] = set()
         for b in batches:
-            for text in b.column(1):
-                for _, _, _, s, i in shingled(text.as_py(), least_words):
-                    if i not in seen:
-                        if len(seen) >= MEMO_IDS:
-                            seen.clear()
-                        seen.add(i)
-                        ids.append(i)
-                        sets.append(s)
-                        n += len(s)
-                        if n > 4096:  # some thousands of shingles at a time
-                            yield of(ids, sets)
-                            ids, sets, n = [], [], 0
-        if ids:
-            yield of(ids, sets)
-
-    def of(ids, sets):
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)]).astype(np.int64)
-        keys = S.band_keys(S.minhash(np.concatenate(sets), bands * per_band, starts), bands, per_band)
-        at = pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), bands))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids, pa.binary()).take(at)], names=["bucket", "id"])
-
-    return docs.mapInArrow(rows, "bucket long, id binary")
+            at, texts, total = 0, [], 0
+            for i, text in enumerate(b.column(3)):
+                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                total += len(texts[-1])
+                if total >= BATCH_BYTES or i == b.num_rows - 1:
+                    yield of(b.slice(at, len(texts)), Units(texts, least_words), seen)
+                    at, texts, total = i + 1, [], 0
+
+    def of(b, u, seen):
+        lane = u.id[:, 0].tolist()
+        new = np.zeros(len(lane), bool)
+        for i, x in enumerate(lane):
+            if x not in seen:
+                if len(seen) >= MEMO_IDS:
+                    seen.clear()
+                seen.add(x)
+                new[i] = True
+        keys = S.band_keys(S.minhash(u.shingles, bands * per_band, u.begin), bands, per_band)[new] if new.any() else np.zeros((0, bands), np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.where(new, bands, 0))]).astype(np.int32)
+        buckets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(~new))
+        ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(lane), [None, pa.py_buffer(u.id.tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(u.text)) for c in b.columns[:3]), pa.array(u.start), pa.array(u.end), pa.array(u.words), ids, buckets], names=["doc_id", "row", "key", "start", "end", "words", "id", "buckets"])
+
+    return docs.select("doc_id", "row", "key", "text").mapInArrow(rows, "doc_id long, row long, key long, start long, end long, words long, id binary, buckets array<long>")
 
 
 def collisions(dealt: DataFrame) -> DataFrame:
@@ -202,12 +199,11 @@ def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
 
     def rows(batches):
         a, b = [], []
-        for group in S.block_groups(batches, 3):
-            sets = [np.unique(S.shingles(S.word_hashes(r[5]))) for r in group]
+        for group in S.block_groups(batches, 3, S.shingle_set):
+            sets = [r[5] for r in group]
             exact, forest, n = S.ExactJaccard(sets), S.Forest(len(group)), np.array([len(s) for s in sets])
             for i, others in enumerate(S.pairs_to_check(group, 1, 2, 3)):
-                open_ = [j for j in others if forest.find(int(j)) != forest.find(i)]
-                others = np.array(open_, np.int64)
+                others = forest.apart(i, others)
                 others = others[(n[others] >= threshold * n[i]) & (n[i] >= threshold * n[others])]
                 if not len(others):
                     continue
@@ -225,51 +221,68 @@ def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def duplicate_paragraphs(docs: DataFrame, threshold: float = S.THRESHOLD, least_words: int = LEAST_WORDS, recall: float = 0.996) -> DataFrame:
-    """A row for each occurrence of a paragraph that has another occurrence like it, in any document.
+    """A row for each occurrence of a paragraph that has another occurrence like it, in any row of docs.
 
     doc_id, start, end (code points of the text, end exclusive), words, class_doc_id and class_start (the
     cluster's first occurrence by doc_id, then start), n_occurrences of the cluster, removed (false for the
-    first occurrence).  Null and empty texts and those of fewer words give no rows, documents without repeated
-    paragraphs none either; repeated rows of docs are occurrences of their own, of which all but one are
-    removed if they tie.  An empty table gives no rows.  A null doc_id comes first.
+    first occurrence alone) and text_key, which is the same for equal rows of docs.  Null and empty texts and those
+    of fewer words give no rows, documents without repeated paragraphs none either.  Repeated rows of docs are
+    occurrences of their own: where the first occurrence ties with those of equal rows, one of them stays and
+    the others are removed.  Different texts may have one doc_id, or none; a null doc_id comes first.  Very long
+    texts are read whole.  An empty table gives no rows.  Only doc_id and text are read, so other columns'
+    names do not matter.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), row_key().alias("key"), "text")
     bands, per_band = S.tuned_bands(threshold, recall)
-    found = cut(occurrences(d, least_words), "paragraphs")
-    place = F.struct("doc_id", "start", "end")
-    sets = cut(found.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first")), "paragraph-sets")
-    met = cut(collisions(banded(d, least_words, bands, per_band)), "collisions")
-    met = met.join(sets.select("id", F.xxhash64("id").alias("key")), "key").select("bucket", "id")
-    wanted = met.select("id").distinct().join(sets, "id").select("id", "first.*")
-    # whose text: one occurrence of each colliding paragraph, taken out of its document
-    texts = d.join(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("id", "start", "end")).alias("of")).withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    found = cut(occurrences(d, least_words, bands, per_band), "paragraphs")  # rows have their numbers from here on
+    sets = cut(found.groupBy("id").agg(F.count("*").alias("n")), "paragraph-sets")
+    met = collisions(found.filter("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "id"))
+    met = cut(met.join(sets.select("id", F.xxhash64("id").alias("key")), "key").select("bucket", "id"), "collisions")
+    # whose text: one occurrence of each colliding paragraph, taken out of its row's text
+    wanted = found.select("id", "key", "start", "end", "words").join(met.select("id").distinct().select(dealt_anew("id")), "id")
+    wanted = cut(wanted.groupBy("id").agg(F.min(F.struct("key", "start", "end")).alias("at"), F.first("words").alias("words")), "paragraphs-wanted")
+    of_row = wanted.groupBy(F.col("at.key").alias("_key")).agg(F.collect_list(F.struct("id", "at.start", "at.end")).alias("of"))
+    texts = docs.select(row_key().alias("key"), "text").join(of_row.select(dealt_anew("_key", binary=False), "of"), F.col("key") == F.col("_key"))
     texts = texts.select("text", F.explode("of").alias("o")).select("o.id", F.expr("substring(text, cast(o.start as int) + 1, cast(o.end - o.start as int))").alias("text"))
     texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"))
-    edges = verified_edges(S.in_blocks(met.join(sizes, "bucket").join(texts, "id"), "bucket", BLOCK), threshold)
+    sizes = met.join(wanted.select("id", "words"), "id").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = S.in_blocks(met.join(sizes.select(dealt_anew("bucket", binary=False), "blocks"), "bucket"), F.col("blocks"))
+    edges = verified_edges(S.together(placed.join(texts.select(dealt_anew("id"), "text"), "id"), "bucket"), threshold)
     roots = S.components(edges)
     clustered = sets.join(roots, "id", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "id"))
-    clusters = clustered.groupBy("root").agg(F.sum("n").alias("n_occurrences"), F.min("first").alias("kept")).filter("n_occurrences > 1")
-    named = clustered.select("id", "root").join(clusters, "root").drop("root")
-    out = found.join(named, "id")
+    clusters = clustered.groupBy("root").agg(F.sum("n").alias("n_occurrences")).filter("n_occurrences > 1")
+    named = cut(clustered.select("id", "root").join(clusters.select(dealt_anew("root"), "n_occurrences"), "root"), "clusters")
+    out = cut(found.drop("buckets").join(named, "id"), "repeated")
+    kept = out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "end", "row")).alias("kept")).select(dealt_anew("root"), "kept")
+    out = out.join(kept, "root")
     return out.select(
-        "doc_id", "start", "end", "words", F.col("kept.doc_id").alias("class_doc_id"), F.col("kept.start").alias("class_start"), "n_occurrences", (~F.col("kept").eqNullSafe(place)).alias("removed")
-    )
+        "doc_id", "start", "end", "words", F.col("kept.doc_id").alias("class_doc_id"), F.col("kept.start").alias("class_start"), "n_occurrences",
+        ((F.col("kept.row") != F.col("row")) | (F.col("kept.start") != F.col("start"))).alias("removed"), F.col("key").alias("text_key"),
+    )
 
 
 def without_duplicates(docs: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """docs with removed paragraphs taken out of `text`; other columns and rows stay as they are."""
-    spans = duplicates.filter("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    piece = lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, (b - a).cast("int"))
-    end = F.struct(F.length("text").cast("long").alias("start"), F.length("text").cast("long").alias("end"))
+    """docs with removed paragraphs taken out of `text`; other columns and rows stay as they are.
+
+    duplicates: of duplicate_paragraphs(docs).  Of equal rows, one keeps what any of them keeps.  Null and empty
+    texts stay.  Column names of docs may be any; an empty table gives none.
+    """
+    spans = duplicates.groupBy("text_key", "start", "end").agg(F.min("removed").alias("always"), F.max("removed").alias("ever")).filter("ever")
+    spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "always"))).alias("spans"))
+    held = cut(docs.select(row_key().alias("key"), F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")), "rows")  # rows have their numbers from here on
+    stays = held.join(spans.select("text_key"), F.col("key") == F.col("text_key"), "left_semi").groupBy("key").agg(F.min("number").alias("first"))
+    held = held.join(spans.join(stays, F.col("key") == F.col("text_key")).select(dealt_anew("text_key", binary=False), "first", "spans"), F.col("key") == F.col("text_key"), "left")
+    text = F.col("row.text")
+    piece = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
+    end = F.struct(F.length(text).cast("long").alias("start"), F.length(text).cast("long").alias("end"), F.lit(True).alias("always"))
+    taken = F.filter("spans", lambda s: s["always"] | (F.col("number") != F.col("first")))
     kept = F.aggregate(
-        F.concat("_spans", F.array(end)),
+        F.concat(taken, F.array(end)),
         F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(F.concat(acc["t"], piece(acc["at"], s["start"])).alias("t"), s["end"].alias("at")),
         lambda acc: acc["t"],
     )
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_doc"]), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    return held.select(*[F.when(F.col("spans").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

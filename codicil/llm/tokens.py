@@ -12,13 +12,11 @@ import os
 import re
 from array import array
 
+from codicil.llm.common import Memo, kept
+
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
-#: Pieces that one Python worker remembers (about 200 MB); the memo starts anew beyond that.
-MEMO_PIECES = 1_000_000
-#: Longer pieces are encoded each time and not kept.
-MEMO_CHARS = 64
 
 _CONTROL = re.compile("[\x1c-\x1f]")
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -36,22 +34,6 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-class _Memo(dict):
-    """piece -> little-endian unsigned 32-bit ids."""
-
-    def __init__(self, make):
-        super().__init__()
-        self._make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._make(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level tokenizers use for each byte: itself if it prints, else one from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,8 +54,8 @@ class Encoder:
         #: Whether white space vanishes between pieces, or goes with the piece that follows.
         self._drops_space = self._direct("a b") == self._direct("a") + self._direct("b")
         self._lowers = self._direct("A") == self._direct("a")
-        self._whole = _Memo(lambda x: self._piece("", x))
-        self._spaced = self._whole if self._drops_space else _Memo(lambda x: self._piece(" ", x))
+        self._whole = Memo(lambda x: self._piece("", x))
+        self._spaced = self._whole if self._drops_space else Memo(lambda x: self._piece(" ", x))
 
     def _direct(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -101,11 +83,6 @@ class Encoder:
         return (self._whole[first] if first else b"") + b"".join(map(self._spaced.__getitem__, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name_or_path: str) -> Encoder:
-    """One encoder per tokenizer and Python worker."""
-    if name_or_path not in _ENCODERS:
-        _ENCODERS[name_or_path] = Encoder(name_or_path)
-    return _ENCODERS[name_or_path]
+    """One encoder per Python worker, as long as that goes on with the same tokenizer."""
+    return kept(("encoder", name_or_path), lambda: Encoder(name_or_path))
