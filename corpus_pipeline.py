@@ -18,11 +18,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that with the least doc_id, once if its row is repeated.
 
-    Rows without a doc_id cannot be told apart and stay.
+    Null and blank texts are one class; rows without a doc_id go before none.  An empty table gives none.
     """
-    kept = ngram_join.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return ngram_join.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
