@@ -13,25 +13,28 @@ from pyspark.sql import functions as F
 
 from codicil.llm.common import SPACE, cut, documents
 
-#: Rules in order: (name, bad if, good if), over the fields of text_counts().
+#: Rules in order: (name, bad if, good if), over the fields of text_counts(); between the two they abstain.
+#: Junk of one kind breaks several of them, so that the estimates can tell it from a good text's single slip.
 RULES = [
     ("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    ("repeats", "n_repeat_words > 0.5 * n_words", "n_repeat_words <= 0.05 * n_words"),
-    ("lines", "n_dup_lines > 0.5 * n_lines", "n_dup_lines = 0"),
-    ("capitals", "n_upper > 0.5 * word_chars", "n_upper <= 0.15 * word_chars"),
-    ("variety", "n_distinct < 0.3 * n_words AND n_words <= 5000", "n_distinct >= 0.45 * n_words"),
-    ("word_length", "word_chars < 2.0 * n_words OR word_chars > 16.0 * n_words", "word_chars BETWEEN 3.0 * n_words AND 11.0 * n_words"),
+    ("letters", "n_letters < 0.88 * word_chars", "n_letters >= 0.93 * word_chars"),
+    ("symbol_lines", "n_symbol_lines > 0.3 * n_lines", "n_symbol_lines <= 0.05 * n_lines"),
+    ("repeats", "n_repeat_words > 0.15 * n_words", "n_repeat_words <= 0.02 * n_words"),
+    ("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
+    ("capitals", "n_upper > 0.3 * word_chars", "n_upper <= 0.1 * word_chars"),
+    ("variety", "n_distinct < 0.4 * n_words AND n_words <= 5000", "n_distinct >= 0.6 * n_words"),
+    ("word_length", "word_chars < 2.0 * n_words OR word_chars > 7.0 * n_words", "word_chars BETWEEN 3.0 * n_words AND 6.5 * n_words"),
+    ("sentences", "n_stops < 0.03 * n_words", "n_stops >= 0.04 * n_words"),
 ]
 ROUNDS = 25
 #: A document is kept if its probability of quality is at least this.
 LEAST_QUALITY = 0.5
 #: Before the first round: share of good documents, and how often rules are right on good and on bad ones.
-FIRST_SHARE, FIRST_RIGHT = 0.8, (0.95, 0.4)
-#: Rules are written so that good documents hardly ever break them: a rule's rightness on good ones is held from here on.
-#: Otherwise rules that are broken independently of all others (symbols) would be taken for errors.
-LEAST_RIGHT_ON_GOOD = 0.9995
-#: Votes that each rule is taken to have cast besides, right and wrong ones on either class.
-PRIOR_VOTES = 1.0
+FIRST_SHARE, FIRST_RIGHT = 0.8, (0.9, 0.6)
+#: Beta prior of every accuracy: votes that each rule is taken to have cast besides, right and wrong ones, on either class.
+PRIOR_RIGHT, PRIOR_WRONG = 4.0, 1.0
+#: Documents of either class that are taken to be there besides.
+PRIOR_DOCS = 1.0
 
 
 def text_counts(text: Column) -> dict[str, Column]:
@@ -50,11 +53,14 @@ def text_counts(text: Column) -> dict[str, Column]:
         "_8": window(c("_4"), 4, n - 7),
         "n_words": longs(n),
         "word_chars": longs(F.length(F.concat_ws("", "_w"))),
-        "n_symbols": longs(F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[#*$%&|<>]"))),
+        "n_symbols": longs(F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))),
         "n_dup_lines": longs(F.size("_l") - F.size(F.array_distinct("_l"))),
         "n_repeat_words": longs(F.when(F.size(F.array_distinct("_8")) < F.size("_8"), repeated_words(c("_8"))).otherwise(0)),
         "n_lines": longs(F.size("_l")),
-        "n_upper": longs(F.regexp_count("_t", F.lit(r"\p{Lu}"))),
+        "n_upper": longs(F.length(F.regexp_replace("_t", r"\P{Lu}+", ""))),
+        "n_letters": longs(F.length(F.regexp_replace("_t", r"\P{L}+", ""))),
+        "n_stops": longs(F.length("_t") - F.length(F.regexp_replace("_t", rf"[.!?](?={SPACE}|\z)", ""))),
+        "n_symbol_lines": longs(F.size(F.filter("_l", lambda x: x.rlike("[#*$%&|<>]")))),
         "n_distinct": longs(F.size(F.array_distinct("_1"))),
     }
 
@@ -74,13 +80,15 @@ def repeated_words(windows: Column, n: int = 8) -> Column:
     return cover["n"]
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_letters", "n_stops", "n_symbol_lines"]
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
     """docs with a column _quality: a struct of the counts, base_failed and the votes.
 
-    Null texts have no words.  A column _quality that the input has already is replaced.
+    Null, empty and blank texts have no words and fail the base rules; very long texts are counted whole.  Repeated
+    rows stay.  An empty table gives none.  Rows are held in a struct meanwhile, so column names may be any; a
+    column _quality that the input has already is replaced.
     """
     held = docs.select(F.struct(*docs.columns).alias("_row")) if docs.columns else docs
     d = held
@@ -122,15 +130,15 @@ def pattern_quality(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def update(rows):
         right = lambda side, vote: F.array(
             *[
-                (total(rows, lambda x, j=j: F.when(x["votes"][j] == vote, x[side]).otherwise(0.0)) + PRIOR_VOTES)
-                / (total(rows, lambda x, j=j: F.when(x["votes"][j] != 0, x[side]).otherwise(0.0)) + 2 * PRIOR_VOTES)
+                (total(rows, lambda x, j=j: F.when(x["votes"][j] == vote, x[side]).otherwise(0.0)) + PRIOR_RIGHT)
+                / (total(rows, lambda x, j=j: F.when(x["votes"][j] != 0, x[side]).otherwise(0.0)) + PRIOR_RIGHT + PRIOR_WRONG)
                 for j in range(k)
             ]
         )
         good, bad = total(rows, lambda x: x["g"]), total(rows, lambda x: x["b"])
-        return state((good + PRIOR_VOTES) / (good + bad + 2 * PRIOR_VOTES), F.transform(right("g", 1), lambda g: F.greatest(g, F.lit(LEAST_RIGHT_ON_GOOD))), right("b", -1))
+        return state((good + PRIOR_DOCS) / (good + bad + 2 * PRIOR_DOCS), right("g", 1), right("b", -1))
 
-    first = state(F.lit(FIRST_SHARE), F.array_repeat(F.lit(max(FIRST_RIGHT[0], LEAST_RIGHT_ON_GOOD)), k), F.array_repeat(F.lit(FIRST_RIGHT[1]), k))
+    first = state(F.lit(FIRST_SHARE), F.array_repeat(F.lit(FIRST_RIGHT[0]), k), F.array_repeat(F.lit(FIRST_RIGHT[1]), k))
     fitted = one.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, round_))
     return fitted.select(F.explode("p").alias("x"), "s").select(F.col("x.votes").alias("votes"), quality(F.col("x.votes"), F.col("s")).alias("quality"))
 
@@ -139,7 +147,7 @@ def judge(voted: DataFrame, rounds: int = ROUNDS, least: float = LEAST_QUALITY)
     """with_votes() rows with _quality also holding quality and kept; base_failed rows are never kept.
 
     The rows are written once to the shared folder, so texts that the caller keeps are not counted twice.
-    An empty table gives no rows.
+    Equal votes have equal probabilities, so ties and repeated rows are judged alike.  An empty table gives no rows.
     """
     held = cut(voted, "quality-votes")
     patterns = cut(pattern_quality(held.groupBy(F.col("_quality.votes").alias("votes")).agg(F.count("*").alias("n")), rounds), "quality-patterns")
