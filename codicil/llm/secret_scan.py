@@ -2,8 +2,8 @@
 
 Known forms (assignments, access keys, hex runs) are found by pattern.  The method adds what no
 pattern names: runs that a language vocabulary encodes badly.  Words get several characters per token;
-random strings get few.  Digests of known lengths, UUIDs, e-mail addresses, numbers and plain words are
-identifiers rather than secrets, and are left out.
+random strings get few.  Known digests and identifiers (UUIDs, book numbers, times, numbers, names and paths
+made of short parts, e-mail addresses, hosts) are left out.
 """
 
 from __future__ import annotations
@@ -16,13 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm.common import documents
+from codicil.llm.common import documents, kept
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Runs of fewer characters a token than this are taken for random.
-MOST_CHARS_PER_TOKEN = 2.2
+MOST_CHARS_PER_TOKEN = 2.1
 #: Shorter runs say too little.
 LEAST_CHARS = 20
+#: Runs whose pieces between /, _, - and = are all shorter are names or paths.
+LEAST_PIECE = 10
+#: Longer runs are encoded in slices, so that time grows with the text alone.
+SLICE_CHARS = 512
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -31,6 +35,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_IDENTIFIER = re.compile(r"[0-9+/_=-]+|(?:ISBN|ISSN|isbn|issn)(?:-1[03])?[-_=]*[0-9Xx-]+|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-]?[0-9-]+(?:[Zz]|[+-][0-9]+)?")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<=://)[A-Za-z0-9.-]+|(?<![A-Za-z0-9.-])www\.[A-Za-z0-9.-]+")
 KINDS = ("assign", "access", "hex", "dense")
 
 
@@ -48,22 +54,56 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def is_candidate(run: str) -> bool:
-    """Whether a run mixes digits and letters and is no known digest or identifier."""
-    if len(run) < LEAST_CHARS or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-        return False
-    return not (_DIGEST.fullmatch(run) or _UUID.fullmatch(run))
+def is_known(run: str) -> bool:
+    """Whether a run is a known digest or identifier, or a name or path made of short parts."""
+    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run)) or max(map(len, re.split("[/_=-]", run))) < LEAST_PIECE
 
 
-def dense_spans(text: str, vocabulary, most: float, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Runs with few characters a token that overlap none of the spans found already."""
-    found = []
+def outside(start: int, end: int, taken: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """Parts of start to end that none of the `taken` spans cover, which are disjoint and sorted; at: the first of them to look at."""
+    while at < len(taken) and taken[at][1] <= start:
+        at += 1
+    parts, k = [], at
+    while k < len(taken) and taken[k][0] < end:
+        if taken[k][0] > start:
+            parts.append((start, taken[k][0]))
+        start, k = max(start, taken[k][1]), k + 1
+    if start < end:
+        parts.append((start, end))
+    return parts, at
+
+
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def n_tokens(run: str, vocabulary) -> int:
+    return sum(len(vocabulary.encode_ordinary(run[i : i + SLICE_CHARS])) for i in range(0, len(run), SLICE_CHARS))
+
+
+def dense_spans(text: str, vocabulary, most: float, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Parts of runs, outside the spans found already and addresses, that have few characters a token.
+
+    Both lists are walked once, so time grows with the text.
+    """
+    found, taken, at = [], None, 0
     for m in _RUN.finditer(text):
-        if is_candidate(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in taken):
-            if text[max(0, m.start() - 1) : m.start()] in ("@", ".") or text[m.end() : m.end() + 1] == "@":
-                continue  # part of an address
-            if len(m[0]) < most * len(vocabulary.encode_ordinary(m[0])):
-                found.append((m.start(), "dense", m.end()))
+        if len(m[0]) < LEAST_CHARS or is_known(m[0]):
+            continue
+        if taken is None:
+            addresses = [x.span() for x in _ADDRESS.finditer(text)] if "@" in text or "://" in text or "www." in text else []
+            taken = disjoint([(a, b) for a, _, b in base] + addresses)
+        parts, at = outside(m.start(), m.end(), taken, at)
+        for a, b in parts:
+            part = text[a:b]
+            if b - a >= LEAST_CHARS and (part == m[0] or not is_known(part)) and b - a < most * n_tokens(part, vocabulary):
+                found.append((a, "dense", b))
     return found
 
 
@@ -75,12 +115,10 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in in_order(spans))
 
 
-_VOCABULARIES: dict = {}
-
-
 def tiktoken_vocabulary(name_or_path: str = VOCABULARY):
     """A tiktoken encoding from a file of ranks, once per Python worker."""
-    if name_or_path not in _VOCABULARIES:
+
+    def read():
         import public_tokenizers
         import tiktoken
 
@@ -88,8 +126,9 @@ def tiktoken_vocabulary(name_or_path: str = VOCABULARY):
 
         with open(tokenizer_path(name_or_path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _VOCABULARIES[name_or_path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _VOCABULARIES[name_or_path]
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return kept(("vocabulary", name_or_path), read)
 
 
 def redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:
@@ -107,8 +146,9 @@ def redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
     """doc_id, counts per kind, base_sha256, spans and n_dense for each row of docs.
 
-    Spans are kind:start:end in code points.  Null texts count as empty: no spans, the digest of "".
-    Repeated rows give repeated results; an empty table gives none; other columns are not read.
+    Spans are kind:start:end in code points.  Null texts count as empty: no spans, the digest of "".  Very long
+    texts are read whole, in time that grows with their length.  Repeated rows give repeated results, and equal
+    texts equal ones; an empty table gives none.  Other columns, whatever their names, are not read.
     """
 
     def rows(batches):
@@ -130,7 +170,11 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, most: float = MOST_CHARS
 
 
 def redact(docs: DataFrame, mark: str = "[{}]", vocabulary: str = VOCABULARY, most: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
-    """docs with every span of `text` replaced by the mark; null texts stay null and other columns as they are."""
+    """docs with every span of `text` replaced by the mark; null texts stay null and other columns as they are.
+
+    Where spans overlap, the first is marked and what the next has beyond it goes too.  Empty texts stay empty,
+    long ones are read whole, repeated rows stay, an empty table gives none.
+    """
     at = docs.columns.index("text")
 
     def rows(batches):
