@@ -17,7 +17,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^" + SPACE[1:] + "+")).cast("long")
+    """Words of a text, null having none: each run is made one letter, and the white space between taken out."""
+    runs = F.regexp_replace(F.coalesce(text, F.lit("")), "[^" + SPACE[1:] + "+", "x")
+    return F.length(F.translate(runs, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def chance(key: Column, seed: str) -> Column:
@@ -49,32 +51,39 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with _size, _source_size, _target, _copies: how often the mix takes each row.
+    """docs with a column _mix: a struct of size, source_size, target (its source's) and copies, how often the mix takes the row.
 
-    size: a column of whole numbers, by default the words of `text`; null counts as 0.
-    A null source is a source.  Rows with equal ids share their chance; an empty table gives none.
-    A source of size 0 has target 0 and its rows are taken 0 times.
+    size: a column of whole numbers, by default the words of `text`; null counts as 0, so null, empty and blank
+    texts have size 0.  Very long texts are counted whole.  A null source is a source.  Rows with equal ids share
+    their chance, also those without one; an empty table gives none.  A source of size 0 has target 0 and its rows
+    are taken 0 times.  Rows are held in a struct meanwhile, so column names may be any; a column _mix is replaced.
     """
-    sized = docs.withColumn("_size", F.coalesce((word_count(F.col("text")) if size is None else size).cast("long"), F.lit(0).cast("long")))
-    sums = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    sized = docs.select(F.coalesce((word_count(F.col("text")) if size is None else size).cast("long"), F.lit(0).cast("long")).alias("size"), F.col("source").alias("of"), F.struct(*docs.columns).alias("row"))
+    sums = sized.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(sums, weights, share, most), "mix-sources")
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    mixed = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("_rate", rate)
-    extra = chance(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")
-    return mixed.withColumn("_copies", F.floor("_rate") + extra.cast("long")).drop("_rate")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    mixed = sized.join(targets, F.col("of").eqNullSafe(F.col("source")), "left").withColumn("rate", rate)
+    extra = chance(F.col("row.doc_id"), seed) < F.col("rate") - F.floor("rate")
+    columns = [F.col("row")[c].alias(c) for c in docs.columns if c != "_mix"]
+    return mixed.select(*columns, F.struct("size", "source_size", "target", (F.floor("rate") + extra.cast("long")).alias("copies")).alias("_mix"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row of mix() as often as the mix takes it, without the added columns."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_copies").cast("int")))).drop("_copy", "_copies", "_size", "_source_size", "_target")
+    """Each row of mix() as often as the mix takes it, without the column _mix.
+
+    Rows taken 0 times go; texts, null ones too, and other columns stay as they are.  An empty table gives none.
+    """
+    columns = [c for c in mixed.columns if c != "_mix"]
+    held = mixed.select(F.struct(*columns).alias("row"), F.explode(F.array_repeat(F.lit(True), F.col("_mix.copies").cast("int"))))
+    return held.select(*[F.col("row")[c].alias(c) for c in columns])
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return mix(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
+    m = lambda c: F.col("_mix")[c]
+    return mix(docs).select("doc_id", *[m(c).alias(c) for c in ("size", "source_size", "target")], (m("size") * m("copies")).alias("taken"), m("copies").alias("copies"))
 
 
 OP5_SQL = r"""
