@@ -94,26 +94,28 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset.
 
-    Lengths must be 1 to capacity.  Equal rows take different slots.  An empty table gives no rows.
-    A length's ranks are counted in groups by a hash of the piece, and the groups' counts are summed up
+    Lengths must be 1 to capacity; empty texts have come as pieces of their end id, very long ones as several.
+    Equal rows, and others with one doc_id or none, take different slots.  An empty table gives no rows.  Rows are
+    held in a struct meanwhile, so column names may be any; columns sequence_id and offset are replaced.
+    A length's ranks are counted in groups by a hash of the row, and the groups' counts are summed up
     before, so that no task has to hold a length that very many pieces share.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = plan_slots(counts, capacity)
-    runs = spark.createDataFrame(plan, "_length long, _rank long, _n long, _sequence long, _offset long")
+    runs = spark.createDataFrame(plan, "of_length long, rank long, n long, sequence long, place long")
     if len(plan) <= BROADCAST_RUNS:
         runs = F.broadcast(runs)
     groups = max(8, math.ceil(max(counts.values(), default=0) / group_rows))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    of_group = dealt.groupBy("length", "_group").agg(F.count("*").alias("_count"))
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    of_group = of_group.select("length", "_group", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_group").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("_at", F.row_number().over(within) - 1).join(of_group, ["length", "_group"]).withColumn("_at", F.col("_at") + F.col("_before"))
-    slots = ranked.join(runs, (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_n")))
-    placed = slots.withColumn("sequence_id", F.col("_sequence") + F.col("_at") - F.col("_rank")).withColumn("offset", F.col("_offset"))
-    return placed.select(*pieces.columns, "sequence_id", "offset")
+    dealt = pieces.select(F.struct(*pieces.columns).alias("row"), F.col("length").cast("long").alias("length"), "doc_id", "piece").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    of_part = dealt.groupBy("length", "part").agg(F.count("*").alias("count"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = of_part.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
+    ranked = dealt.withColumn("at", F.row_number().over(within) - 1).join(of_part, ["length", "part"]).withColumn("at", F.col("at") + F.col("before"))
+    slots = ranked.join(runs, (F.col("length") == F.col("of_length")) & (F.col("at") >= F.col("rank")) & (F.col("at") < F.col("rank") + F.col("n")))
+    columns = [F.col("row")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return slots.select(*columns, (F.col("sequence") + F.col("at") - F.col("rank")).alias("sequence_id"), F.col("place").alias("offset"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
