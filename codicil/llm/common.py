@@ -46,13 +46,13 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def dealt_anew(key: str, binary: bool = True) -> Column:
-    """The same key, a binary or else a long column, as one by which rows are not dealt yet.
+def dealt_anew(key: str, kind: str = "binary") -> Column:
+    """The same key, a binary, long or string column, as one by which rows are not dealt yet.
 
     A join by it shuffles both sides for itself, so that Spark splits a key that very many rows have
     (adaptive skew join); it cannot if a side is an aggregate by the same key.
     """
-    return F.expr(f"concat({key}, X'')" if binary else f"{key} ^ 0L").alias(key)
+    return F.expr({"binary": f"concat({key}, X'')", "long": f"{key} ^ 0L", "string": f"concat({key}, '')"}[kind]).alias(key)
 
 
 #: Bytes of keys and values, with what Python adds, that a Python worker remembers in one memo.

@@ -40,8 +40,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for b in batches:
             at, sets, total = 0, [], 0
-            for i, text in enumerate(b.column(2)):
-                sets.append(S.shingle_set(text.as_py()))
+            for i, s in enumerate(S.shingle_sets(b.column(2))):
+                sets.append(s)
                 total += len(sets[-1])
                 if total >= BATCH_SHINGLES or i == b.num_rows - 1:
                     yield of(b.slice(at, len(sets)), sets)
@@ -103,7 +103,7 @@ def verified_links(blocks: DataFrame, threshold: float, tolerance: float) -> Dat
 
     def rows(batches):
         a, b, n = [], [], []
-        for group in S.block_groups(batches, 3, S.shingle_set):
+        for group in S.block_groups(batches, 3, S.shingle_sets):
             group = list({r[4]: r for r in group if S.set_id(r[7]) == r[4]}.values())
             if len(group) < 2:
                 continue
@@ -195,7 +195,7 @@ def one_of_each(docs: DataFrame, threshold: float = S.THRESHOLD, tolerance: floa
     leaders = cut(named.filter("leads").select("key").join(repeated, "key", "left").select(F.col("key").alias("_of_key"), F.coalesce("_again", F.lit(False)).alias("_again")), "leaders")
     row = docs.select(row_key().alias("_of_row"), F.struct(*docs.columns).alias("_row"))
     stay = row.join(leaders, F.col("_of_row") == F.col("_of_key"))
-    again = stay.filter("_again").select(dealt_anew("_of_row", binary=False), "_row").dropDuplicates(["_of_row"])
+    again = stay.filter("_again").select(dealt_anew("_of_row", "long"), "_row").dropDuplicates(["_of_row"])
     return stay.filter("NOT _again").select("_row.*").unionByName(again.select("_row.*"))
 
 

@@ -87,6 +87,25 @@ def shingle_set(text: str | None) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
+def shingle_sets(column):
+    """shingle_set() of each text of an Arrow column, in turn; some texts are hashed in one go."""
+    texts, total = [], 0
+    for i, text in enumerate(column):
+        texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+        total += len(texts[-1])
+        if total >= SLICE_BYTES or i == len(column) - 1:
+            b = np.frombuffer(b"\n".join(texts), np.uint8)
+            first, last = word_bounds(b)
+            hashes = hashed_words(b, first, last)
+            ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts])).tolist()
+            every = shingles(hashes) if len(hashes) >= WORDS_PER_SHINGLE else hashes[:0]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                s = np.sort(every[lo : hi - WORDS_PER_SHINGLE + 1] if hi - lo >= WORDS_PER_SHINGLE else shingles(hashes[lo:hi]))
+                again = s[1:] == s[:-1]
+                yield s[np.concatenate([[True], ~again])] if again.any() else s
+            texts, total = [], 0
+
+
 def set_id(sorted_shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(sorted_shingles.tobytes(), digest_size=ID_BYTES).digest()
 
@@ -122,7 +141,7 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.ascontiguousarray(keys.T).view(np.int64)
 
 
-def tuned_bands(threshold: float = THRESHOLD, recall: float = 0.996, unlike: float = 0.2, false: float = 0.07) -> tuple[int, int]:
+def tuned_bands(threshold: float = THRESHOLD, recall: float = 0.996, unlike: float = 0.1, false: float = 0.07) -> tuple[int, int]:
     """(bands, rows): the fewest hashes so that pairs at the threshold share a band with probability `recall`
     at least, and pairs at similarity `unlike` with probability `false` at most."""
     found = []
@@ -142,7 +161,7 @@ def shared_buckets(units: DataFrame) -> DataFrame:
     """(bucket, id, size) of buckets that at least two of the units (id, bands) are in."""
     dealt = units.select(F.explode("bands").alias("bucket"), "id")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return dealt.join(sizes.select(dealt_anew("bucket", binary=False), "size"), "bucket")
+    return dealt.join(sizes.select(dealt_anew("bucket", "long"), "size"), "bucket")
 
 
 def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
@@ -183,14 +202,14 @@ class Forest:
 def block_groups(batches, keys: int, last=None):
     """Rows, as tuples, of each run of equal first `keys` columns, however runs and batches fall.
 
-    last: what becomes of the last column's values, one at a time, before the run's next row is looked at.
+    last: what becomes of the last column's values, in turn, before the run's next row is looked at.
     """
 
     def rows():
         for b in batches:
             columns = [c.to_pylist() for c in (b.columns[:-1] if last else b.columns)]
             if last:
-                columns.append(last(x.as_py()) for x in b.column(b.num_columns - 1))
+                columns.append(last(b.column(b.num_columns - 1)))
             yield from zip(*columns, strict=True)
 
     for _, run in groupby(rows(), key=lambda r: r[:keys]):

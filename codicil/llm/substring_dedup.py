@@ -127,39 +127,52 @@ def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[i
     return [(s, e, text[s:e], n) for s, e, n in zip(u.start.tolist(), u.end.tolist(), u.words.tolist(), strict=True)]
 
 
-def occurrences(docs: DataFrame, least_words: int, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, row, key, start, end, words, id, buckets): a row for each paragraph of each row (doc_id, row, key, text).
-
-    Equal runs of words have equal ids.  buckets: the paragraph's bands, about once per task, else null.
+def in_batches(batches, column: int):
+    """Some rows at a time, and the texts in their column as bytes; a text is never split."""
+    for b in batches:
+        at, texts, total = 0, [], 0
+        for i, text in enumerate(b.column(column)):
+            texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+            total += len(texts[-1])
+            if total >= BATCH_BYTES or i == b.num_rows - 1:
+                yield b.slice(at, len(texts)), texts
+                at, texts, total = i + 1, [], 0
+
+
+def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, row, key, start, end, words, id): a row for each paragraph of each row (doc_id, row, key, text).
+
+    Equal runs of words have equal ids.
     """
 
+    def rows(batches):
+        for b, texts in in_batches(batches, 3):
+            u = Units(texts, least_words)
+            ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(u.id), [None, pa.py_buffer(u.id.astype(">u8").tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(u.text)) for c in b.columns[:3]), pa.array(u.start), pa.array(u.end), pa.array(u.words), ids], names=["doc_id", "row", "key", "start", "end", "words", "id"])
+
+    return docs.select("doc_id", "row", "key", "text").mapInArrow(rows, "doc_id long, row long, key long, start long, end long, words long, id binary")
+
+
+def banded(docs: DataFrame, least_words: int, bands: int, per_band: int) -> DataFrame:
+    """(bucket, key): the bands of each paragraph, those of a repeated one about once per task; key: half of its id."""
+
     def rows(batches):
         seen: set[int] = set()
-        for b in batches:
-            at, texts, total = 0, [], 0
-            for i, text in enumerate(b.column(3)):
-                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                total += len(texts[-1])
-                if total >= BATCH_BYTES or i == b.num_rows - 1:
-                    yield of(b.slice(at, len(texts)), Units(texts, least_words), seen)
-                    at, texts, total = i + 1, [], 0
-
-    def of(b, u, seen):
-        lane = u.id[:, 0].tolist()
-        new = np.zeros(len(lane), bool)
-        for i, x in enumerate(lane):
-            if x not in seen:
-                if len(seen) >= MEMO_IDS:
-                    seen.clear()
-                seen.add(x)
-                new[i] = True
-        keys = S.band_keys(S.minhash(u.shingles, bands * per_band, u.begin), bands, per_band)[new] if new.any() else np.zeros((0, bands), np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.where(new, bands, 0))]).astype(np.int32)
-        buckets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()), mask=pa.array(~new))
-        ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(lane), [None, pa.py_buffer(u.id.tobytes())]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([*(c.take(pa.array(u.text)) for c in b.columns[:3]), pa.array(u.start), pa.array(u.end), pa.array(u.words), ids, buckets], names=["doc_id", "row", "key", "start", "end", "words", "id", "buckets"])
-
-    return docs.select("doc_id", "row", "key", "text").mapInArrow(rows, "doc_id long, row long, key long, start long, end long, words long, id binary, buckets array<long>")
+        for _, texts in in_batches(batches, 0):
+            u = Units(texts, least_words)
+            lane, new = u.id[:, 0].tolist(), np.zeros(len(u.id), bool)
+            for i, x in enumerate(lane):
+                if x not in seen:
+                    if len(seen) >= MEMO_IDS:
+                        seen.clear()
+                    seen.add(x)
+                    new[i] = True
+            if new.any():
+                buckets = S.band_keys(S.minhash(u.shingles, bands * per_band, u.begin), bands, per_band)[new]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(np.repeat(u.id[new, 0].view(np.int64), bands))], names=["bucket", "key"])
+
+    return docs.select("text").mapInArrow(rows, "bucket long, key long")
 
 
 def collisions(dealt: DataFrame) -> DataFrame:
@@ -189,9 +202,7 @@ def collisions(dealt: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["bucket", "key"])
 
-    # ids are dealt as their hashes, which are shorter; different ids of one hash are all taken for it
-    keyed = dealt.select("bucket", F.xxhash64("id").alias("key"))
-    return keyed.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(rows, "bucket long, key long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(rows, "bucket long, key long")
 
 
 def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -199,8 +210,17 @@ def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
 
     def rows(batches):
         a, b = [], []
-        for group in S.block_groups(batches, 3, S.shingle_set):
+        for group in S.block_groups(batches, 3, S.shingle_sets):
+            if len(a) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                a, b = [], []
             sets = [r[5] for r in group]
+            if len(group) == 2:  # most are
+                shared = len(np.intersect1d(*sets, assume_unique=True))
+                if shared >= threshold * (len(sets[0]) + len(sets[1]) - shared):
+                    a.append(group[0][4])
+                    b.append(group[1][4])
+                continue
             exact, forest, n = S.ExactJaccard(sets), S.Forest(len(group)), np.array([len(s) for s in sets])
             for i, others in enumerate(S.pairs_to_check(group, 1, 2, 3)):
                 others = forest.apart(i, others)
@@ -211,9 +231,6 @@ def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
                     if forest.join(i, int(j)):
                         a.append(group[i][4])
                         b.append(group[j][4])
-            if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -234,28 +251,36 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = S.THRESHOLD, least_
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), row_key().alias("key"), "text")
     bands, per_band = S.tuned_bands(threshold, recall)
-    found = cut(occurrences(d, least_words, bands, per_band), "paragraphs")  # rows have their numbers from here on
-    sets = cut(found.groupBy("id").agg(F.count("*").alias("n")), "paragraph-sets")
-    met = collisions(found.filter("buckets IS NOT NULL").select(F.explode("buckets").alias("bucket"), "id"))
-    met = cut(met.join(sets.select("id", F.xxhash64("id").alias("key")), "key").select("bucket", "id"), "collisions")
+    # half an id will do to find candidates: different ids with one half are all taken for it
+    met = cut(collisions(banded(d, least_words, bands, per_band)), "collisions")
+    found = cut(occurrences(d, least_words), "paragraphs")  # rows have their numbers from here on
+    half = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long")
+    sets = found.groupBy("id").agg(F.count("*").alias("n")).withColumn("key", half)
+    sets = sets.join(met.select("key").distinct().select(dealt_anew("key", "long"), F.lit(True).alias("met")), "key", "left").filter("n > 1 OR met")
+    sets = cut(sets.select("id", "key", "n", F.coalesce("met", F.lit(False)).alias("met")), "paragraph-sets")
+    held = cut(found.join(sets.select("id"), "id"), "paragraphs-held")
     # whose text: one occurrence of each colliding paragraph, taken out of its row's text
-    wanted = found.select("id", "key", "start", "end", "words").join(met.select("id").distinct().select(dealt_anew("id")), "id")
-    wanted = cut(wanted.groupBy("id").agg(F.min(F.struct("key", "start", "end")).alias("at"), F.first("words").alias("words")), "paragraphs-wanted")
+    wanted = held.groupBy("id").agg(F.min(F.struct("key", "start", "end")).alias("at"), F.first("words").alias("words"))
+    wanted = cut(wanted.join(sets.filter("met").select(dealt_anew("id"), F.col("key").alias("half")), "id"), "paragraphs-wanted")
     of_row = wanted.groupBy(F.col("at.key").alias("_key")).agg(F.collect_list(F.struct("id", "at.start", "at.end")).alias("of"))
-    texts = docs.select(row_key().alias("key"), "text").join(of_row.select(dealt_anew("_key", binary=False), "of"), F.col("key") == F.col("_key"))
+    texts = docs.select(row_key().alias("key"), "text").join(of_row.select(dealt_anew("_key", "long"), "of"), F.col("key") == F.col("_key"))
     texts = texts.select("text", F.explode("of").alias("o")).select("o.id", F.expr("substring(text, cast(o.start as int) + 1, cast(o.end - o.start as int))").alias("text"))
     texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-    sizes = met.join(wanted.select("id", "words"), "id").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = S.in_blocks(met.join(sizes.select(dealt_anew("bucket", binary=False), "blocks"), "bucket"), F.col("blocks"))
+    met = met.join(wanted.select(F.col("half").alias("key"), "id", "words"), "key").select("bucket", "id", "words")
+    # copies meet in several bands: of buckets with the same members one is looked at
+    members = [F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit("x"), "id")).alias("xor")]
+    sizes = met.groupBy("bucket").agg(*members, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_SHINGLES)).alias("blocks"))
+    sizes = sizes.groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks"))
+    placed = S.in_blocks(met.join(sizes.select(dealt_anew("bucket", "long"), "blocks"), "bucket"), F.col("blocks"))
     edges = verified_edges(S.together(placed.join(texts.select(dealt_anew("id"), "text"), "id"), "bucket"), threshold)
     roots = S.components(edges)
     clustered = sets.join(roots, "id", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "id"))
     clusters = clustered.groupBy("root").agg(F.sum("n").alias("n_occurrences")).filter("n_occurrences > 1")
     named = cut(clustered.select("id", "root").join(clusters.select(dealt_anew("root"), "n_occurrences"), "root"), "clusters")
-    out = cut(found.drop("buckets").join(named, "id"), "repeated")
-    kept = out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "end", "row")).alias("kept")).select(dealt_anew("root"), "kept")
-    out = out.join(kept, "root")
-    return out.select(
+    out = held.join(named, "id")
+    kept = cut(out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "end", "row")).alias("kept")), "kept")
+    named = named.join(kept, "root").select("id", "n_occurrences", "kept")
+    return held.join(named.select(dealt_anew("id"), "n_occurrences", "kept"), "id").select(
         "doc_id", "start", "end", "words", F.col("kept.doc_id").alias("class_doc_id"), F.col("kept.start").alias("class_start"), "n_occurrences",
         ((F.col("kept.row") != F.col("row")) | (F.col("kept.start") != F.col("start"))).alias("removed"), F.col("key").alias("text_key"),
     )
@@ -271,7 +296,7 @@ def without_duplicates(docs: DataFrame, duplicates: DataFrame) -> DataFrame:
     spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "always"))).alias("spans"))
     held = cut(docs.select(row_key().alias("key"), F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")), "rows")  # rows have their numbers from here on
     stays = held.join(spans.select("text_key"), F.col("key") == F.col("text_key"), "left_semi").groupBy("key").agg(F.min("number").alias("first"))
-    held = held.join(spans.join(stays, F.col("key") == F.col("text_key")).select(dealt_anew("text_key", binary=False), "first", "spans"), F.col("key") == F.col("text_key"), "left")
+    held = held.join(spans.join(stays, F.col("key") == F.col("text_key")).select(dealt_anew("text_key", "long"), "first", "spans"), F.col("key") == F.col("text_key"), "left")
     text = F.col("row.text")
     piece = lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))
     end = F.struct(F.length(text).cast("long").alias("start"), F.length(text).cast("long").alias("end"), F.lit(True).alias("always"))
