@@ -69,7 +69,7 @@ def english_lines(c: Column) -> Column:
 
 
 def latin_characters(c: Column) -> Column:
-    return F.regexp_count(_text(c), F.lit("[A-Za-z]"))
+    return F.length(F.regexp_replace(_text(c), "[^A-Za-z]+", ""))
 
 
 def english_words(c: Column) -> Column:
@@ -78,8 +78,8 @@ def english_words(c: Column) -> Column:
 
 def is_placeholder(c: Column) -> Column:
     """At least two of the phrases; the first of them holds the second, so it counts for both."""
-    text = F.lower(clean_layout(c))
-    return sum(F.contains(text, F.lit(p)).cast("int") for p in PLACEHOLDER_PHRASES) >= 2
+    cleaned = F.array(F.lower(clean_layout(c)))  # in an array, so that it is worked out once for all phrases
+    return F.transform(cleaned, lambda text: sum(F.contains(text, F.lit(p)).cast("int") for p in PLACEHOLDER_PHRASES) >= 2)[0]
 
 
 def page_verdict(c: Column, least_latin: int = LEAST_LATIN, least_words: int = LEAST_WORDS) -> Column:

@@ -73,6 +73,18 @@ def removes_item(operation: Column, target: Column, level: Column, identifier: C
     return (operation == "omitted") & F.rlike(F.trim(target), pattern) & (F.btrim(rest, F.lit(" ,;:-")) == "")
 
 
+def matches(items: DataFrame, index: DataFrame, level: str, identifier: str) -> DataFrame:
+    """items joined with the operations of citation_index() whose target names them; _omits: by which they are removed.
+
+    Many operations of a section have one target: items are held against each section's different targets, and
+    operations then join by section and target.
+    """
+    targets = index.select("section", "target", (F.col("operation") == "omitted").alias("_out")).groupBy("section", "target").agg(F.bool_or("_out").alias("_out"))
+    named = items.join(targets, "section").filter(names_item(F.col("target"), F.col(level), F.col("section"), F.col(identifier)))
+    named = named.withColumn("_ends", F.when(F.col("_out"), removes_item(F.lit("omitted"), F.col("target"), F.col(level), F.col(identifier))).otherwise(False)).drop("_out")
+    return named.join(index, ["section", "target"]).withColumn("_omits", F.col("_ends") & (F.col("operation") == "omitted")).drop("_ends")
+
+
 @F.pandas_udf(BooleanType())
 def _unlike(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() < LEAST_ALIKE for a, b in zip(first, second, strict=True)], dtype=bool)
@@ -106,7 +118,7 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
     historical_subsection, restored_subsection, historical_version, historical_clause, restored_clause.  Items
     in both without a supported change give no row.  A section is matched inside its chapter (scope="chapter",
     so one that moved is added again) or anywhere (scope="document").  Of equal current keys the last counts.
-    Every join is by section, so one partitioning serves them all.
+    Items meet operations by section and target, and notes by section.
     """
     cur, old = _keyed(current), _keyed(enacted)
     if scope == "document":
@@ -134,8 +146,7 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
     keys = ["level", *at, "clause"]
 
     level, ident = F.col("level"), F.col("_id")
-    cited = items.join(index, "section").filter(names_item(F.col("target"), level, F.col("section"), ident))
-    cited = cited.withColumn("_omits", removes_item(F.col("operation"), F.col("target"), level, ident))
+    cited = matches(items, index, "level", "_id")
     n = notes.withColumnRenamed("section", "_s").withColumnRenamed("subsection", "_sub").withColumnRenamed("ord", "note_ord")
     side = F.when(level == "section", "enacted").otherwise("current")
     whose = (F.col("section") == F.upper("_s")) & (F.col("act") == side) & (F.col("_sub").isNull() | (F.col("subsection") == F.upper("_sub")))

@@ -248,12 +248,13 @@ def snapped_anchor(text: Column, offset: Column) -> Column:
     """struct(offset, kind, quote): the boundary nearest to an offset — ends, ends of sentences and words, the first
     of equally near ones — with thirty characters on each side."""
     n = F.length(text)
-    letter = lambda i: F.substring(text, i + 1, F.lit(1)).rlike("[A-Za-z0-9_]")
-    near = F.sequence(F.greatest(F.lit(0), offset - 200), F.least(n, offset + 200))
-    stop = lambda i: F.substring(text, i, F.lit(1)).rlike("[.!?;:]") & F.substring(text, i + 1, F.lit(1)).rlike(r"^(?:\s|)$")
-    bounds = F.filter(near, lambda i: ((i > 0) & (i < n) & (letter(i - 1) != letter(i))) | ((i > 0) & stop(i)))
-    every = F.concat(F.array(F.lit(0), n), bounds)
-    nearest = F.array_min(F.transform(every, lambda i, nth: F.struct(F.abs(i - offset).alias("d"), nth.alias("nth"), i.alias("i"))))["i"]
+    boundary = r"(?:(?<=[A-Za-z0-9_])(?=[^A-Za-z0-9_])|(?<=[^A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[.!?;:])(?=\s))"
+    # the last boundary up to the offset and the first one behind it, however far away
+    before = F.length(F.regexp_extract(F.substring(text, F.lit(1), offset + 1), "(?s)^(.+)" + boundary, 1))
+    after = F.length(F.regexp_extract(F.substring(text, offset + 1, n), "(?s)^(.+?)" + boundary, 1))
+    at = lambda place, i: F.struct(F.abs(i - offset).alias("d"), F.lit(place).alias("place"), i.alias("i"))
+    every = F.array(at(0, F.lit(0)), at(1, n), F.when(before > 0, at(2, before)), F.when(after > 0, at(3, offset + after)))
+    nearest = F.array_min(F.filter(every, lambda x: x.isNotNull()))["i"]
     return F.transform(F.array(nearest), lambda best: _anchor(text, n, best))[0]
 
 
@@ -265,23 +266,45 @@ def _anchor(text: Column, n: Column, best: Column) -> Column:
 
 # Differences ----------------------------------------------------------------------------------------------
 
-#: Pairs with a larger table than this are not compared but marked.
-MOST_CELLS = 4_000_000
-
-
 def word_diff_operations(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """(type, value) runs by a longest common subsequence; at equal lengths removing comes before adding."""
+    """(type, value) runs by a longest common subsequence; at equal lengths removing comes before adding.
+
+    Of the table of lengths one row in so many is kept, and those between are worked out again when the way
+    through it comes there: memory grows with the width times the root of the height, and no pair is too long.
+    """
     import numpy as np
 
     rows, wide = len(old), len(new)
     codes: dict[str, int] = {}
     a = np.array([codes.setdefault(t, len(codes)) for t in old], np.int64)
     b = np.array([codes.setdefault(t, len(codes)) for t in new], np.int64)
-    table = np.zeros((rows + 1, wide + 1), np.int32)
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Row i from row i + 1: best of skipping old[i] and of matching it, carried along by a running maximum."""
+        row = np.zeros(wide + 1, np.int32)
+        best = np.maximum(below[:-1], np.where(b == a[i], below[1:] + 1, 0))
+        row[:-1] = np.maximum.accumulate(best[::-1])[::-1]
+        return row
+
+    step = max(1, int(rows**0.5))
+    kept, row = {rows: np.zeros(wide + 1, np.int32)}, np.zeros(wide + 1, np.int32)
     for i in range(rows - 1, -1, -1):
-        # best of skipping old[i] and of matching it, then carried along the row by a running maximum
-        best = np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    block: dict[int, np.ndarray] = {}
+
+    def length(i: int, j: int) -> int:
+        if i in kept:
+            return int(kept[i][j])
+        if i not in block:
+            top = min((i // step + 1) * step, rows)
+            block.clear()
+            r = kept[top]
+            for k in range(top - 1, i - i % step, -1):
+                r = block[k] = above(k, r)
+        return int(block[i][j])
+
     runs: list[list[str]] = []
 
     def put(kind: str, value: str) -> None:
@@ -295,7 +318,7 @@ def word_diff_operations(old: list[str], new: list[str]) -> list[tuple[str, str]
         if i < rows and j < wide and old[i] == new[j]:
             put("same", old[i])
             i, j = i + 1, j + 1
-        elif j == wide or (i < rows and table[i + 1, j] >= table[i, j + 1]):
+        elif j == wide or (i < rows and length(i + 1, j) >= length(i, j + 1)):
             put("removed", old[i])
             i += 1
         else:
@@ -305,7 +328,7 @@ def word_diff_operations(old: list[str], new: list[str]) -> list[tuple[str, str]
 
 
 def word_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """pairs with diff: array<struct<type,value>>, and quarantined: true where both texts are too long to compare.
+    """pairs with diff: array<struct<type,value>>.
 
     Tokens are white space, runs of letters and digits, and single other characters.  Equal texts are decided
     without Python.
@@ -319,9 +342,6 @@ def word_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     def runs(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([[{"type": k, "value": v} for k, v in word_diff_operations(list(x), list(y))] for x, y in zip(a, b, strict=True)])
 
-    equal = pairs.filter(same).withColumn("quarantined", F.lit(False)).withColumn("diff", F.when(F.coalesce(old, F.lit("")) != "", F.array(F.struct(F.lit("same").alias("type"), F.col(old).alias("value")))).otherwise(F.array().cast(kind)))
+    equal = pairs.filter(same).withColumn("diff", F.when(F.coalesce(old, F.lit("")) != "", F.array(F.struct(F.lit("same").alias("type"), F.col(old).alias("value")))).otherwise(F.array().cast(kind)))
     d = pairs.filter(~same).withColumn("_a", tokens(F.col(old))).withColumn("_b", tokens(F.col(new)))
-    d = d.withColumn("quarantined", (F.size("_a") + 1).cast("long") * (F.size("_b") + 1) > MOST_CELLS)
-    done = d.filter("NOT quarantined").withColumn("diff", runs("_a", "_b"))
-    kept = d.filter("quarantined").withColumn("diff", F.lit(None).cast(kind))
-    return equal.unionByName(done.drop("_a", "_b")).unionByName(kept.drop("_a", "_b"))
+    return equal.unionByName(d.withColumn("diff", runs("_a", "_b")).drop("_a", "_b"))

@@ -28,7 +28,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 16 < 4").selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS doc_ord", "l_linenumber AS op_ord", "concat('Amendment Act ', 2000 + l_suppkey % 20) AS title", "CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE cast(l_suppkey % 50 AS string) END AS act_number",
         "cast(l_partkey % 50 + 1 AS string) AS principal_section", "CASE l_linenumber % 4 WHEN 0 THEN 'inserted' WHEN 1 THEN 'omitted' WHEN 2 THEN 'substituted' ELSE 'amended' END AS operation",
         "CASE l_partkey % 4 WHEN 0 THEN concat('In section ', l_partkey % 50 + 1) WHEN 1 THEN concat('section ', l_partkey % 50 + 1, ', sub-section (', l_suppkey % 4, ')')"
@@ -56,8 +56,7 @@ def target_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, _ = snapshots(spark, sf_dir)
     items = current.select("section", F.when(F.col("clause").isNull(), "subsection").otherwise("clause").alias("level"), F.coalesce("clause", "subsection").alias("id")).distinct()
     index = H.citation_index(operations(spark, sf_dir))
-    hit = items.join(index, "section").filter(H.names_item(F.col("target"), F.col("level"), F.col("section"), F.col("id")))
-    return hit.groupBy("section", "level", "id").agg(F.count("*").alias("n"), F.count_if(H.removes_item(F.col("operation"), F.col("target"), F.col("level"), F.col("id"))).alias("n_removing"))
+    return H.matches(items, index, "level", "id").groupBy("section", "level", "id").agg(F.count("*").alias("n"), F.count_if("_omits").alias("n_removing"))
 
 
 def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +69,12 @@ def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unresolved notes back-filled from ordinances."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("section"), F.when(F.col("p_partkey") % 3 == 0, H.UNRESOLVED).otherwise(F.col("p_name")).alias("note"))
-    return H.back_fill(p, operations(spark, sf_dir).filter("doc_ord % 64 = 1")).select("id", "section", F.md5("note").alias("note"))
+    return H.back_fill(p, operations(spark, sf_dir)).select("id", "section", F.md5("note").alias("note"))
 
 
 def principal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents refer to a section of the principal Act."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").selectExpr("o_orderkey AS document", "concat('In section ', o_custkey % 60, 'a of the principal Act, and sections ', o_custkey % 7, ' of the Companies Act, 2013; section 3 of another') AS text")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS document", "concat('In section ', o_custkey % 60, 'a of the principal Act, and sections ', o_custkey % 7, ' of the Companies Act, 2013; section 3 of another') AS text")
     return H.section_references(o).withColumn("documents", F.md5("documents"))
 
 
@@ -94,7 +93,7 @@ ops AS (SELECT l_orderkey AS doc_ord, l_linenumber AS op_ord, 'Amendment Act ' |
   CASE l_partkey % 4 WHEN 0 THEN 'In section ' || l_partkey % 50 + 1 WHEN 1 THEN 'section ' || l_partkey % 50 + 1 || ', sub-section (' || l_suppkey % 4 || ')'
     WHEN 2 THEN 'section ' || l_partkey % 50 + 1 || ', clause (' || substr('abcde', (l_suppkey % 5 + 1)::INT, 1) || ')' ELSE 'subsection (' || l_suppkey % 4 || ') in part' END AS target,
   CASE l_linenumber % 3 WHEN 0 THEN l_suppkey % 9 + 1 || '. In the Act' WHEN 1 THEN '(ii) words' ELSE '' END AS source_excerpt,
-  CASE l_linenumber % 2 WHEN 0 THEN l_suppkey % 30 ELSE NULL END AS page, CASE l_linenumber % 5 WHEN 1 THEN '25th May, 2015' ELSE '' END AS day FROM lineitem WHERE l_orderkey % 16 < 4),
+  CASE l_linenumber % 2 WHEN 0 THEN l_suppkey % 30 ELSE NULL END AS page, CASE l_linenumber % 5 WHEN 1 THEN '25th May, 2015' ELSE '' END AS day FROM lineitem),
 idx AS (SELECT principal_section AS section, doc_ord, op_ord, operation, target, upper(operation[1]) || operation[2:] || ' by ' || title || CASE WHEN act_number <> '' THEN ' (Act ' || act_number || ')' ELSE '' END || ', ' || target
   || CASE l3 WHEN 0 THEN ', source item ' || regexp_extract(source_excerpt, '^[0-9]+') WHEN 1 THEN ', source item (ii)' ELSE '' END || CASE WHEN page IS NOT NULL THEN ', PDF page ' || page ELSE '' END
   || CASE WHEN day <> '' THEN '; effective ' || day ELSE '' END || '.' AS citation FROM (SELECT *, op_ord % 3 AS l3 FROM ops))""".replace("|| 2000 + l_suppkey % 20", "|| (2000 + l_suppkey % 20)").replace("|| l_partkey % 50 + 1", "|| (l_partkey % 50 + 1)").replace("THEN l_suppkey % 9 + 1 ||", "THEN (l_suppkey % 9 + 1) ||")
@@ -114,7 +113,7 @@ _KEY = r"trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
 ORACLE_SQL = {
     "citation_index": f"WITH {OPS} SELECT * FROM idx",
     "section_citations": f"WITH {OPS}, f AS (SELECT section, citation, min({{'d': doc_ord, 'o': op_ord}}) AS first FROM idx GROUP BY ALL), j AS (SELECT section, string_agg(citation, '; ' ORDER BY first, citation) AS c FROM f GROUP BY section) SELECT section, md5(c) AS citations, length(c) AS chars FROM j",
-    "target_matches": f"WITH {OPS}, {PARTS}, items AS (SELECT DISTINCT section, CASE WHEN clause IS NULL THEN 'subsection' ELSE 'clause' END AS level, coalesce(clause, subsection) AS id FROM cur) SELECT section, level, id, count(*) AS n, count_if({_REMOVES}) AS n_removing FROM items JOIN idx USING (section) WHERE {_NAMES} GROUP BY ALL",
+    "target_matches": f"WITH {OPS}, {PARTS}, items AS (SELECT DISTINCT section, CASE WHEN clause IS NULL THEN 'subsection' ELSE 'clause' END AS level, coalesce(clause, subsection) AS id FROM cur), h AS (SELECT section, level, id, operation, target, {_REMOVES} AS omits FROM items JOIN (SELECT DISTINCT section, operation, target FROM idx) USING (section) WHERE {_NAMES}) SELECT section, level, id, count(*) AS n, count_if(omits) AS n_removing FROM h JOIN idx USING (section, operation, target) GROUP BY ALL",
     "version_reconciliation": rf"""WITH {OPS}, {PARTS},
 notes AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'current' ELSE 'enacted' END AS act, p_size::VARCHAR AS s, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '(' || p_partkey % 4 || ')' END AS sub,
   'Note ' || p_partkey % 5 || ' on sub-section ( ' || p_partkey % 4 || ' ), Clause (' || substr('abcde', (p_partkey % 5 + 1)::INT, 1) || ')' AS note, p_partkey AS note_ord FROM part WHERE p_partkey % 11 = 0),
@@ -130,7 +129,8 @@ items AS (
   UNION ALL SELECT 'clause', chapter, section, subsection, clause, text, current_text IS NOT NULL, current_text FROM i2 WHERE in_u AND clause IS NOT NULL
   UNION ALL SELECT 'subsection', chapter, section, subsection, NULL, text, true, current_text FROM i2 WHERE in_u AND clause IS NULL AND NOT has_clauses),
 k AS (SELECT row_number() OVER () AS k, *, coalesce(clause, subsection, section) AS id FROM items),
-cited AS (SELECT k, citation AS note, {{'kind': 1, 'a': doc_ord, 'b': op_ord::BIGINT}} AS o, {_REMOVES} AS omits FROM k JOIN idx USING (section) WHERE {_NAMES}),
+m AS (SELECT k, section, operation, target, {_REMOVES} AS omits FROM k JOIN (SELECT DISTINCT section, operation, target FROM idx) USING (section) WHERE {_NAMES}),
+cited AS (SELECT k, citation AS note, {{'kind': 1, 'a': doc_ord, 'b': op_ord::BIGINT}} AS o, omits FROM m JOIN idx USING (section, operation, target)),
 local AS (SELECT k, note, {{'kind': 0, 'a': (sub IS NOT NULL)::BIGINT, 'b': note_ord}} AS o FROM k JOIN notes ON s = section AND act = CASE WHEN level = 'section' THEN 'enacted' ELSE 'current' END AND (sub IS NULL OR sub = subsection)
   WHERE level = 'section' OR (level = 'subsection' AND id = 'N/A') OR regexp_matches(note, {_PAT})),
 said AS (SELECT k, note, min(o) AS o FROM (SELECT k, note, o FROM cited UNION ALL SELECT k, note, o FROM local) GROUP BY ALL),
@@ -140,10 +140,10 @@ SELECT level, chapter, section, subsection, clause, CASE WHEN source_note <> ''
 UNION ALL SELECT level, chapter, section, subsection, clause, CASE WHEN level = 'clause' THEN 'historical_clause' ELSE 'historical_version' END, change_type, md5(source_note), text FROM n
   WHERE there AND source_note <> '' AND {_KEY.format('text')} <> {_KEY.format('current_text')}
 UNION ALL SELECT DISTINCT 'chapter', chapter, NULL, NULL, NULL, 'chapter_appended', NULL, md5(''), NULL FROM i2 WHERE NOT in_c""",
-    "note_back_fill": f"""WITH {OPS}, o AS (SELECT principal_section AS s, doc_ord, op_ord, title || ': ' || operation || ' ' || target || ' (section ' || principal_section || CASE WHEN page IS NOT NULL THEN ', PDF page ' || page ELSE '' END || ')' AS note FROM ops WHERE doc_ord % 64 = 1),
+    "note_back_fill": f"""WITH {OPS}, o AS (SELECT principal_section AS s, doc_ord, op_ord, title || ': ' || operation || ' ' || target || ' (section ' || principal_section || CASE WHEN page IS NOT NULL THEN ', PDF page ' || page ELSE '' END || ')' AS note FROM ops),
 f AS (SELECT s, note, min({{'d': doc_ord, 'o': op_ord}}) AS first FROM o GROUP BY ALL), j AS (SELECT s, string_agg(note, '; ' ORDER BY first, note) AS note FROM f GROUP BY s)
 SELECT p_partkey AS id, p_size::VARCHAR AS section, md5(CASE WHEN p_partkey % 3 = 0 THEN coalesce(j.note, 'Amendment source was not identified in the parsed footnotes.') ELSE p_name END) AS note FROM part LEFT JOIN j ON s = p_size::VARCHAR""",
-    "principal_references": """WITH f AS (SELECT o_orderkey AS document, unnest([1, 2]) AS n, unnest([(o_custkey % 60) || 'A', (o_custkey % 7)::VARCHAR]) AS section FROM orders WHERE o_orderkey % 5 = 0)
+    "principal_references": """WITH f AS (SELECT o_orderkey AS document, unnest([1, 2]) AS n, unnest([(o_custkey % 60) || 'A', (o_custkey % 7)::VARCHAR]) AS section FROM orders)
 SELECT section, md5(string_agg(document, ',' ORDER BY document, n)) AS documents FROM f GROUP BY section""",
     "operation_gate": f"""WITH {OPS} SELECT operation, CASE WHEN doc_ord % 9 = 0 THEN 'section' WHEN operation <> 'omitted' AND source_excerpt = '' THEN 'wording' ELSE '-' END AS violation, count(*) AS n FROM ops GROUP BY ALL""",
 }

@@ -23,7 +23,7 @@ def term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that texts mention."""
-    t = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").selectExpr("cast(l_suppkey % 40 AS string) AS section", "concat('see Section ', l_partkey % 60, 'a and section  ', l_orderkey % 30, ', subsection 4 of section 12(b); sectional 9') AS text")
+    t = table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 40 AS string) AS section", "concat('see Section ', l_partkey % 60, 'a and section  ', l_orderkey % 30, ', subsection 4 of section 12(b); sectional 9') AS text")
     s = table(spark, sf_dir, "part").selectExpr("CASE WHEN p_partkey % 2 = 0 THEN cast(p_size AS string) ELSE concat(p_size, 'A') END AS section")
     return R.cross_references(t, s)
 
@@ -113,7 +113,7 @@ def label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clause_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: clauses by verified lines."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     lines = li.selectExpr("cast(l_orderkey AS string) AS section", "cast(l_extendedprice * 100 AS long) * 10 + l_linenumber AS line", "CASE WHEN l_linenumber <= 2 THEN concat('(', l_linenumber, ')') ELSE concat('(', substr('abcdefgh', l_linenumber, 1), ')') END AS label")
     clauses = li.filter("l_linenumber > 2").selectExpr("cast(l_orderkey AS string) AS section", "concat('(', l_partkey % 2 + 1, ')') AS subsection", "concat('(', substr('abcdefgh', l_linenumber, 1), ')') AS clause", "l_linenumber AS ord").dropDuplicates(["section", "subsection", "clause"])
     return R.verified_clause_order(clauses, lines)
@@ -127,16 +127,16 @@ def library_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes anchored at the nearest boundary, in order of their offsets."""
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "substring(text, 1, 2000) AS text", "cast(doc_id * 37 % (length(substring(text, 1, 2000)) + 1) AS int) AS raw")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "cast(doc_id * 37 % (length(text) + 1) AS int) AS raw")
     return d.select("doc_id", R.snapped_anchor(F.col("text"), F.col("raw")).alias("a")).select("doc_id", "a.offset", "a.kind", F.md5("a.quote").alias("quote"))
 
 
 def near_copy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word differences of short documents with an altered copy."""
+    """Word differences of documents with an altered copy."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "$1, indeed, ").alias("new"))
     diff = R.word_diff(d, "text", "new")
     of = lambda *kinds: F.md5(F.array_join(F.transform(F.filter("diff", lambda x: x["type"].isin(*kinds)), lambda x: x["value"]), ""))
-    return diff.select("doc_id", "quarantined", F.coalesce(of("same", "removed") == F.md5("text"), F.lit(True)).alias("old_whole"), F.coalesce(of("same", "added") == F.md5("new"), F.lit(True)).alias("new_whole"))
+    return diff.select("doc_id", F.size("diff").alias("n_runs"), (of("same", "removed") == F.md5(F.coalesce("text", F.lit("")))).alias("old_whole"), (of("same", "added") == F.md5(F.coalesce("new", F.lit("")))).alias("new_whole"))
 
 
 _FNS = (glossary_terms, term_spans, cross_references, cited_sources, overlay, current_and_history, distinct_relationships, surplus_relationships, tab_counts, refreshed_order, family_predecessor, validity, change_history, evidence_leaves, label_order, clause_line_order, library_order, anchors, near_copy_diff)
@@ -150,7 +150,7 @@ d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY provision_id, docu
 ORACLE_SQL = {
     "glossary_terms": """WITH t AS (SELECT term, min(item_id) AS own FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark) WHERE length(term) >= 6 AND term NOT IN ('act', 'company') GROUP BY term),
 c AS (SELECT doc_id AS provision_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents) GROUP BY ALL) SELECT provision_id, term, n FROM c JOIN t ON word = term WHERE own <> provision_id""",
-    "cross_references": r"""WITH t AS (SELECT (l_suppkey % 40)::VARCHAR AS from_section, unnest([(l_partkey % 60) || 'A', (l_orderkey % 30)::VARCHAR, '12']) AS to_section FROM lineitem WHERE l_linenumber = 1),
+    "cross_references": r"""WITH t AS (SELECT (l_suppkey % 40)::VARCHAR AS from_section, unnest([(l_partkey % 60) || 'A', (l_orderkey % 30)::VARCHAR, '12']) AS to_section FROM lineitem),
 s AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_size || 'A' END AS s FROM part) SELECT from_section, to_section, count(*) AS n, to_section IN (FROM s) AS resolved FROM t GROUP BY from_section, to_section""",
     "cited_sources": """WITH n AS (SELECT p_partkey AS id, 2014 + p_partkey % 8 AS y1, 2015 + p_partkey % 3 AS y2, p_size, p_partkey % 2 = 0 AS even FROM part), y AS (SELECT unnest([2015, 2017, 2019, 2020]) AS year)
 SELECT id, year::VARCHAR AS year, CASE WHEN y1 = year THEN p_size::VARCHAR WHEN even THEN '7' ELSE '' END AS page FROM n, y WHERE year IN (y1, y2)""",
@@ -178,7 +178,7 @@ UNION ALL SELECT c_custkey, '', 'message' FROM customer WHERE contains(lower(c_n
 d AS (SELECT DISTINCT o_custkey AS grp, CASE o_custkey % 3 WHEN 0 THEN '(' || o_orderkey % 120 || ')' WHEN 1 THEN '(' || r[o_orderkey % 14 + 1] || ')' ELSE (o_orderkey % 30) || substr('ABC', (o_orderkey % 3 + 1)::INT, 1) END AS label,
   CASE o_custkey % 3 WHEN 0 THEN o_orderkey % 120 WHEN 1 THEN o_orderkey % 14 ELSE o_orderkey % 30 END AS k FROM orders, r)
 SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY k, label) AS position FROM d""",
-    "clause_line_order": """WITH li AS (SELECT *, l_orderkey::VARCHAR AS section, (l_extendedprice * 100)::BIGINT * 10 + l_linenumber AS line FROM lineitem WHERE l_orderkey % 4 = 0),
+    "clause_line_order": """WITH li AS (SELECT *, l_orderkey::VARCHAR AS section, (l_extendedprice * 100)::BIGINT * 10 + l_linenumber AS line FROM lineitem),
 c AS (SELECT section, '(' || l_partkey % 2 + 1 || ')' AS subsection, '(' || substr('abcdefgh', l_linenumber, 1) || ')' AS clause, min(l_linenumber) AS ord FROM li WHERE l_linenumber > 2 GROUP BY ALL),
 s AS (SELECT c.section, subsection, min(line) AS a FROM (SELECT DISTINCT section, subsection FROM c) c JOIN li ON li.section = c.section AND l_linenumber <= 2 AND subsection = '(' || l_linenumber || ')' GROUP BY ALL),
 t AS (SELECT *, lead(a) OVER (PARTITION BY section ORDER BY a) AS b FROM s),
