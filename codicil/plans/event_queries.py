@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,23 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refused.groupBy("kind").agg(F.count("*").alias("n"), F.sum("parsed.n").alias("chars"), F.count_distinct("sha256").alias("versions"))
 
 
+def fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: nothing is written unless all inputs are valid, here for each source of documents."""
+    path = shared_path(spark, "fail-closed")
+    d = table(spark, sf_dir, "documents").selectExpr("source", "concat(doc_id, '.json') AS filename", "'offline' AS model", "named_struct('title', source, 'n', n_chars) AS parsed", "CASE WHEN n_chars < 20 THEN 'too short' END AS problem")
+    written = spark.createDataFrame([], "source string, written long, refused long")
+    for source in [r["source"] for r in d.select("source").distinct().orderBy("source").collect()]:  # a handful of sources
+        rows, to = d.filter(F.col("source").eqNullSafe(F.lit(source))), f"{path}/{uuid.uuid4().hex}"
+        try:
+            I.write_if_all_valid(rows, to, F.col("problem"))
+            good, _ = I.read_envelopes(spark, to, "struct<title:string,n:bigint>")
+            done = good.agg(F.count("*").alias("written"), F.lit(0).cast("long").alias("refused"))
+        except I.Invalid as e:
+            done = spark.range(1).select(F.lit(0).cast("long").alias("written"), F.lit(e.count).cast("long").alias("refused"))
+        written = written.unionByName(done.withColumn("source", F.lit(source)))
+    return written
+
+
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests as CSV files below one root; the later row wins."""
     path = shared_path(spark, "manifests")
@@ -96,7 +115,7 @@ def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fingerprints(I.scan_corpus(spark, sf_dir, "*.parquet", "documents"))
 
 
-_FNS = (active_time, active_sessions, usage_counts, search_funnel, enriched_events, unread_backlog, streamed_usage, streamed_backlog, streamed_ingest, envelopes, manifest_scan, nested_master, table_files)
+_FNS = (active_time, active_sessions, usage_counts, search_funnel, enriched_events, unread_backlog, streamed_usage, streamed_backlog, streamed_ingest, envelopes, fail_closed, manifest_scan, nested_master, table_files)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _USAGE = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(value) AS n_values FROM events GROUP BY ALL"
@@ -114,5 +133,6 @@ SELECT day, count(a) AS submitted, count(*) FILTER (b > a) AS completed, count(*
     "streamed_backlog": _BACKLOG,
     "streamed_ingest": "SELECT max(event_id) AS seq, user_id::VARCHAR AS document_id, arg_max(event_type, event_id) AS particulars, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",
     "envelopes": """SELECT CASE doc_id % 4 WHEN 1 THEN 'bare_act' WHEN 2 THEN 'amendment' ELSE 'current_act' END AS kind, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(DISTINCT source || ' ' || n_chars) AS versions FROM documents WHERE doc_id > 1 GROUP BY ALL""",
+    "fail_closed": "SELECT source, CASE WHEN count_if(n_chars < 20) = 0 THEN count(*) ELSE 0 END AS written, count_if(n_chars < 20)::BIGINT AS refused FROM documents GROUP BY source",
     "manifest_scan": "SELECT 'f' || user_id || '.pdf' AS filename, max(event_id)::VARCHAR AS document_id FROM events WHERE event_id % 6 <> 0 GROUP BY user_id",
 }

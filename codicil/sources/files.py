@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.functions.names import body_start, document_kind
@@ -53,6 +53,23 @@ def write_envelopes(documents: DataFrame, path: str) -> None:
     documents.select("filename", F.sha2(F.to_json("parsed"), 256).alias("sha256"), "model", "parsed", kind.alias("kind")).write.partitionBy("kind").json(path)
 
 
+class Invalid(ValueError):
+    """Rows that may not be written; `count` of them, and the first of their reasons."""
+
+    def __init__(self, count: int, reasons: list[str]):
+        super().__init__(f"{count} invalid: {', '.join(reasons)}")
+        self.count = count
+
+
+def write_if_all_valid(documents: DataFrame, path: str, problem: Column) -> None:
+    """write_envelopes(), unless a row has a problem: a column that is null where the row is valid.  Then nothing is
+    written and Invalid raised.  All rows are looked at before the first is written."""
+    found = documents.filter(problem.isNotNull()).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.substring(problem, 1, 80))).alias("reasons")).first()
+    if found["n"]:
+        raise Invalid(found["n"], found["reasons"][:5])
+    write_envelopes(documents, path)
+
+
 def read_envelopes(spark: SparkSession, path: str, parsed: str) -> tuple[DataFrame, DataFrame]:
     """Envelopes of a schema, and those that break it."""
     d = spark.read.schema(f"filename string, sha256 string, model string, parsed {parsed}, kind string, _corrupt_record string").json(path)

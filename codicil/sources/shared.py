@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
+    """A new path below spark.checkpoint.dir; where that is unset and all is one machine (tests), below a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codicil-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/codicil-{name}-{uuid.uuid4().hex}"

@@ -263,3 +263,41 @@ def test_broken_envelopes_are_set_apart(spark, tmp_path):
     (tmp_path / "kind=bare_act" / "a.json").write_text('{"filename":"f","sha256":"s","model":"m","parsed":{"t":1}}\n{broken\n')
     good, bad = I.read_envelopes(spark, str(tmp_path), "struct<t:bigint>")
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_nothing_is_written_unless_all_is_valid(spark, tmp_path):
+    d = spark.createDataFrame([("a.json", "m", "x", None), ("b.json", "m", "y", "no wording")], "filename string, model string, title string, problem string").selectExpr("filename", "model", "struct(title) AS parsed", "problem")
+    with pytest.raises(I.Invalid) as e:
+        I.write_if_all_valid(d, f"file://{tmp_path}/out", F.col("problem"))
+    assert e.value.count == 1 and not (tmp_path / "out").exists()
+    I.write_if_all_valid(d.filter("problem IS NULL"), f"file://{tmp_path}/out", F.col("problem"))
+    assert I.read_envelopes(spark, f"file://{tmp_path}/out", "struct<title:string>")[0].count() == 1
+
+
+def test_anchors_against_every_boundary(spark):
+    """The nearest boundary over the whole text, however far away, by looking at each place."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab_ .;!\n,é9") for _ in range(rng.randrange(1, 30))) for _ in range(150)] + ["x" * 900 + " y" + "z" * 700, "", "   "]
+    rows = [(t, o) for t in texts for o in {0, len(t), rng.randrange(len(t) + 1)}]
+    word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+
+    def nearest(t, o):
+        bounds = [i for i in range(1, len(t)) if word(t[i - 1]) != word(t[i]) or (t[i - 1] in ".!?;:" and t[i] in " \n\t")]
+        return min((abs(i - o), k, i) for k, i in enumerate([0, len(t), *bounds]))[2]
+
+    got = spark.createDataFrame(rows, "t string, o int").select("t", "o", R.snapped_anchor(F.col("t"), F.col("o")).alias("a")).select("t", "o", "a.offset").collect()
+    assert [r.offset for r in got] == [nearest(r.t, r.o) for r in got]
+
+
+def test_word_diff_with_few_rows_kept():
+    """The same runs as with the whole table."""
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        runs = R.word_diff_operations(a, b)
+        assert sum(len(v) for k, v in runs if k == "same") == table[0][0]
+        assert "".join(v for k, v in runs if k != "added") == "".join(a) and "".join(v for k, v in runs if k != "removed") == "".join(b)
