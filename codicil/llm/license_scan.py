@@ -60,25 +60,37 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def largest_shares(templates, idf: dict[str, float], cosine: float) -> Column:
-    """A map of words to the largest part that each has of what a template needs for the cosine.
+def shares(templates, idf: dict[str, float], cosine: float) -> list[dict[str, float]]:
+    """For each template, the part that each of its words has of what the template needs for the cosine.
 
     What a text shares with a template must be at least cosine squared of the template's length squared, as the
     rest of either vector adds nothing to their product (Cauchy-Schwarz).  So texts whose words' parts sum up to
-    less than 1 reach no template.
+    less than 1 do not reach the template.
     """
-    parts: dict[str, float] = {}
+    found = []
     for _, text in templates:
         squares = {w: (n * idf[w]) ** 2 for w, n in Counter(re.findall("[a-z0-9]+", text.lower())).items()}
         least = max(0.0, cosine - 1e-5) ** 2 * sum(squares.values())
-        for w, x in squares.items():
-            parts[w] = max(parts.get(w, 0.0), x / least if least else 1.0)
-    heaviest = sorted(parts.items(), key=lambda p: (-p[1], p[0]))
-    return F.create_map(*[F.lit(x) for pair in heaviest for x in pair])
+        found.append({w: x / least if least else 1.0 for w, x in squares.items()})
+    return found
 
 
-def reaches(words: Column, shares: Column) -> Column:
-    return F.aggregate(words, F.lit(0.0), lambda total, w: total + F.coalesce(F.try_element_at(shares, w), F.lit(0.0))) >= 1 - 1e-9
+def reaches(words: Column, of_templates: list[dict[str, float]]) -> Column:
+    """Whether the words' parts sum up to 1 for some template; first for the largest part of each word in any."""
+
+    def one(parts: dict[str, float]) -> Column:
+        heaviest = sorted(parts.items(), key=lambda p: (-p[1], p[0]))
+        of_word = F.create_map(*[F.lit(x) for pair in heaviest for x in pair])
+        return F.aggregate(words, F.lit(0.0), lambda total, w: total + F.coalesce(F.try_element_at(of_word, w), F.lit(0.0))) >= 1 - 1e-9
+
+    largest: dict[str, float] = {}
+    for parts in of_templates:
+        for w, x in parts.items():
+            largest[w] = max(x, largest.get(w, 0.0))
+    some = one(of_templates[0])
+    for parts in of_templates[1:]:
+        some = some | one(parts)
+    return one(largest) & some
 
 
 def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
@@ -110,7 +122,7 @@ def licences(docs: DataFrame, templates=TEMPLATES, header_cosine: float = HEADER
     unseen = F.log(F.lit(1.0 + n_docs)) + 1
 
     # whole texts and lines that could reach their threshold; a text that could not as a whole has no such line
-    of_texts, of_lines = (largest_shares(templates, idf, c) for c in (file_cosine, header_cosine))
+    of_texts, of_lines = (shares(templates, idf, c) for c in (file_cosine, header_cosine))
     none = F.array().cast("array<struct<line:bigint,w:array<string>>>")
     unit = lambda line, w: F.struct(line.cast("long").alias("line"), w.alias("w"))
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda u, i: unit(i, tokens(u))), lambda u: reaches(F.array_intersect(u["w"], vocab), of_lines))
