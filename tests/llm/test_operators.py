@@ -546,3 +546,33 @@ def test_op10_odd(spark, odd, nothing):
     rows = token_counts.length_histogram(token_counts.with_token_counts(odd, ["lang"]), ["lang"]).collect()
     assert sum(r.n_docs for r in rows) == 10 and {r.lang for r in rows} == {"en", "de", "fr", None}
     assert token_counts.length_histogram(token_counts.with_token_counts(nothing, []), []).count() == 0
+
+
+@pytest.fixture(scope="session")
+def twins(spark):
+    """Several rows without an id, one id for different texts, and rows that tie."""
+    words = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    near = words("a").replace("a39", "other")
+    rows = [(None, words("n")), (None, words("m")), (None, words("n")), (5, words("a")), (5, words("b")), (6, near), (7, words("c")), (7, words("c")), (8, words("d")), (None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_op3_rows_without_an_id_and_ids_of_several_texts(twins):
+    got = collections.Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in ngram_join.near_duplicates(twins).collect())
+    assert got == collections.Counter({(None, None, 2, 1): 2, (None, None, 1, 0): 2, (5, 5, 1, 1): 1, (5, 5, 1, 0): 1, (6, 5, 1, 1): 1, (7, 7, 2, 1): 2, (8, 8, 1, 0): 1})
+    left = ngram_join.one_of_each(twins).collect()
+    assert len(left) == 7 and collections.Counter(r.doc_id for r in left) == {None: 3, 5: 2, 7: 1, 8: 1}
+
+
+def test_op1_rows_without_an_id_and_ids_of_several_texts(twins):
+    got = substring_dedup.duplicate_paragraphs(twins)
+    rows = got.collect()
+    assert collections.Counter(r.doc_id for r in rows if not r.removed)[7] >= 1
+    by_place = collections.defaultdict(list)
+    for r in rows:
+        by_place[(r.class_doc_id, r.class_start)].append(r.removed)
+    assert all(v.count(False) == 1 for v in by_place.values())
+    assert {r.doc_id for r in rows} == {None, 5, 6, 7}
+    texts = substring_dedup.without_duplicates(twins, got).collect()
+    assert len(texts) == 10 and sorted(bool(r.text.strip()) for r in texts if r.doc_id == 7) == [False, True]
+    assert [r.text for r in texts if r.doc_id == 8] == [" ".join(f"d{i}" for i in range(40))]
