@@ -27,7 +27,7 @@ def odd(spark):
         (6, body, "fr", "c", len(body)), (7, "x", "en", "", 1), (None, body + " more", "en", "c", 1), (9, "Ünï çödé\n\nzwei  drei vier", "de", "c", 20),
     ]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return d.selectExpr("*", "'s' AS size", "1 AS id", "2 AS bucket", "3 AS root", "4 AS length", "5 AS part", "'/p/' || doc_id || '/f.txt' AS path", "6 AS word", "7 AS kept", "8 AS n_words")
+    return d.selectExpr("*", "'s' AS size", "1 AS id", "2 AS bucket", "3 AS root", "4 AS length", "5 AS part", "'/p/' || doc_id || '/f.txt' AS path", "6 AS word", "7 AS kept", "8 AS n_words", *[f"{k} AS {c}" for k, c in enumerate(("_source", "_size", "_group", "_at", "_row", "_again", "_of_row", "_length", "key", "row", "number", "of", "rank", "n"))])
 
 
 @pytest.fixture(scope="session")
