@@ -59,5 +59,10 @@ def totals_at(histogram: DataFrame, limit: int, by: list[str]) -> DataFrame:
     )
 
 
+def quantile_at(histogram: DataFrame, q: float, by: list[str]) -> DataFrame:
+    """(by, length): for each group the largest length that at most a share q of its documents is shorter than."""
+    return histogram.filter(F.col("below") <= q).groupBy(*by).agg(F.max("length").alias("length"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(with_token_counts(documents(spark, sf_dir), ["lang"]), ["lang"])

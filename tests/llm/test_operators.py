@@ -538,6 +538,9 @@ def test_op10(spark, small, texts):
         assert r.n_docs == every.count(r.length) and r.docs_from == sum(x >= r.length for x in every)
         assert r.kept_tokens == sum(min(x, r.length) for x in every) and r.tokens_from == sum(x for x in every if x >= r.length)
     hist = token_counts.length_histogram(token_counts.with_token_counts(spark.read.parquet(f"{small}/documents.parquet"), ["lang"]), ["lang"])
+    for r in token_counts.quantile_at(hist, 0.5, ["lang"]).collect():
+        every = lengths[r.lang]
+        assert r.length == max(x for x in every if sum(y < x for y in every) <= 0.5 * len(every))
     for r in token_counts.totals_at(hist, 512, ["lang"]).collect():
         assert (r.kept_tokens, r.docs_over) == (sum(min(x, 512) for x in lengths[r.lang]), sum(x > 512 for x in lengths[r.lang]))
 
