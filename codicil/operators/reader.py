@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from codicil.functions import text as X
 from codicil.operators import statute as S
@@ -61,11 +62,49 @@ def term_spans(provisions: DataFrame, terms: list[str]) -> DataFrame:
     """(provision_id, nth, found): occurrences of any term in list order, leftmost, not overlapping, bounded by other
     than letters and digits.  For short lists, which become one pattern."""
     if len(terms) > PATTERN_TERMS:
-        raise ValueError("too many terms for one pattern; use single_word_terms()")
+        raise ValueError("too many terms for one pattern; use glossary_spans()")
     pattern = r"(?i)(?<![A-Za-z0-9])(" + "|".join(rf"\Q{t}\E" for t in terms) + r")(?![A-Za-z0-9])"
     return provisions.select("provision_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("nth", "found"))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _apart(starts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Places of the spans, in order of their starts, that overlap with none kept before."""
+
+    def kept(row_starts, row_sizes) -> list[int]:
+        end, places = 0, []
+        for place, (start, size) in enumerate(zip(row_starts, row_sizes)):
+            if start >= end:
+                places.append(place)
+                end = start + size
+        return places
+
+    return pd.Series([kept(a, b) for a, b in zip(starts, sizes)], dtype=object)
+
+
+def glossary_spans(provisions: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(provision_id, nth, found, term, owner): as term_spans(), for a glossary (term, provision_id, ord) of any size.
+
+    A provision's own terms are left out; the least ord goes first among terms at one place.  Runs of words, as long as
+    some term is, are joined to the terms, and only matches are gathered by provision.  Terms that do not begin and end
+    with a letter or digit of ASCII raise; term_spans() takes them.  Null and empty texts have no row.
+    """
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = F.when(F.rlike("term", F.lit(r"\A[A-Za-z0-9](?s:.*[A-Za-z0-9])?\z")), F.col("term")).otherwise(F.raise_error(F.concat(F.lit("not a term of words: "), F.col("term"))))
+    terms = eligible_terms(glossary).select(lower(whole).alias("_key"), F.regexp_count(whole, F.lit("[A-Za-z0-9]+")).alias("_size"), "term", F.col("provision_id").alias("owner"), "ord")
+    sizes = [r["_size"] for r in terms.select("_size").distinct().collect()]  # as many as terms have lengths in words
+    if not sizes:
+        return provisions.limit(0).select("provision_id", F.lit(0).alias("nth"), F.lit("").alias("found"), F.lit("").alias("term"), F.lit(None).cast(glossary.schema["provision_id"].dataType).alias("owner"))
+    run = lambda n: rf"(?<![A-Za-z0-9])(?=([A-Za-z0-9]++(?:[^A-Za-z0-9]++[A-Za-z0-9]++){{{n - 1}}}))"  # noqa: E731  n words from each word on
+    by_size = F.array(*[F.struct(F.lit(n).alias("_size"), F.regexp_extract_all("text", F.lit(run(n)), 1).alias("_runs")) for n in sorted(sizes)])
+    runs = provisions.select("provision_id", F.explode(by_size).alias("_of")).select("provision_id", "_of._size", F.posexplode("_of._runs").alias("_at", "found"))
+    hits = runs.withColumn("_key", lower(F.col("found"))).join(terms, ["_key", "_size"]).filter(~F.col("owner").eqNullSafe(F.col("provision_id")))
+    first = hits.groupBy("provision_id", "_at").agg(F.min_by(F.struct("_at", "_size", "found", "term", "owner"), F.struct("ord", "owner")).alias("_hit"))
+    in_order = first.groupBy("provision_id").agg(F.array_sort(F.collect_list("_hit")).alias("_hits"))
+    kept = in_order.withColumn("_kept", _apart("_hits._at", "_hits._size"))
+    return kept.select("provision_id", F.posexplode(F.transform("_kept", lambda i: F.get("_hits", i))).alias("nth", "_hit")).select("provision_id", "nth", "_hit.found", "_hit.term", "_hit.owner")
+
+
 def cross_references(texts: DataFrame, sections: DataFrame) -> DataFrame:
     """(from_section, to_section, n, resolved): sections that texts (section, text) mention."""
     found = texts.select(F.col("section").alias("from_section"), F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\bsection\s+([0-9]+[A-Za-z]?)(?!\w)"), 1)).alias("to_section"))

@@ -21,6 +21,15 @@ def term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("provision_id"), "text"), ["license", "the and", "tion", "public"])
 
 
+def glossary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a glossary of any size, here all words and pairs of words of the benchmark."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("provision_id"), F.explode(F.concat(F.filter(words, lambda x: F.length(x) >= 6), pairs)).alias("term"))
+    glossary = w.groupBy("term").agg(F.min("provision_id").alias("provision_id")).withColumn("ord", -F.length("term"))  # the longer first
+    return R.glossary_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("provision_id"), "text"), glossary)
+
+
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that texts mention."""
     t = table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 40 AS string) AS section", "concat('see Section ', l_partkey % 60, 'a and section  ', l_orderkey % 30, ', subsection 4 of section 12(b); sectional 9') AS text")
@@ -139,7 +148,7 @@ def near_copy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select("doc_id", F.size("diff").alias("n_runs"), (of("same", "removed") == F.md5(F.coalesce("text", F.lit("")))).alias("old_whole"), (of("same", "added") == F.md5(F.coalesce("new", F.lit("")))).alias("new_whole"))
 
 
-_FNS = (glossary_terms, term_spans, cross_references, cited_sources, overlay, current_and_history, distinct_relationships, surplus_relationships, tab_counts, refreshed_order, family_predecessor, validity, change_history, evidence_leaves, label_order, clause_line_order, library_order, anchors, near_copy_diff)
+_FNS = (glossary_terms, term_spans, glossary_spans, cross_references, cited_sources, overlay, current_and_history, distinct_relationships, surplus_relationships, tab_counts, refreshed_order, family_predecessor, validity, change_history, evidence_leaves, label_order, clause_line_order, library_order, anchors, near_copy_diff)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _ID = r"regexp_replace(lower({}), '[()\[\].\s]', '', 'g')"

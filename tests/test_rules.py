@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,3 +302,42 @@ def test_word_diff_with_few_rows_kept():
         runs = R.word_diff_operations(a, b)
         assert sum(len(v) for k, v in runs if k == "same") == table[0][0]
         assert "".join(v for k, v in runs if k != "added") == "".join(a) and "".join(v for k, v in runs if k != "removed") == "".join(b)
+
+
+def by_pattern(text, terms):
+    """The spans of one pattern of all terms, as plain Python finds them."""
+    pattern = "(?<![A-Za-z0-9])(" + "|".join(map(re.escape, terms)) + ")(?![A-Za-z0-9])"
+    return [m.group(1) for m in re.finditer(pattern, text, re.I | re.A)]
+
+
+def test_term_and_glossary_spans_against_a_pattern(spark):
+    """Terms that overlap, hold or repeat one another, at both ends of texts, with any separators."""
+    rng = random.Random(5)
+    terms = ["share", "share capital", "capital of a", "of a", "a company", "Paid-up share", "9th of", "share  capital", "paid"]
+    pieces = ["share", "Capital", "of", "A", "company", "paid", "up", "9th", "é", "shares", "ACT"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "-", "  ", ". ", ""]) for _ in range(rng.randrange(1, 25))) for _ in range(200)] + ["", None, "...", "act company", "share"]
+    d = spark.createDataFrame(list(enumerate(texts)), "provision_id long, text string")
+    eligible = [t for t in terms if len(t) >= 3]
+    want = {(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(by_pattern(t or "", eligible))}
+    assert {tuple(r) for r in R.term_spans(d, eligible).collect()} == want
+    glossary = spark.createDataFrame([(t, -1 - i, i) for i, t in enumerate(terms)] + [("act", -50, 50), ("up", -51, 51)], "term string, provision_id long, ord int")
+    got = R.glossary_spans(d, glossary).collect()
+    assert {(r.provision_id, r.nth, r.found) for r in got} == want and len(got) == len(want)
+    assert all(r.found.lower() == r.term.lower() and terms[-1 - r.owner] == r.term for r in got)
+    own = R.glossary_spans(d, glossary.withColumn("provision_id", F.lit(0).cast("long")))  # all terms are text 0's own
+    assert {(r.provision_id, r.nth, r.found) for r in own.collect()} == {w for w in want if w[0] != 0}
+    assert R.glossary_spans(d, glossary.limit(0)).count() == 0 and R.glossary_spans(d.limit(0), glossary).count() == 0
+    with pytest.raises(Exception, match="not a term of words"):
+        R.glossary_spans(d, spark.createDataFrame([("(a) b", 1, 1)], "term string, provision_id long, ord int")).count()
+
+
+def test_nested_master_holds_every_clause_in_order(spark):
+    rows = [(str(p % 3), f"{p % 3}{p % 4}", str(p % 2), "abcd"[p % 4] if p % 5 else None, f"t{p}", p) for p in range(40)]
+    rows.sort(key=lambda r: hashlib.md5(r[4].encode()).hexdigest())
+    d = spark.createDataFrame(rows, "chapter string, section string, subsection string, clause string, text string, position int")
+    want = {}
+    for c, s, b, k, t, _ in sorted(rows, key=lambda r: r[5]):
+        want.setdefault(c, {}).setdefault(s, {}).setdefault(b, []).append((k, t))
+    got = [(r.chapter, [(s.section, [(b.subsection, [tuple(x) for x in b.clauses]) for b in s.subsections]) for s in r.sections]) for r in I.nested_master(d).collect()]
+    assert got == [(c, [(s, list(b.items())) for s, b in ss.items()]) for c, ss in want.items()]
+    assert I.nested_master(d.limit(0)).count() == 0
