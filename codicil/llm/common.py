@@ -56,7 +56,7 @@ def dealt_anew(key: str, kind: str = "binary") -> Column:
 
 
 #: Bytes of keys and values, with what Python adds, that a Python worker remembers in one memo.
-MEMO_BYTES = 64_000_000
+MEMO_BYTES = 128_000_000
 
 
 class Memo(dict):
