@@ -40,11 +40,16 @@ def citation_index(ops: DataFrame) -> DataFrame:
     return ops.select(F.upper("principal_section").alias("section"), "doc_ord", "op_ord", "operation", F.trim("target").alias("target"), made.alias("citation"))
 
 
-def distinct_joined(rows: DataFrame, keys: list[str], note: str, order: list[str], sep: str = "; ") -> DataFrame:
-    """(keys, note): each group's different notes in the order of their first occurrence, joined."""
+def distinct_listed(rows: DataFrame, keys: list[str], note: str, order: list[str]) -> DataFrame:
+    """(keys, note): each group's different notes in the order of their first occurrence, as an array."""
     first = rows.filter(F.coalesce(note, F.lit("")) != "").groupBy(*keys, note).agg(F.min(F.struct(*order)).alias("_first"))
     parts = F.array_sort(F.collect_list(F.struct("_first", note)))
-    return first.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[note]), sep).alias(note))
+    return first.groupBy(*keys).agg(F.transform(parts, lambda x: x[note]).alias(note))
+
+
+def distinct_joined(rows: DataFrame, keys: list[str], note: str, order: list[str], sep: str = "; ") -> DataFrame:
+    """(keys, note): as distinct_listed(), joined."""
+    return distinct_listed(rows, keys, note, order).withColumn(note, F.array_join(note, sep))
 
 
 def bare_identifier(c: Column) -> Column:
@@ -142,23 +147,25 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
     clauses = inside.filter("clause IS NOT NULL").select(F.lit("clause").alias("level"), *at, "clause", "text", "_there", "current_text")
     versions = inside.filter(F.col("clause").isNull() & no("_has_clauses")).select(F.lit("subsection").alias("level"), *at, null.alias("clause"), "text", F.lit(True).alias("_there"), "current_text")
     items = sections.unionByName(subs).unionByName(clauses).unionByName(versions).withColumn("_id", F.coalesce("clause", "subsection", "section"))
-    items = items.persist()  # used by the citations, the notes and the result
     keys = ["level", *at, "clause"]
 
+    # citations hang on section, level and identifier, notes on the subsection too, but neither on the chapter
     level, ident = F.col("level"), F.col("_id")
-    cited = matches(items, index, "level", "_id")
+    asked = items.select("level", "section", "subsection", "_id").distinct()
+    cited = matches(asked.select("level", "section", "_id").distinct(), index, "level", "_id")
+    by_item = ["level", "section", "_id"]
+    cited = distinct_listed(cited, by_item, "citation", ["doc_ord", "op_ord"]).join(cited.groupBy(*by_item).agg(F.bool_or("_omits").alias("_omits")), by_item)
     n = notes.withColumnRenamed("section", "_s").withColumnRenamed("subsection", "_sub").withColumnRenamed("ord", "note_ord")
     side = F.when(level == "section", "enacted").otherwise("current")
     whose = (F.col("section") == F.upper("_s")) & (F.col("act") == side) & (F.col("_sub").isNull() | (F.col("subsection") == F.upper("_sub")))
     at_large = (level == "section") | ((level == "subsection") & (ident == "N/A"))
-    local = items.join(n, whose).filter(at_large | F.rlike("note", item_pattern(level, ident)))
-    place = lambda kind, a, b: [F.lit(kind).alias("_kind"), a.cast("long").alias("_a"), b.cast("long").alias("_b")]
-    said = local.select(*keys, F.col("note"), *place(0, F.col("_sub").isNotNull().cast("int"), F.col("note_ord"))).unionByName(cited.select(*keys, F.col("citation").alias("note"), *place(1, F.col("doc_ord"), F.col("op_ord"))))
-    safe = lambda d: d.withColumn("_k", F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x1e")) for c in keys]))
-    note = distinct_joined(safe(said), ["_k"], "note", ["_kind", "_a", "_b"]).withColumnRenamed("note", "source_note")
-    omits = safe(cited).groupBy("_k").agg(F.bool_or("_omits").alias("_omits"))
-    noted = safe(items).join(note, "_k", "left").join(omits, "_k", "left").withColumn("source_note", F.coalesce("source_note", F.lit("")))
-    noted = noted.withColumn("change_type", F.when(F.col("source_note") != "", F.when(F.col("_omits"), "omitted").otherwise("substituted"))).persist()
+    below = F.coalesce("subsection", F.lit("\x1e")).alias("_below")
+    local = asked.join(n, whose).filter(at_large | F.rlike("note", item_pattern(level, ident))).select(*by_item, below, "note", F.col("_sub").isNotNull().alias("_a"), "note_ord")
+    local = distinct_listed(local, [*by_item, "_below"], "note", ["_a", "note_ord"])
+    noted = items.withColumn("_below", below).join(cited, by_item, "left").join(local, [*by_item, "_below"], "left")
+    none = F.array().cast("array<string>")
+    noted = noted.withColumn("source_note", F.when(F.col("note").isNull(), F.array_join(F.coalesce("citation", none), "; ")).otherwise(F.array_join(F.array_distinct(F.concat("note", F.coalesce("citation", none))), "; ")))
+    noted = noted.withColumn("change_type", F.when(F.col("source_note") != "", F.when(F.col("_omits"), "omitted").otherwise("substituted")))
     new = noted.filter("NOT _there").withColumn("action", F.concat(F.when(F.col("source_note") != "", "historical_").otherwise("restored_"), "level"))
     changed = materially_different(noted.filter("_there AND source_note <> ''"), "text", "current_text")
     changed = changed.withColumn("action", F.when(level == "clause", "historical_clause").otherwise("historical_version"))
