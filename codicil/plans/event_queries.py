@@ -63,10 +63,11 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest kept by a restartable stream."""
     path = shared_path(spark, "ingest")
     rows = E.event_stream(spark, f"{sf_dir}/events*.parquet").selectExpr("event_id AS seq", "cast(user_id AS string) AS document_id", "event_type AS particulars", "event_type AS status")
-    last = E.ingest(rows, lambda d: M.upsert(d, ["particulars"]), f"{path}/table", f"{path}/checkpoint")
+    last_of_each = lambda d: M.upsert(d, ["particulars"])
+    last = E.ingest(rows, last_of_each, f"{path}/table", f"{path}/checkpoint")
     if last is None:
         return spark.createDataFrame([], rows.schema)
-    return spark.read.schema(rows.schema).parquet(f"{path}/table/batch={last}")
+    return E.ingested(spark, rows.schema, last_of_each, f"{path}/table", last)
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,21 +82,39 @@ def run_to_table(result: DataFrame, name: str) -> DataFrame:
             number -= 1
 
 
+def live_runs(number: int) -> list[int]:
+    """The batches whose runs make up the table after batch `number`, oldest first: one for each bit of number + 1."""
+    runs, left = [], number + 1
+    while left:
+        runs.insert(0, left - 1)
+        left &= left - 1
+    return runs
+
+
 def ingest(stream: DataFrame, upsert, path: str, checkpoint: str) -> int | None:
-    """A restartable upsert: each batch is merged with the table so far and written under the batch's number.
+    """A restartable upsert: the table is kept as runs path/batch=n, read it with ingested().
 
-    upsert(rows) gives the rows that stay.  The table after batch n is path/batch=n; returns the number of the last
-    batch written, None if there was nothing new.
+    upsert(rows) gives the rows that stay, and may be applied to a part of the rows before it is to all.  Batch n
+    takes up the runs that it makes superfluous, those of 1, 2, 4, ... batches before it, so a row is written
+    again as often as the number of batches doubles, not with each batch.  What a batch reads is told by its number
+    alone, so one that is run again after a failure writes the same.  Returns the number of the last batch
+    written, None if there was nothing new.
     """
     spark = stream.sparkSession
     written: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}").unionByName(batch)
+        rows, kept = batch, live_runs(number)
+        for run in [r for r in live_runs(number - 1) if r not in kept]:
+            rows = spark.read.schema(batch.schema).parquet(f"{path}/batch={run}").unionByName(rows)
         upsert(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
         written.append(number)
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return written[-1] if written else None
+
+
+def ingested(spark: SparkSession, schema, upsert, path: str, number: int) -> DataFrame:
+    """The table that ingest() left after batch `number`."""
+    runs = spark.read.schema(schema).parquet(*[f"{path}/batch={run}" for run in live_runs(number)])
+    return upsert(runs).select(*runs.columns)
