@@ -98,7 +98,7 @@ def sanitize(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(_text(c), r"\b[0-9]+\*+", ""), r"[0-9]+\[", "[")
     lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     kept = F.filter(lines, lambda x: ~x.rlike(r"^[0-9]+$") & ~x.rlike(r"(?i)^[0-9]+\s+SECTIONS$"))
-    joined = F.regexp_replace(F.array_join(kept, " "), r"([A-Za-z0-9_\x{00C0}-\x{024F}]+)-\s+([A-Za-z0-9_\x{00C0}-\x{024F}]+)", "$1$2")
+    joined = F.regexp_replace(F.array_join(kept, " "), r"([\p{L}\p{N}_]+)-\s+([\p{L}\p{N}_]+)", "$1$2")
     return F.trim(F.regexp_replace(joined, r"\s+", " "))
 
 

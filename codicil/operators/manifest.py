@@ -75,14 +75,14 @@ def document_ids(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def canonical_rows(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """(row_id, header, value) from rows (row_id, headers, cells) by canonical headers; unknown ones pass through.
 
-    aliases (alias, header) is a small fixed list.  A row without a serial number takes an all-digit first cell.
+    aliases (alias, header) is a list of any length; Spark broadcasts it while it is small.  A row without a serial number takes an all-digit first cell.
     """
     from codicil.functions.text import squeeze
 
     zipped = F.filter(F.arrays_zip(F.col("headers").alias("h"), F.col("cells").alias("c")), lambda x: x["h"].isNotNull() & x["c"].isNotNull())
     d = rows.select("row_id", F.explode(zipped).alias("x"))
     d = d.select("row_id", F.replace(F.lower(squeeze(F.col("x.h"))), F.lit("organisation"), F.lit("organization")).alias("alias"), squeeze(F.col("x.c")).alias("value"))
-    d = d.join(F.broadcast(aliases), "alias", "left").select("row_id", F.coalesce("header", "alias").alias("header"), "value")
+    d = d.join(aliases, "alias", "left").select("row_id", F.coalesce("header", "alias").alias("header"), "value")
     first = rows.select("row_id", squeeze(F.get("cells", F.lit(0))).alias("value")).filter("value RLIKE '^[0-9]+$'")
     serial = d.filter("header = 's. no.' AND value <> ''").select("row_id")
     return d.unionByName(first.join(serial, "row_id", "left_anti").select("row_id", F.lit("s. no.").alias("header"), "value"))

@@ -251,10 +251,13 @@ def ordered_labels(rows: DataFrame, group: str, label: str) -> DataFrame:
     w = Window.partitionBy(group)
     key = X.identifier(F.col(label))
     d = rows.withColumn("_k", key).withColumn("_digits", F.min(key.rlike("^[0-9]+$")).over(w)).withColumn("_roman", F.min(key.rlike("^[ivxlcdm]+$")).over(w))
-    number = F.when(F.col("_digits"), F.try_to_number("_k", F.lit("999999999999")).cast("long")).when(F.col("_roman"), roman_value(F.col("_k")).cast("long")).otherwise(0)
+    # digits in the order of their numbers, however many they are: first how many, without leading zeros
+    bare = lambda c: F.ltrim(c, F.lit("0"))
+    sortable = lambda c: F.concat(F.lpad(F.length(bare(c)).cast("string"), 9, "0"), bare(c))
+    number = F.when(~F.col("_digits") & F.col("_roman"), roman_value(F.col("_k"))).otherwise(0)
     parts = F.regexp_extract_all("_k", F.lit("([0-9]+|[^0-9]+)"), 1)
-    padded = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "\x1f")
-    natural = F.when(F.col("_digits") | F.col("_roman"), "").otherwise(padded)
+    padded = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), sortable(p)).otherwise(p)), "\x1f")
+    natural = F.when(F.col("_roman"), "").otherwise(padded)
     return d.withColumn("position", F.row_number().over(w.orderBy(number, natural, label))).drop("_k", "_digits", "_roman")
 
 

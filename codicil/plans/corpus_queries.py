@@ -116,7 +116,7 @@ s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(rege
   lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '(?i)^[0-9]+\s+SECTIONS$')) AS kept FROM t)
 SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{{00A0}}]+', ' ', 'g'))) AS squeezed,
   md5(trim(regexp_replace(regexp_replace(plain, ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS layout,
-  md5(trim(regexp_replace(regexp_replace(array_to_string(kept, ' '), '([A-Za-z0-9_\x{{00C0}}-\x{{024F}}]+)-\s+([A-Za-z0-9_\x{{00C0}}-\x{{024F}}]+)', '\1\2', 'g'), '\s+', ' ', 'g'))) AS sanitized,
+  md5(trim(regexp_replace(regexp_replace(array_to_string(kept, ' '), '([\p{{L}}\p{{N}}_]+)-\s+([\p{{L}}\p{{N}}_]+)', '\1\2', 'g'), '\s+', ' ', 'g'))) AS sanitized,
   md5(array_to_string(list_filter(list_transform(string_split(plain, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '[A-Za-z]') OR regexp_matches(x, '^([(\[{{]?[0-9]+[A-Za-z]?[)\]}}]?[.:-]?|[(\[][ivxlcdmIVXLCDM]+[)\]]|[-–—]+)$')), chr(10))) AS english,
   md5(text) AS unmarked FROM t JOIN s USING (doc_id)""",
     "text_keys": r"""

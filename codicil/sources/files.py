@@ -72,8 +72,9 @@ def write_if_all_valid(documents: DataFrame, path: str, problem: Column) -> None
 
 def read_envelopes(spark: SparkSession, path: str, parsed: str) -> tuple[DataFrame, DataFrame]:
     """Envelopes of a schema, and those that break it."""
-    d = spark.read.schema(f"filename string, sha256 string, model string, parsed {parsed}, kind string, _corrupt_record string").json(path)
-    d = d.persist()  # Spark reads corrupt records only together with others
+    schema = f"filename string, sha256 string, model string, parsed {parsed}, _corrupt_record string"
+    lines = spark.read.schema("value string, kind string").text(path)
+    d = lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("_e"), "kind").select("_e.*", "kind")
     return d.filter("_corrupt_record IS NULL").drop("_corrupt_record"), d.filter("_corrupt_record IS NOT NULL").select("_corrupt_record")
 
 

@@ -231,10 +231,46 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     for batch in both:
         rows(*batch).write.mode("append").parquet(src)
         E.ingest(spark.readStream.schema(rows().schema).parquet(src), lambda d: M.upsert(d, ["particulars"]), path, f"{tmp_path}/cp")
-    got = {tuple(r) for r in spark.read.schema(rows().schema).parquet(f"{path}/batch=1").collect()}
+    got = {tuple(r) for r in E.ingested(spark, rows().schema, lambda d: M.upsert(d, ["particulars"]), path, 1).collect()}
     assert got == {(2, "b", "y", "new"), (3, "a", "x", "done")}
 
 
+def test_runs_of_batches_cover_each_batch_once():
+    held = []  # the batches in each run
+    for n in range(70):
+        gone = [r for r in E.live_runs(n - 1) if r not in E.live_runs(n)]
+        held.append(sum((held[r] for r in gone), []) + [n])
+        assert sum((held[r] for r in E.live_runs(n)), []) == list(range(n + 1))
+    assert sum(map(len, held)) <= 70 * 7
+
+
+def test_ingest_of_many_batches(spark, tmp_path):
+    schema = "seq long, document_id string, particulars string, status string"
+    step = lambda d: M.upsert(d, ["particulars"])
+    last, all_rows = None, []
+    for k in range(7):
+        rows = [(10 * k + i, str((k * i) % 5), "p", f"s{k}{i}") for i in range(4)]
+        all_rows += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        last = E.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), step, f"{tmp_path}/t", f"{tmp_path}/cp")
+    assert last == 6
+    got = {tuple(r) for r in E.ingested(spark, schema, step, f"{tmp_path}/t", last).collect()}
+    assert got == {tuple(r)[:4] for r in step(spark.createDataFrame(all_rows, schema)).collect()}
+
+
+def test_long_numbers_keep_their_order(spark):
+    labels = ["99999999999999", "100000000000000", "0007", "12"]
+    d = spark.createDataFrame([("g", x) for x in labels] + [("h", x + "A") for x in labels], "g string, l string")
+    for group, tail in (("g", ""), ("h", "A")):
+        got = [r.l for r in R.ordered_labels(d, "g", "l").filter(f"g = '{group}'").orderBy("position").collect()]
+        assert got == [x + tail for x in ("0007", "12", "99999999999999", "100000000000000")]
+
+
+def test_hyphens_of_any_script(spark):
+    d = spark.createDataFrame([("при-\nмер amend-\nment अ-\nधि",)], "t string")
+    assert d.select(X.sanitize(F.col("t"))).first()[0] == "пример amendment अधि"
+
+
 def test_streamed_ingest_reads_the_last_batch(spark, tmp_path):
     from codicil.plans import event_queries as Q
 
