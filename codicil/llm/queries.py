@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codicil.llm import conversation_repair, license_scan, merkle, mixing, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, token_files
+from codicil.llm import conversation_repair, license_scan, merkle, mixing, ngram_join, packing, prefix_trie, quality, secret_scan, substring_dedup, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
@@ -18,10 +18,12 @@ QUERIES = {
         merkle.op9_fingerprints,
         token_counts.op10_token_counts,
         conversation_repair.op11_conversation_repair,
+        prefix_trie.op13_prefix_trie,
     )
 }
 ORACLE_SQL = {
     "op4_license_scan": license_scan.OP4_SQL,
     "op5_source_mix": mixing.OP5_SQL,
     "op11_conversation_repair": conversation_repair.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
