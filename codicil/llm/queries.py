@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codicil.llm import conversation_repair, license_scan, merkle, mixing, ngram_join, packing, prefix_trie, quality, secret_scan, substring_dedup, token_counts, token_files
+from codicil.llm import conversation_repair, license_scan, merkle, mixing, ngram_join, packing, prefix_trie, quality, secret_scan, sharding, substring_dedup, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         merkle.op9_fingerprints,
         token_counts.op10_token_counts,
         conversation_repair.op11_conversation_repair,
+        sharding.op12_shuffled_shards,
         prefix_trie.op13_prefix_trie,
     )
 }
