@@ -11,6 +11,7 @@ from codicil.operators import manifest as M
 from codicil.operators import statute as S
 from codicil.plans.statute_queries import fragments
 from codicil.sources import files as I
+from codicil.sources import manifests as P
 from codicil.sources.shared import shared_path
 from codicil.sources.tables import table
 from codicil.streaming import events as E
@@ -98,12 +99,20 @@ def fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifests as CSV files below one root; the later row wins."""
+    """Manifests of several headers in several folders; a document is a resolved path, and the later row wins."""
     path = shared_path(spark, "manifests")
-    rows = table(spark, sf_dir, "events").selectExpr("CASE WHEN event_id % 6 = 0 THEN '' ELSE cast(event_id AS string) END AS document_id", "concat('f', user_id, '.pdf') AS filename", "'2015-01-01' AS date", "event_type AS particulars", "'downloaded' AS status", "event_id AS seq")
-    # files in the order of seq, since the later manifest wins
-    rows.repartitionByRange("seq").write.option("header", "true").csv(path)
-    return I.latest_ids(I.scan_manifests(spark, path))
+    events = table(spark, sf_dir, "events").withColumn("id", F.expr("CASE WHEN event_id % 6 <> 0 THEN cast(event_id AS string) ELSE '' END"))
+    file = "concat(CASE WHEN event_id % 5 = 0 THEN '../event_type=view/./' ELSE '' END, 'f', user_id, '.pdf')"
+    shapes = (
+        ("a", ["id AS document_id", f"{file} AS saved_filename", "'downloaded' AS status"]),
+        ("b", [f"{file} AS saved_filename", "concat('on \"', user_id, '\",\n', event_id) AS particulars", "id AS document_id"]),
+        ("c", ["1 AS result_page", f"{file} AS filename", "event_type AS link_text", "'u' AS url", "9 AS bytes", "'ok' AS status"]),
+    )
+    for k, (folder, columns) in enumerate(shapes):  # files in the order of event_id, as the later manifest wins
+        rows = events.filter(F.col("event_id") % 3 == k).repartitionByRange("event_id").sortWithinPartitions("event_type", "event_id")
+        rows.selectExpr("event_type", *columns).write.partitionBy("event_type").options(header=True, escape='"').csv(f"{path}/{folder}")
+    found = P.latest_ids(P.scan_manifests(spark, path, "*.csv"))
+    return found.select(F.regexp_extract("filename", "([ab]/event_type=[^/]*/[^/]*)$", 1).alias("filename"), "document_id")
 
 
 def nested_master(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +144,6 @@ SELECT day, count(a) AS submitted, count(*) FILTER (b > a) AS completed, count(*
     "streamed_ingest": "SELECT max(event_id) AS seq, user_id::VARCHAR AS document_id, arg_max(event_type, event_id) AS particulars, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",
     "envelopes": """SELECT CASE doc_id % 4 WHEN 1 THEN 'bare_act' WHEN 2 THEN 'amendment' ELSE 'current_act' END AS kind, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(DISTINCT source || ' ' || n_chars) AS versions FROM documents WHERE doc_id > 1 GROUP BY ALL""",
     "fail_closed": "SELECT source, CASE WHEN count_if(n_chars < 20) = 0 THEN count(*) ELSE 0 END AS written, count_if(n_chars < 20)::BIGINT AS refused FROM documents GROUP BY source",
-    "manifest_scan": "SELECT 'f' || user_id || '.pdf' AS filename, max(event_id)::VARCHAR AS document_id FROM events WHERE event_id % 6 <> 0 GROUP BY user_id",
+    "manifest_scan": """SELECT CASE event_id % 3 WHEN 0 THEN 'a' ELSE 'b' END || '/event_type=' || CASE WHEN event_id % 5 = 0 THEN 'view' ELSE event_type END || '/f' || user_id || '.pdf' AS filename,
+  arg_max(event_id, struct_pack(a := event_type, b := event_id))::VARCHAR AS document_id FROM events WHERE event_id % 6 <> 0 AND event_id % 3 < 2 GROUP BY 1""",
 }

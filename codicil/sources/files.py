@@ -27,26 +27,6 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("relative", F.sha2("content", 256).alias("sha256"), F.length(body_start(F.col("content"))).alias("body_bytes"))
 
 
-MANIFEST = "document_id string, filename string, date string, particulars string, status string, seq long"
-
-
-def scan_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """All manifest rows below a root with the file they are from; a missing root gives no rows."""
-    try:
-        d = spark.read.schema(MANIFEST).option("header", "true").option("recursiveFileLookup", "true").csv(root)
-        return d.select("*", F.col("_metadata.file_path").alias("manifest"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], MANIFEST + ", manifest string")
-        raise
-
-
-def latest_ids(manifests: DataFrame) -> DataFrame:
-    """(filename, document_id): the later row wins, by manifest and then place in it; rows without either drop out."""
-    d = manifests.filter("coalesce(document_id, '') <> '' AND coalesce(filename, '') <> ''")
-    return d.groupBy("filename").agg(F.max_by("document_id", F.struct("manifest", "seq")).alias("document_id"))
-
-
 def write_envelopes(documents: DataFrame, path: str) -> None:
     """One JSON line per document, below a folder for each kind: filename, sha256, model, parsed."""
     kind = document_kind(F.col("filename"))

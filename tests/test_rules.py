@@ -281,7 +281,7 @@ def test_streamed_ingest_reads_the_last_batch(spark, tmp_path):
     assert got == {*((str(k), f"e{k}") for k in range(6)), ("99", "e5")}
 
 
-def test_corpus_scan_and_manifests(spark, tmp_path):
+def test_corpus_scan(spark, tmp_path):
     for name, body in (("a/One.pdf", b"xx%PDF-1.4 body"), ("a/Debug/two.pdf", b"%PDF-"), ("b/three.pdf", b"none"), ("b/x.txt", b"")):
         p = tmp_path / "docs" / name
         p.parent.mkdir(parents=True, exist_ok=True)
@@ -289,10 +289,6 @@ def test_corpus_scan_and_manifests(spark, tmp_path):
     got = I.fingerprints(I.scan_corpus(spark, f"{tmp_path}/docs")).orderBy("relative").collect()
     assert [(r.relative, r.body_bytes, r.sha256) for r in got] == [("a/One.pdf", 13, hashlib.sha256(b"xx%PDF-1.4 body").hexdigest()), ("b/three.pdf", None, hashlib.sha256(b"none").hexdigest())]
     assert I.scan_corpus(spark, f"{tmp_path}/docs", category="THREE").count() == 1
-    (tmp_path / "m" / "k").mkdir(parents=True)
-    (tmp_path / "m" / "k" / "downloads.csv").write_bytes(b"\xef\xbb\xbfdocument_id,filename,date,particulars,status,seq\n1,f.pdf,d,p,s,1\n2,f.pdf,d,p,s,2\n,g.pdf,d,p,s,3\n")
-    assert [tuple(r) for r in I.latest_ids(I.scan_manifests(spark, f"{tmp_path}/m")).collect()] == [("f.pdf", "2")]
-    assert I.scan_manifests(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_broken_envelopes_are_set_apart(spark, tmp_path):
