@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from codicil.functions import text as X
+from codicil.operators.mentions import is_at_large, is_mention, named_targets, with_identifiers, with_mentions
+from codicil.sources.shared import cut
 
 #: Wordings with a similarity below this are materially different.
 LEAST_ALIKE = 0.97
@@ -52,41 +55,13 @@ def distinct_joined(rows: DataFrame, keys: list[str], note: str, order: list[str
     return distinct_listed(rows, keys, note, order).withColumn(note, F.array_join(note, sep))
 
 
-def bare_identifier(c: Column) -> Column:
-    return F.btrim(F.trim(F.coalesce(c, F.lit(""))), F.lit("()"))
-
-
-def item_pattern(level: Column, identifier: Column) -> Column:
-    """The pattern by which a target or note names a section, subsection or clause."""
-    quoted = F.concat(F.lit(r"\Q"), bare_identifier(identifier), F.lit(r"\E"))
-    label = F.when(level == "clause", r"(?:sub-?clause|clause)").otherwise(r"(?:sub-?section|subsection)")
-    return F.when(level == "section", F.concat(F.lit(r"(?i)\bsection\s+"), quoted, F.lit(r"\b"))).otherwise(F.concat(F.lit(r"(?i)\b"), label, F.lit(r"\s*\(\s*"), quoted, F.lit(r"\s*\)")))
-
-
-def names_item(target: Column, level: Column, section: Column, identifier: Column) -> Column:
-    """Whether an operation's target names this very item.  Sections, and subsections without a number, must be
-    the whole target.  A clause's subsection is not looked at, so a clause (b) of any subsection matches."""
-    whole = F.concat(F.lit(r"(?i)^(?:(?:in|after|before)\s+)?section\s+\Q"), section, F.lit(r"\E\s*$"))
-    at_large = (level == "section") | ((level == "subsection") & (F.upper(identifier) == "N/A"))
-    return F.when(at_large, F.rlike(F.trim(target), whole)).otherwise(F.rlike(target, item_pattern(level, identifier)))
-
-
-def removes_item(operation: Column, target: Column, level: Column, identifier: Column) -> Column:
-    """An omission whose target ends with the item."""
-    pattern = item_pattern(level, identifier)
-    rest = F.regexp_replace(F.trim(target), F.concat(F.lit(r"(?s)\A.*?"), pattern), F.lit(""))
-    return (operation == "omitted") & F.rlike(F.trim(target), pattern) & (F.btrim(rest, F.lit(" ,;:-")) == "")
-
-
 def matches(items: DataFrame, index: DataFrame, level: str, identifier: str) -> DataFrame:
     """items joined with the operations of citation_index() whose target names them; _omits: by which they are removed.
 
-    Many operations of a section have one target: items are held against each section's different targets, and
-    operations then join by section and target.
+    Many operations of a section have one target: a section's different targets are searched for mentions once, items
+    meet those by section, level and identifier, and operations then join by section and target.
     """
-    targets = index.select("section", "target", (F.col("operation") == "omitted").alias("_out")).groupBy("section", "target").agg(F.bool_or("_out").alias("_out"))
-    named = items.join(targets, "section").filter(names_item(F.col("target"), F.col(level), F.col("section"), F.col(identifier)))
-    named = named.withColumn("_ends", F.when(F.col("_out"), removes_item(F.lit("omitted"), F.col("target"), F.col(level), F.col(identifier))).otherwise(False)).drop("_out")
+    named = named_targets(items, index.select("section", "target").distinct(), level, identifier)
     return named.join(index, ["section", "target"]).withColumn("_omits", F.col("_ends") & (F.col("operation") == "omitted")).drop("_ends")
 
 
@@ -114,7 +89,22 @@ def _keyed(p: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: DataFrame, scope: str = "chapter") -> DataFrame:
+def _local_notes(asked: DataFrame, notes: DataFrame) -> DataFrame:
+    """asked (level, section, subsection, _id, _below) with the notes (note, _a, note_ord) of their section, or subsection, that
+    name them; all of those where an item stands for the whole section.  Sections have enacted notes, others current ones."""
+    n = notes.select("act", F.upper("section").alias("_s"), F.upper("subsection").alias("_sub"), "note", F.col("ord").alias("note_ord"), F.col("subsection").isNotNull().alias("_a"))
+    side = F.when(F.col("level") == "section", "enacted").otherwise("current")
+    out = ["level", "section", "_id", "_below", "note", "_a", "note_ord"]
+    asked = asked.withColumn("_side", side)
+    wide = asked.filter(is_at_large(F.col("level"), F.col("_id")))
+    wide = wide.join(n, (F.col("section") == F.col("_s")) & (F.col("act") == F.col("_side")) & (F.col("_sub").isNull() | (F.col("subsection") == F.col("_sub")))).select(*out)
+    m = with_mentions(n, F.col("note")).select(F.struct("level", "_key", "_before", "_after").alias("_m"), "act", "_s", "_sub", "note", "_a", "note_ord")
+    own = with_identifiers(asked.filter(~is_at_large(F.col("level"), F.col("_id"))), "level", "_id")
+    named = own.join(m, is_mention() & (F.col("section") == F.col("_s")) & (F.col("act") == F.col("_side")) & (F.col("_sub").isNull() | (F.col("subsection") == F.col("_sub")))).select(*out)
+    return wide.unionByName(named)
+
+
+def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: DataFrame, scope: str = "chapter", shown: Callable[[Column], Column] = lambda note: note) -> DataFrame:
     """What the enacted wording adds to the current one: (level, chapter, section, subsection, clause, action, change_type, source_note, text).
 
     current, enacted: rows (chapter, section, subsection, clause, text, ord); clause null holds a subsection's
@@ -123,7 +113,8 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
     historical_subsection, restored_subsection, historical_version, historical_clause, restored_clause.  Items
     in both without a supported change give no row.  A section is matched inside its chapter (scope="chapter",
     so one that moved is added again) or anywhere (scope="document").  Of equal current keys the last counts.
-    Items meet operations by section and target, and notes by section.
+    Items meet operations and notes by section, level and identifier.  An item's notes are joined to one text once,
+    however many chapters have it; shown: what is to be returned of that text, such as a hash, if not the text itself.
     """
     cur, old = _keyed(current), _keyed(enacted)
     if scope == "document":
@@ -136,6 +127,7 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
     with_clauses = flag(item.filter("clause IS NOT NULL"), at, "_has_clauses")
     item = item.join(flag(cur, ["chapter"], "in_chapter"), "chapter", "left").join(flag(cur, at[:2], "in_section"), at[:2], "left").join(flag(cur, at, "in_subsection"), at, "left")
     item = item.join(latest, [*at, "_clause"], "left").join(with_clauses, at, "left").withColumn("_there", F.col("current_text").isNotNull())
+    item = cut(item, "provisions")  # four kinds of items and all that they join with build on it
     no = lambda c: F.coalesce(F.col(c), F.lit(False)) == F.lit(False)
     null = F.lit(None).cast("string")
     chapters = item.filter(no("in_chapter")).select(F.lit("chapter").alias("level"), "chapter", null.alias("section"), null.alias("subsection"), null.alias("clause"), null.alias("text")).distinct()
@@ -151,26 +143,28 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
 
     # citations hang on section, level and identifier, notes on the subsection too, but neither on the chapter
     level, ident = F.col("level"), F.col("_id")
-    asked = items.select("level", "section", "subsection", "_id").distinct()
-    cited = matches(asked.select("level", "section", "_id").distinct(), index, "level", "_id")
+    below = F.coalesce("subsection", F.lit("\x1e"))
+    asked = items.select("level", "section", "subsection", "_id", below.alias("_below")).distinct()
     by_item = ["level", "section", "_id"]
-    cited = distinct_listed(cited, by_item, "citation", ["doc_ord", "op_ord"]).join(cited.groupBy(*by_item).agg(F.bool_or("_omits").alias("_omits")), by_item)
-    n = notes.withColumnRenamed("section", "_s").withColumnRenamed("subsection", "_sub").withColumnRenamed("ord", "note_ord")
-    side = F.when(level == "section", "enacted").otherwise("current")
-    whose = (F.col("section") == F.upper("_s")) & (F.col("act") == side) & (F.col("_sub").isNull() | (F.col("subsection") == F.upper("_sub")))
-    at_large = (level == "section") | ((level == "subsection") & (ident == "N/A"))
-    below = F.coalesce("subsection", F.lit("\x1e")).alias("_below")
-    local = asked.join(n, whose).filter(at_large | F.rlike("note", item_pattern(level, ident))).select(*by_item, below, "note", F.col("_sub").isNotNull().alias("_a"), "note_ord")
-    local = distinct_listed(local, [*by_item, "_below"], "note", ["_a", "note_ord"])
-    noted = items.withColumn("_below", below).join(cited, by_item, "left").join(local, [*by_item, "_below"], "left")
+    # operations repeat citations, so each is kept once a target, before items meet it
+    first = F.min(F.struct("doc_ord", "op_ord")).alias("_first")
+    cites = cut(index.groupBy("section", "target", "citation").agg(first, F.bool_or(F.col("operation") == "omitted").alias("_out")), "citations")
+    cited = named_targets(asked.select(*by_item).distinct(), cites.select("section", "target").distinct(), "level", "_id")
+    cited = cited.join(cites, ["section", "target"]).withColumn("_omits", F.col("_ends") & F.col("_out"))
+    cited = distinct_listed(cited, by_item, "citation", ["_first"]).join(cited.groupBy(*by_item).agg(F.bool_or("_omits").alias("_omits")), by_item)
+    local = distinct_listed(_local_notes(asked, notes), [*by_item, "_below"], "note", ["_a", "note_ord"])
+    said = asked.join(cited, by_item, "left").join(local, [*by_item, "_below"], "left")
     none = F.array().cast("array<string>")
-    noted = noted.withColumn("source_note", F.when(F.col("note").isNull(), F.array_join(F.coalesce("citation", none), "; ")).otherwise(F.array_join(F.array_distinct(F.concat("note", F.coalesce("citation", none))), "; ")))
-    noted = noted.withColumn("change_type", F.when(F.col("source_note") != "", F.when(F.col("_omits"), "omitted").otherwise("substituted")))
-    new = noted.filter("NOT _there").withColumn("action", F.concat(F.when(F.col("source_note") != "", "historical_").otherwise("restored_"), "level"))
-    changed = materially_different(noted.filter("_there AND source_note <> ''"), "text", "current_text")
+    note = F.when(F.col("note").isNull(), F.array_join(F.coalesce("citation", none), "; ")).otherwise(F.array_join(F.array_distinct(F.concat("note", F.coalesce("citation", none))), "; "))
+    said = said.select(*by_item, "_below", "_omits", note.alias("_note")).select(*by_item, "_below", "_omits", (F.col("_note") != "").alias("_said"), shown(F.col("_note")).alias("source_note"))
+    said = cut(said, "source-notes")
+    noted = items.withColumn("_below", below).join(said, [*by_item, "_below"], "left")
+    noted = noted.withColumn("change_type", F.when(F.col("_said"), F.when(F.col("_omits"), "omitted").otherwise("substituted")))
+    new = noted.filter("NOT _there").withColumn("action", F.concat(F.when(F.col("_said"), "historical_").otherwise("restored_"), "level"))
+    changed = materially_different(noted.filter("_there AND _said"), "text", "current_text")
     changed = changed.withColumn("action", F.when(level == "clause", "historical_clause").otherwise("historical_version"))
     out = [*keys, "action", "change_type", "source_note", "text"]
-    appended = chapters.select(*keys, F.lit("chapter_appended").alias("action"), null.alias("change_type"), F.lit("").alias("source_note"), "text")
+    appended = chapters.select(*keys, F.lit("chapter_appended").alias("action"), null.alias("change_type"), shown(F.lit("")).alias("source_note"), "text")
     return appended.unionByName(new.select(*out)).unionByName(changed.select(*out))
 
 

@@ -62,8 +62,7 @@ def target_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the enacted wording adds to the current one (flagship)."""
     current, old = snapshots(spark, sf_dir)
-    out = H.reconcile(current, old, notes(spark, sf_dir), H.citation_index(operations(spark, sf_dir)))
-    return out.withColumn("source_note", F.md5("source_note"))
+    return H.reconcile(current, old, notes(spark, sf_dir), H.citation_index(operations(spark, sf_dir)), shown=F.md5)
 
 
 def note_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
