@@ -308,18 +308,95 @@ def _anchor(text: Column, n: Column, best: Column) -> Column:
 
 # Differences ----------------------------------------------------------------------------------------------
 
+def _codes(old: list[str], new: list[str]):
+    """Both lists as numbers, equal ones for equal tokens."""
+    import numpy as np
+
+    codes: dict[str, int] = {}
+    return [np.array([codes.setdefault(t, len(codes)) for t in x], np.int32) for x in (old, new)]
+
+
+def _run_back(a: bytes, b: bytes, i: int, j: int) -> int:
+    """How many tokens before i and j are equal, found by ever longer pieces and then ever shorter ones."""
+    most, found, step = min(i, j), 0, 1
+    while step:
+        if found + step <= most and a[4 * (i - found - step) : 4 * (i - found)] == b[4 * (j - found - step) : 4 * (j - found)]:
+            found, step = found + step, 2 * step
+        else:
+            step //= 2
+    return found
+
+
+def _reaches(a: bytes, b: bytes, n: int, m: int, most: int) -> list[list[int]] | None:
+    """At [d][(k + d) // 2] the least i on the diagonal i - j = n - m + k from which d edits suffice up to both ends; None if over
+    `most` are needed from the beginning.  Those of d edits come from those of d - 1 and the equal tokens before them."""
+    far, levels, base = n + m + 1, [], n - m
+    for d in range(most + 1):
+        level, below = [], levels[-1] if levels else []
+        for x, k in enumerate(range(-d, d + 1, 2)):
+            if d == 0:
+                i = n
+            else:  # an old token more (from k + 1), or a new one more (from k - 1)
+                i = far
+                if x < d and below[x] - 1 >= 0:
+                    i = below[x] - 1
+                if x > 0 and below[x - 1] <= n and below[x - 1] < i and below[x - 1] - base - k >= 0:
+                    i = below[x - 1]
+            j = i - base - k
+            if i <= n and 0 <= j <= m:
+                i -= _run_back(a, b, i, j)
+                if i == 0 and i - base - k == 0:
+                    levels.append([*level, i])
+                    return levels
+            else:
+                i = far
+            level.append(i)
+        levels.append(level)
+    return None
+
+
 def word_diff_operations(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """(type, value) runs by a longest common subsequence; at equal lengths removing comes before adding.
 
-    Of the table of lengths one row in so many is kept, and those between are worked out again when the way
-    through it comes there: memory grows with the width times the root of the height, and no pair is too long.
+    From the ends backwards, the places from which d edits suffice are found for d = 0, 1, 2, …, so near copies take a
+    time that grows with their difference.  The way forwards matches what is equal, and removes where that leaves an
+    edit less to do, else adds.  Where the difference is not small against the lengths, the table of lengths is cheaper.
+    """
+    a, b = _codes(old, new)
+    n, m = len(old), len(new)
+    levels = _reaches(a.tobytes(), b.tobytes(), n, m, 64 + int(0.1 * (n * m) ** 0.5))
+    if levels is None:
+        return _by_table(old, new, a, b)
+    first, second = a.tolist(), b.tolist()
+    runs: list[list] = []
+    i = j = 0
+    d, base = len(levels) - 1, n - m
+    while i < n or j < m:
+        if i < n and j < m and first[i] == second[j]:
+            kind, token, i, j = "same", old[i], i + 1, j + 1
+        else:
+            d -= 1
+            x = i + 1 - j - base + d
+            if j == m or (i < n and x % 2 == 0 and 0 <= x // 2 < len(levels[d]) and levels[d][x // 2] <= i + 1):
+                kind, token, i = "removed", old[i], i + 1
+            else:
+                kind, token, j = "added", new[j], j + 1
+        if runs and runs[-1][0] == kind:
+            runs[-1][1].append(token)
+        else:
+            runs.append([kind, [token]])
+    return [(kind, "".join(tokens)) for kind, tokens in runs]
+
+
+def _by_table(old: list[str], new: list[str], a, b) -> list[tuple[str, str]]:
+    """The same by the table of lengths.
+
+    One row in so many is kept, and those between are worked out again when the way through it comes there: memory
+    grows with the width times the root of the height, and no pair is too long.
     """
     import numpy as np
 
     rows, wide = len(old), len(new)
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(t, len(codes)) for t in old], np.int64)
-    b = np.array([codes.setdefault(t, len(codes)) for t in new], np.int64)
 
     def above(i: int, below: np.ndarray) -> np.ndarray:
         """Row i from row i + 1: best of skipping old[i] and of matching it, carried along by a running maximum."""
@@ -375,9 +452,7 @@ def word_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     Tokens are white space, runs of letters and digits, and single other characters.  Equal texts are decided
     without Python.
     """
-    token = F.lit(r"(\s+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}])")
     same = F.col(old).eqNullSafe(F.col(new))
-    tokens = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), token, 1)
     kind = "array<struct<type:string,value:string>>"
 
     @F.pandas_udf(kind)
@@ -387,3 +462,23 @@ def word_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     equal = pairs.filter(same).withColumn("diff", F.when(F.coalesce(old, F.lit("")) != "", F.array(F.struct(F.lit("same").alias("type"), F.col(old).alias("value")))).otherwise(F.array().cast(kind)))
     d = pairs.filter(~same).withColumn("_a", tokens(F.col(old))).withColumn("_b", tokens(F.col(new)))
     return equal.unionByName(d.withColumn("diff", runs("_a", "_b")).drop("_a", "_b"))
+
+
+@F.udtf(returnType="op_ord int, type string, value string")
+class WordDiff:
+    """The runs of word_diff() as rows, for two lists of tokens(): a table function for joins with LATERAL."""
+
+    def eval(self, old: list, new: list):
+        for k, (kind, value) in enumerate(word_diff_operations(old or [], new or [])):
+            yield k, kind, value
+
+
+def tokens(text: Column) -> Column:
+    """White space, runs of letters and digits, and other characters one by one; a null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\s+|[\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), 1)
+
+
+def word_diff_rows(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """pairs with a row for each run of their difference: op_ord, type, value; none for two empty texts."""
+    d = pairs.withColumn("_a", tokens(F.col(old))).withColumn("_b", tokens(F.col(new)))
+    return d.lateralJoin(WordDiff(F.col("_a").outer(), F.col("_b").outer())).drop("_a", "_b")

@@ -22,6 +22,23 @@ def active_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.active_time(table(spark, sf_dir, "events"))
 
 
+def streamed_active_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 as a stream, tick by tick, stopped and started again in between: the earlier half of the events, the later one,
+    and an event of nobody a day later, which moves the watermark past all others."""
+    path = shared_path(spark, "active-time")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    half, last = events.agg(F.percentile_approx("ts", 0.5).alias("half"), F.max("ts").alias("last")).first()
+    if half is None:
+        return spark.createDataFrame([], "user_id long, active_seconds long")
+    closing = events.limit(1).withColumn("ts", (F.lit(last) + F.expr("INTERVAL 1 DAY")).cast(events.schema["ts"].dataType)).withColumn("user_id", F.lit(None).cast("long"))
+    for part in (events.filter(F.col("ts") <= half), events.filter(F.col("ts") > half), closing):
+        part.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("user_id", F.coalesce("user_id", F.lit(-1))).write.mode("append").parquet(f"{path}/events")
+        ticks = E.active_ticks(E.event_stream(spark, f"{path}/events", 10**6))
+        E.append_all(ticks, f"{path}/ticks", f"{path}/checkpoint")
+    ticks = spark.read.schema("user_id long, tick long, active_seconds long").parquet(f"{path}/ticks").filter("user_id >= 0")
+    return ticks.groupBy("user_id").agg(F.max("active_seconds").alias("active_seconds"))
+
+
 def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of activity."""
     s = E.active_sessions(table(spark, sf_dir, "events"))
@@ -63,7 +80,7 @@ def streamed_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest kept by a restartable stream."""
     path = shared_path(spark, "ingest")
-    rows = E.event_stream(spark, f"{sf_dir}/events*.parquet").selectExpr("event_id AS seq", "cast(user_id AS string) AS document_id", "event_type AS particulars", "event_type AS status")
+    rows = E.once(E.event_stream(spark, f"{sf_dir}/events*.parquet"), "30 days").selectExpr("event_id AS seq", "cast(user_id AS string) AS document_id", "event_type AS particulars", "event_type AS status")
     last_of_each = lambda d: M.upsert(d, ["particulars"])
     last = E.ingest(rows, last_of_each, f"{path}/table", f"{path}/checkpoint")
     if last is None:
@@ -125,13 +142,15 @@ def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fingerprints(I.scan_corpus(spark, sf_dir, "*.parquet", "documents"))
 
 
-_FNS = (active_time, active_sessions, usage_counts, search_funnel, enriched_events, unread_backlog, streamed_usage, streamed_backlog, streamed_ingest, envelopes, fail_closed, manifest_scan, nested_master, table_files)
+_FNS = (active_time, streamed_active_time, active_sessions, usage_counts, search_funnel, enriched_events, unread_backlog, streamed_usage, streamed_backlog, streamed_ingest, envelopes, fail_closed, manifest_scan, nested_master, table_files)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _USAGE = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, count(value) AS n_values FROM events GROUP BY ALL"
 _BACKLOG = "SELECT event_type AS kind, count_if(event_id % 3 <> 0) AS unread FROM events GROUP BY ALL"
+_ACTIVE = "SELECT user_id, ((sum(least(coalesce(g, 1000000000000), 30000000)) // 10000000) * 10)::BIGINT AS active_seconds FROM (SELECT user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS g FROM events) GROUP BY user_id"
 ORACLE_SQL = {
-    "active_time": "SELECT user_id, ((sum(least(coalesce(g, 1000000000000), 30000000)) // 10000000) * 10)::BIGINT AS active_seconds FROM (SELECT user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS g FROM events) GROUP BY user_id",
+    "active_time": _ACTIVE,
+    "streamed_active_time": _ACTIVE,
     "active_sessions": """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 30000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS largest FROM c GROUP BY user_id""",
     "usage_counts": _USAGE,

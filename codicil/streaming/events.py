@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import contextlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from codicil.sources.shared import shared_path
 
@@ -22,6 +26,89 @@ def active_time(events: DataFrame) -> DataFrame:
     return per_user.select("user_id", (F.floor(F.col("_us") / (TICK_SECONDS * 10**6)) * TICK_SECONDS).alias("active_seconds"))
 
 
+class _Ticks(StatefulProcessor):
+    """Active time of one user, tick by tick.
+
+    Events wait until the watermark has passed them and are then taken in order, so that files may come in any order
+    within the lateness.  A timer stands at the earliest that waits, or 30 seconds after the last one taken.
+    """
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._waiting = handle.getMapState("waiting", "at long, event_id long", "n int")
+        self._done = handle.getValueState("done", "last long, open boolean, active long, ticks long")
+
+    def _wake_at(self, at: int) -> None:
+        self._handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        least = None
+        for r in rows:
+            self._waiting.updateValue((r["at"], r["event_id"]), (1,))
+            least = r["at"] if least is None else min(least, r["at"])
+        if least is not None:
+            self._wake_at(least)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed, idle = timerValues.getCurrentWatermarkInMs() * 1000, IDLE_SECONDS * 10**6
+        waiting = sorted(tuple(k) for k in self._waiting.keys())
+        last, unfinished, active, ticks = self._done.get() if self._done.exists() else (0, False, 0, 0)
+        left = None
+        for at, event_id in waiting:
+            if at > passed:
+                left = at
+                break
+            active += min(at - last, idle) if unfinished else 0
+            last, unfinished = at, True
+            self._waiting.removeKey((at, event_id))
+        if unfinished and last + idle <= passed:
+            active, unfinished = active + idle, False
+        now = active // (TICK_SECONDS * 10**6)
+        self._done.update((last, unfinished, active, now))
+        if unfinished:
+            self._wake_at(last + idle)
+        if left is not None:
+            self._wake_at(left)
+        for tick in range(ticks + 1, now + 1):
+            yield Row(user_id=key[0], tick=tick, active_seconds=tick * TICK_SECONDS)
+
+
+def active_ticks(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(user_id, tick, active_seconds) of a stream: a row each time that a user's active time reaches another ten seconds.
+
+    A user's last row has what active_time() gives for the events that the watermark has passed, and 30 seconds after
+    them.  Events of a user go by ts and event_id; one that comes again while it waits counts once; those that come
+    later than `late` are left out; rows without a user or time have no activity.  State: one row a user and the events of `late`.
+    """
+    d = events.filter("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"))
+    return d.groupBy("user_id").transformWithState(_Ticks(), "user_id long, tick long, active_seconds long", "Append", "EventTime")
+
+
+def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream's events without those that come again, by event_id, and without those later than `late`.  State: the ids of `late`."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+@contextlib.contextmanager
+def timers_kept(spark: SparkSession):
+    """Streams started within keep their state where timers can be kept."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", None
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def append_all(result: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an appending stream over all that is there and adds its rows to the files of a path; a restart goes on from the checkpoint."""
+    with timers_kept(result.sparkSession):
+        q = result.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def active_sessions(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(user_id, session_start, session_end, n): sessions whose gaps are 30 seconds at most.  For tables and streams."""
     d = events.withWatermark("ts", late) if events.isStreaming else events
@@ -76,8 +163,8 @@ def run_to_table(result: DataFrame, name: str) -> DataFrame:
     while True:  # the last trigger may have had no data and so no batch
         try:
             return spark.read.schema(result.schema).parquet(f"{path}/table/batch={number}")
-        except Exception:
-            if number <= 0:
+        except AnalysisException as e:
+            if number <= 0 or e.getCondition() != "PATH_NOT_FOUND":
                 raise
             number -= 1
 
