@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from codicil.functions import text as X
+from codicil.operators import lists as L
 from codicil.operators.mentions import is_at_large, is_mention, named_targets, with_identifiers, with_mentions
 from codicil.sources.shared import cut
 
@@ -50,11 +51,6 @@ def distinct_listed(rows: DataFrame, keys: list[str], note: str, order: list[str
     return first.groupBy(*keys).agg(F.transform(parts, lambda x: x[note]).alias(note))
 
 
-def distinct_joined(rows: DataFrame, keys: list[str], note: str, order: list[str], sep: str = "; ") -> DataFrame:
-    """(keys, note): as distinct_listed(), joined."""
-    return distinct_listed(rows, keys, note, order).withColumn(note, F.array_join(note, sep))
-
-
 def matches(items: DataFrame, index: DataFrame, level: str, identifier: str) -> DataFrame:
     """items joined with the operations of citation_index() whose target names them; _omits: by which they are removed.
 
@@ -168,20 +164,25 @@ def reconcile(current: DataFrame, enacted: DataFrame, notes: DataFrame, index: D
     return appended.unionByName(new.select(*out)).unionByName(changed.select(*out))
 
 
-def back_fill(provision_notes: DataFrame, ops: DataFrame) -> DataFrame:
-    """provision_notes (section, note, …) with unresolved notes replaced by the ordinance notes for their section."""
-    made = ops.withColumn("_note", ordinance_note(*map(F.col, ("title", "operation", "target", "principal_section", "page_reference"))))
-    by_section = distinct_joined(made.select(F.upper("principal_section").alias("_s"), "_note", "doc_ord", "op_ord"), ["_s"], "_note", ["doc_ord", "op_ord"])
-    d = provision_notes.join(by_section, F.upper("section") == F.col("_s"), "left")
-    return d.withColumn("note", F.when((F.col("note") == UNRESOLVED) & F.col("_note").isNotNull(), F.col("_note")).otherwise(F.col("note"))).drop("_s", "_note")
+def back_fill(provision_notes: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, lists): provision_notes (section, note, …) with note_list, and chunks (section, chunk, text) of ordinance notes.
+
+    note_list is the list that stands for the note, null where the note stays: unresolved notes of sections that ordinances
+    amend get their section's list.  Notes meet sections, not texts; lists.texts() or lists.digests() of the lists join by note_list.
+    """
+    made = ordinance_note(*map(F.col, ("title", "operation", "target", "principal_section", "page_reference")))
+    named = ops.select("*", F.upper("principal_section").alias("section"))
+    amended = named.filter(F.coalesce(made, F.lit("")) != "").select(F.col("section").alias("_s")).distinct()
+    open_ = F.when(F.col("note") == UNRESOLVED, F.upper("section"))
+    notes = provision_notes.withColumn("_open", open_).join(amended, F.col("_open") == F.col("_s"), "left").withColumn("note_list", F.col("_s")).drop("_open", "_s")
+    return notes, L.listed(named.select("section", "title", "operation", "target", "principal_section", "page_reference", "doc_ord", "op_ord"), "section", made, ["doc_ord", "op_ord"])
 
 
 def section_references(texts: DataFrame) -> DataFrame:
-    """(section, documents): which documents' texts name a section of the principal Act, duplicates kept, in order."""
+    """Chunks (section, chunk, text) of the documents whose texts name a section of the principal Act, duplicates kept, in order."""
     pattern = r"(?i)(?:(?:in|after|before)\s+)?sections?\s+([0-9]+[A-Z]?)\s+of\s+(?:the\s+principal\s+Act|the\s+Companies\s+Act,?\s*2013)"
     found = texts.select("document", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("n", "section"))
-    parts = F.array_sort(F.collect_list(F.struct("document", "n")))
-    return found.groupBy(F.upper("section").alias("section")).agg(F.array_join(F.transform(parts, lambda x: x["document"].cast("string")), ",").alias("documents"))
+    return L.listed(found.withColumn("section", F.upper("section")), "section", F.col("document").cast("string"), ["document", "n"], distinct=False, sep=",")
 
 
 def operation_violations(ops: DataFrame) -> DataFrame:

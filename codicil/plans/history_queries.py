@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.operators import history as H
+from codicil.operators import lists as L
 from codicil.sources.tables import table
 
 
@@ -47,8 +48,7 @@ def citation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section's different citations in order, joined."""
     index = H.citation_index(operations(spark, sf_dir))
-    joined = H.distinct_joined(index, ["section"], "citation", ["doc_ord", "op_ord"])
-    return joined.select("section", F.md5("citation").alias("citations"), F.length("citation").alias("chars"))
+    return L.digests(L.listed(index, "section", F.col("citation"), ["doc_ord", "op_ord"]), "section").select("section", F.col("md5").alias("citations"), F.col("chars").cast("int").alias("chars"))
 
 
 def target_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,15 @@ def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unresolved notes back-filled from ordinances."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("section"), F.when(F.col("p_partkey") % 3 == 0, H.UNRESOLVED).otherwise(F.col("p_name")).alias("note"))
-    return H.back_fill(p, operations(spark, sf_dir)).select("id", "section", F.md5("note").alias("note"))
+    notes, lists = H.back_fill(p, operations(spark, sf_dir))
+    filled = notes.join(L.digests(lists, "section").select(F.col("section").alias("note_list"), "md5"), "note_list", "left")
+    return filled.select("id", "section", F.coalesce("md5", F.md5("note")).alias("note"))
 
 
 def principal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents refer to a section of the principal Act."""
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS document", "concat('In section ', o_custkey % 60, 'a of the principal Act, and sections ', o_custkey % 7, ' of the Companies Act, 2013; section 3 of another') AS text")
-    return H.section_references(o).withColumn("documents", F.md5("documents"))
+    return L.digests(H.section_references(o), "section", ",").select("section", F.col("md5").alias("documents"))
 
 
 def operation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
