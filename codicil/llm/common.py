@@ -55,6 +55,31 @@ def dealt_anew(key: str, kind: str = "binary") -> Column:
     return F.expr({"binary": f"concat({key}, X'')", "long": f"{key} ^ 0L", "string": f"concat({key}, '')"}[kind]).alias(key)
 
 
+#: Lists of so many keys at most are broadcast.
+BROADCAST_KEYS = 500_000
+#: Copies of a row that one row of the first expansion stands for.
+COPIES_AT_ONCE = 1000
+
+
+def numbered_copies(marked: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(row, mark, copy) of marked (row, mark): copy is 0, but 0, 1, 2, … for equal rows whose mark is in repeated (mark).
+
+    Equal rows are counted, which takes one row from each task, and expanded again in two steps, so that one that
+    very many are equal to is spread; numbers do not depend on the partitions that rows come in.
+    """
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return marked.select("row", "mark", F.lit(0).cast("long").alias("copy"))
+    few = n_repeated <= BROADCAST_KEYS
+    marks = (F.broadcast(repeated) if few else repeated.select(dealt_anew("mark", "long"))).withColumnRenamed("mark", "_again")
+    found = (marked if few else marked.withColumn("mark", dealt_anew("mark", "long"))).join(marks, F.col("mark") == F.col("_again"), "left")
+    copies = found.filter("_again IS NOT NULL").groupBy("row", "mark").agg(F.count("*").alias("n"))
+    parts = copies.select("row", "mark", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES_AT_ONCE}"))).alias("part")).repartition("mark", "part")
+    first = F.col("part") * COPIES_AT_ONCE
+    expanded = parts.select("row", "mark", F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE - 1, F.col("n") - 1))).alias("copy"))
+    return found.filter("_again IS NULL").select("row", "mark", F.lit(0).cast("long").alias("copy")).unionByName(expanded)
+
+
 #: Bytes of keys and values, with what Python adds, that a Python worker remembers in one memo.
 MEMO_BYTES = 128_000_000
 

@@ -3,7 +3,7 @@
 Known forms (assignments, access keys, hex runs) are found by pattern.  The method adds what no
 pattern names: runs that a language vocabulary encodes badly.  Words get several characters per token;
 random strings get few.  Known digests and identifiers (UUIDs, book numbers, times, numbers, names and paths
-made of short parts, e-mail addresses, hosts) are left out.
+made of short parts) are left out.  Hosts, e-mail addresses and what stands before their @ are runs like others: words pass, random ones do not.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ _HEX = re.compile(r"[0-9a-f]+")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(r"[0-9+/_=-]+|(?:ISBN|ISSN|isbn|issn)(?:-1[03])?[-_=]*[0-9Xx-]+|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-]?[0-9-]+(?:[Zz]|[+-][0-9]+)?")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<=://)[A-Za-z0-9.-]+|(?<![A-Za-z0-9.-])www\.[A-Za-z0-9.-]+")
 KINDS = ("assign", "access", "hex", "dense")
 
 
@@ -88,7 +87,7 @@ def n_tokens(run: str, vocabulary) -> int:
 
 
 def dense_spans(text: str, vocabulary, most: float, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Parts of runs, outside the spans found already and addresses, that have few characters a token.
+    """Parts of runs, outside the spans found already, that have few characters a token.
 
     Both lists are walked once, so time grows with the text.
     """
@@ -97,8 +96,7 @@ def dense_spans(text: str, vocabulary, most: float, base: list[tuple[int, str, i
         if len(m[0]) < LEAST_CHARS or is_known(m[0]):
             continue
         if taken is None:
-            addresses = [x.span() for x in _ADDRESS.finditer(text)] if "@" in text or "://" in text or "www." in text else []
-            taken = disjoint([(a, b) for a, _, b in base] + addresses)
+            taken = disjoint([(a, b) for a, _, b in base])
         parts, at = outside(m.start(), m.end(), taken, at)
         for a, b in parts:
             part = text[a:b]

@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from codicil.llm.common import cut, dealt_anew, discard, documents, shared_path, written
+from codicil.llm.common import cut, discard, documents, numbered_copies, shared_path, written
 
 SHARDS = 8
 #: Bytes of texts of a bucket, about: a task holds it once as it comes and once shuffled.
 BUCKET_BYTES = 32_000_000
-#: Tables of up to so many rows (one for each bucket, or for each hot row) are broadcast.
+#: A table with a row for each bucket is broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
-#: Copies of a hot row that one row of the first expansion stands for.
-COPIES_AT_ONCE = 1000
 _EMIT_ROWS = 2000
 
 
@@ -71,8 +69,8 @@ def _shuffled(seed: int):
 def _scattered(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
     """Rows (row, mark, copy, bucket) and how many buckets there are.
 
-    The bucket is by a hash of the whole row, so equal rows meet in one.  Where those alone would exceed a bucket, they are
-    counted, which needs one row from each task, and their copies expanded again in two steps, each with a bucket of its own.
+    The bucket is by a hash of the whole row, so equal rows meet in one.  Where those alone would exceed a bucket, copies are
+    numbered and get buckets of their own.
     """
     whole = docs.select(F.struct(*docs.columns).alias("row"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes"))
     marked = whole.withColumn("mark", F.xxhash64(F.lit(seed), F.col("row")))
@@ -81,19 +79,7 @@ def _scattered(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame
     hot = cut(counted.filter((F.col("n") > 1) & (F.col("bytes") > bucket_bytes)).select("mark"), "hot-rows")
     buckets = max(1, math.ceil((totals.get["bytes"] or 0) / bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "mark", "copy"), F.lit(buckets)).cast("int").alias("bucket")
-    columns = ["row", "mark", F.lit(0).cast("long").alias("copy")]
-    n_hot = hot.count()
-    if n_hot:
-        marks = (F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot.select(dealt_anew("mark", "long"))).withColumnRenamed("mark", "_hot")
-        found = (marked if n_hot <= BROADCAST_ROWS else marked.withColumn("mark", dealt_anew("mark", "long"))).join(marks, F.col("mark") == F.col("_hot"), "left")
-        copies = found.filter("_hot IS NOT NULL").groupBy("row", "mark").agg(F.count("*").alias("n"))
-        parts = copies.select("row", "mark", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES_AT_ONCE}"))).alias("part")).repartition("mark", "part")
-        first = F.col("part") * COPIES_AT_ONCE
-        expanded = parts.select("row", "mark", F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE - 1, F.col("n") - 1))).alias("copy"))
-        rest = found.filter("_hot IS NULL").select(*columns).unionByName(expanded)
-    else:
-        rest = marked.select(*columns)
-    return rest.withColumn("bucket", bucket), buckets
+    return numbered_copies(marked.select("row", "mark"), hot).withColumn("bucket", bucket), buckets
 
 
 def shuffled_shards(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

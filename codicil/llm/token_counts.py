@@ -15,17 +15,31 @@ from codicil.llm.common import documents
 from codicil.llm.tokens import BYTE_BPE, encoder
 
 
+#: The columns that length_histogram() makes.
+MADE = ("length", "n_docs", "n_tokens", "docs_from", "tokens_from", "kept_tokens", "below")
+
+
+def _own_names(columns: list[str], made=MADE) -> list[str]:
+    """Names that differ from those made here: with an underscore behind where they do not."""
+    return [c + "_" if c in made else c for c in columns]
+
+
 def with_token_counts(docs: DataFrame, keep: list[str], tokenizer: str = BYTE_BPE) -> DataFrame:
-    """The columns `keep` and n_tokens, the ids that the tokenizer gives for the whole text (null: 0)."""
+    """The columns `keep` and n_tokens, the ids that the tokenizer gives for the whole text (null: 0).
+
+    A kept column n_tokens gets an underscore behind its name.  Texts of any length are
+    encoded whole; repeated rows count each; an empty table gives no rows.
+    """
+    names = _own_names(keep, ("n_tokens",))
 
     def count(batches):
         e = encoder(tokenizer)
         for b in batches:
             n = [len(e.encode(t.as_py())) // 4 for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*names, "n_tokens"])
 
-    d = docs.select(*keep, "text")
-    return d.mapInArrow(count, d.select(*keep, F.lit(0).cast("long").alias("n_tokens")).schema)
+    d = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text"))
+    return d.mapInArrow(count, d.select(*names, F.lit(0).cast("long").alias("n_tokens")).schema)
 
 
 def length_histogram(counted: DataFrame, by: list[str]) -> DataFrame:
@@ -35,17 +49,19 @@ def length_histogram(counted: DataFrame, by: list[str]) -> DataFrame:
     or longer.  kept_tokens: tokens that stay when every text is cut at `length`.  below: share of the
     documents that are shorter, so a quantile q is the largest length with below <= q.
     The window sorts one row per different length, however many documents there are.  A null group is a
-    group; an empty table gives no rows; empty texts have length 0.
+    group; an empty table gives no rows; empty texts have length 0; repeated rows count each.  Groups may have any names;
+    those of columns made here get an underscore behind.
     """
-    hist = counted.groupBy(*by, F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
-    from_here = Window.partitionBy(*by).orderBy(F.col("length").desc())
-    whole = Window.partitionBy(*by)
-    return (
+    hist = counted.groupBy(F.struct(F.lit(0), *by).alias("_group"), F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    from_here = Window.partitionBy("_group").orderBy(F.col("length").desc())
+    whole = Window.partitionBy("_group")
+    hist = (
         hist.withColumn("docs_from", F.sum("n_docs").over(from_here))
         .withColumn("tokens_from", F.sum("n_tokens").over(from_here))
         .withColumn("kept_tokens", F.sum("n_tokens").over(whole) - F.col("tokens_from") + F.col("length") * F.col("docs_from"))
         .withColumn("below", 1 - F.col("docs_from") / F.sum("n_docs").over(whole))
     )
+    return hist.select(*[F.col("_group")[c].alias(n) for c, n in zip(by, _own_names(by), strict=True)], *MADE)
 
 
 def totals_at(histogram: DataFrame, limit: int, by: list[str]) -> DataFrame:
