@@ -59,7 +59,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights=(3, 1, 2), share: f
     table gives none.  A source of size 0 has target 0 and its rows are taken 0 times.  Rows are held in a struct meanwhile, so column names may be any; a column _mix is replaced.
     """
     sized = docs.select(F.coalesce((word_count(F.col("text")) if size is None else size).cast("long"), F.lit(0).cast("long")).alias("size"), F.col("source").alias("of"), F.struct(*docs.columns).alias("row"))
-    marked = sized.select(F.struct("size", "of", "row").alias("row")).withColumn("mark", F.xxhash64("row"))
+    marked = sized.select(F.struct("size", "of", "row").alias("row")).withColumn("mark", F.xxhash64("row.row"))
     repeated = cut(marked.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "mix-repeated")
     sums = sized.groupBy(F.col("of").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(sums, weights, share, most), "mix-sources")
