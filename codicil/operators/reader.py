@@ -206,6 +206,54 @@ def valid_on(rows: DataFrame, day: Column) -> DataFrame:
     return rows.filter((start.isNull() | (start <= day)) & (end.isNull() | (end >= day)))
 
 
+# Days are numbers from the first of year 1; all days up to year 9999 fit in so many binary places.
+_DAY_BITS, _DAY_ZERO = 22, 719163
+
+
+def _day_number(day: Column) -> Column:
+    return F.unix_date(day.cast("date")) + _DAY_ZERO
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """rows with (_level, _node): the fewest aligned spans of 2 ** level days that make up the validity, none if it ends before it starts."""
+    start = F.greatest(F.coalesce(_day_number(F.col("effective_from")), F.lit(0)), F.lit(0))
+    end = F.least(F.coalesce(_day_number(F.col("effective_to")), F.lit(2**_DAY_BITS - 1)), F.lit(2**_DAY_BITS - 1)) + 1
+    spans = []
+    for k in range(_DAY_BITS + 1):
+        first, last = F.shiftright(start + (2**k - 1), k), F.shiftright(end, k)
+        span = lambda node, k=k: F.struct(F.lit(k).alias("level"), node.alias("node"))
+        odd = lambda x: x % 2 == 1
+        spans += [F.when((first < last) & odd(first), span(first)), F.when((first < last) & odd(last), span(last - 1))]
+    found = F.filter(F.array(*spans), lambda x: x.isNotNull())
+    return rows.select("*", F.explode(found).alias("_s")).select(*rows.columns, F.col("_s.level").alias("_level"), F.col("_s.node").alias("_node"))
+
+
+def _around(days: DataFrame, day: str) -> DataFrame:
+    """days with every aligned span (_level, _node) that holds the day; null days have none."""
+    spans = F.transform(F.sequence(F.lit(0), F.lit(_DAY_BITS)), lambda k: F.struct(k.alias("level"), F.floor(_day_number(F.col(day)) / F.pow(F.lit(2.0), k)).cast("int").alias("node")))
+    return days.filter(F.col(day).isNotNull()).select("*", F.explode(spans).alias("_s")).select(*days.columns, F.col("_s.level").alias("_level"), F.col("_s.node").alias("_node"))
+
+
+def valid_on_days(rows: DataFrame, days: DataFrame, day: str, on: list[str]) -> DataFrame:
+    """(columns of days, columns of rows other than `on`): each row with each of the days on which it is valid, as valid_on() has it.
+
+    on: columns that must be equal besides, in both tables; none is allowed.  A validity is cut into at most two aligned
+    spans of each length, and a day lies in one span of each, so an equi-join finds every pair exactly once: no range is
+    compared, however many days there are.  Days of the years 1 to 9999; repeated rows and days give repeated pairs.
+    """
+    keys = ["_level", "_node", *on]
+    return _around(days, day).join(_spans(rows), keys).select(*days.columns, *[c for c in rows.columns if c not in on])
+
+
+def valid_counts(rows: DataFrame, days: DataFrame, day: str, on: list[str]) -> DataFrame:
+    """(columns of days, n): how many rows are valid on each day.  Rows are added up by span before the join, so no pair is made."""
+    keys = ["_level", "_node", *on]
+    spans = _spans(rows).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    every = days.select(*on, day).filter(F.col(day).isNotNull()).distinct()
+    sums = _around(every, day).join(spans, keys).groupBy(*on, day).agg(F.sum("_rows").alias("_n"))
+    return days.join(sums, [*on, day], "left").select(*days.columns, F.coalesce("_n", F.lit(0)).alias("n"))
+
+
 def live_revisions(revisions: DataFrame, field: str, day: Column) -> DataFrame:
     """Revisions of a field effective on a day that are neither undone nor undo another."""
     return revisions.filter((F.col("field_name") == field) & (F.col("effective_date") == day) & F.col("undone_by_revision_id").isNull() & F.col("reverts_revision_id").isNull())

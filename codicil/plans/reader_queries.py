@@ -100,6 +100,24 @@ def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.valid_on(o, day).select("id").join(live, "id", "left").select("id", F.coalesce("live", F.lit(False)).alias("live"))
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as versions of a hundred provisions, some without a first or last day."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey % 100 AS provision_id", "CASE WHEN o_orderkey % 40 <> 0 THEN cast(o_orderdate AS date) END AS effective_from", "CASE WHEN o_orderkey % 30 <> 0 THEN date_add(cast(o_orderdate AS date), cast(o_custkey % 90 AS int) - 5) END AS effective_to")
+
+
+def validity_on_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13 for many days: which versions of a provision are valid on the days that lines ship."""
+    days = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 100 AS provision_id", "cast(l_shipdate AS date) AS day").distinct()
+    pairs = R.valid_on_days(_versions(spark, sf_dir), days, "day", ["provision_id"])
+    return pairs.groupBy("provision_id", "day").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def validity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13 for many days: how many of all versions are valid on each day that lines ship."""
+    days = table(spark, sf_dir, "lineitem").selectExpr("cast(l_shipdate AS date) AS day").distinct()
+    return R.valid_counts(_versions(spark, sf_dir), days, "day", [])
+
+
 def change_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """revisions and messages by substring."""
     r = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "cast(o_custkey % 90 AS string) AS section", "o_orderpriority AS label", "to_json(named_struct('status', o_orderstatus)) AS old_value", "to_json(named_struct('priority', o_orderpriority)) AS new_value", "CASE o_orderkey % 3 WHEN 0 THEN 'callout_title' WHEN 1 THEN 'callout_text' ELSE 'text' END AS field_name")
@@ -148,7 +166,7 @@ def near_copy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.select("doc_id", F.size("diff").alias("n_runs"), (of("same", "removed") == F.md5(F.coalesce("text", F.lit("")))).alias("old_whole"), (of("same", "added") == F.md5(F.coalesce("new", F.lit("")))).alias("new_whole"))
 
 
-_FNS = (glossary_terms, term_spans, glossary_spans, cross_references, cited_sources, overlay, current_and_history, distinct_relationships, surplus_relationships, tab_counts, refreshed_order, family_predecessor, validity, change_history, evidence_leaves, label_order, clause_line_order, library_order, anchors, near_copy_diff)
+_FNS = (glossary_terms, term_spans, glossary_spans, cross_references, cited_sources, overlay, current_and_history, distinct_relationships, surplus_relationships, tab_counts, refreshed_order, family_predecessor, validity, validity_on_days, validity_counts, change_history, evidence_leaves, label_order, clause_line_order, library_order, anchors, near_copy_diff)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _ID = r"regexp_replace(lower({}), '[()\[\].\s]', '', 'g')"
@@ -156,6 +174,9 @@ _EDGES = """e AS (SELECT l_suppkey AS provision_id, CASE WHEN l_partkey % 10 = 0
   CASE l_partkey % 5 WHEN 0 THEN 'rule' WHEN 1 THEN 'notification' WHEN 2 THEN 'rules_and_forms' WHEN 3 THEN 'act' ELSE 'circular' END AS instrument_type FROM lineitem),
 d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY provision_id, document_id ORDER BY sort_order, relationship_id) = 1)"""
 
+_VERSIONS = """v AS (SELECT o_orderkey AS id, o_custkey % 100 AS provision_id, CASE WHEN o_orderkey % 40 <> 0 THEN o_orderdate::DATE ELSE DATE '0001-01-01' END AS a,
+  CASE WHEN o_orderkey % 30 <> 0 THEN o_orderdate::DATE + (o_custkey % 90 - 5)::INT ELSE DATE '9999-12-31' END AS b FROM orders)"""
+
 ORACLE_SQL = {
     "glossary_terms": """WITH t AS (SELECT term, min(item_id) AS own FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark) WHERE length(term) >= 6 AND term NOT IN ('act', 'company') GROUP BY term),
 c AS (SELECT doc_id AS provision_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents) GROUP BY ALL) SELECT provision_id, term, n FROM c JOIN t ON word = term WHERE own <> provision_id""",
@@ -180,6 +201,9 @@ r AS (SELECT family, id, row_number() OVER (PARTITION BY family ORDER BY day DES
 SELECT d.id, d.family, coalesce(CASE WHEN a.id <> d.id THEN a.id ELSE b.id END, -1) AS predecessor_id FROM d LEFT JOIN r a ON a.family = d.family AND a.n = 1 LEFT JOIN r b ON b.family = d.family AND b.n = 2""",
     "validity": """SELECT o_orderkey AS id, o_orderstatus = 'F' AND date_trunc('month', o_orderdate) = DATE '1996-01-01' AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AS live FROM orders
 WHERE (o_orderkey % 4 = 0 OR o_orderdate::DATE <= DATE '1996-01-01') AND (o_orderkey % 3 = 0 OR o_orderdate::DATE + 400 >= DATE '1996-01-01')""",
+    "validity_on_days": f"""WITH {_VERSIONS}, d AS (SELECT DISTINCT l_suppkey % 100 AS provision_id, l_shipdate::DATE AS day FROM lineitem)
+SELECT d.provision_id, day, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM d JOIN v ON v.provision_id = d.provision_id AND day BETWEEN a AND b GROUP BY ALL""",
+    "validity_counts": f"WITH {_VERSIONS}, d AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem) SELECT day, count(id) AS n FROM d LEFT JOIN v ON day BETWEEN a AND b GROUP BY day",
     "change_history": """SELECT o_orderkey AS id, (o_custkey % 90)::VARCHAR AS section, 'revision' AS kind FROM orders WHERE o_orderkey % 3 < 2 AND contains(lower(o_orderpriority), '1-urgent')
 UNION ALL SELECT c_custkey, '', 'message' FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build')""",
     "evidence_leaves": """SELECT event_id, replace(k, '_', ' ') AS label, json_extract_string(props, '$.' || k) AS value_text FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE coalesce(json_extract_string(props, '$.' || k), '') <> ''""",

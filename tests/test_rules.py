@@ -307,6 +307,45 @@ def test_nothing_is_written_unless_all_is_valid(spark, tmp_path):
     assert I.read_envelopes(spark, f"file://{tmp_path}/out", "struct<title:string>")[0].count() == 1
 
 
+def test_valid_groups_are_published_and_no_others(spark, tmp_path):
+    path, parsed = f"file://{tmp_path}/out", "struct<title:string>"
+    rows = [("a", "1.json", None), ("a", "2.json", None), ("b", "3.json", "late"), ("b", "4.json", None), ("", "5.json", None), (None, "6.json", None), *[("c", f"{i}.json", f"reason {i}") for i in range(10, 20)]]
+    d = spark.createDataFrame(rows, "source string, filename string, problem string").selectExpr("*", "'m' AS model", "struct(filename AS title) AS parsed")
+    names = lambda: sorted(r.filename for r in I.published(spark, path, parsed)[0].collect())
+    I.publish_valid(d, path, "source", F.col("problem"))
+    assert names() == ["1.json", "2.json", "5.json", "6.json"]
+    verdicts = sorted((r.refused, r.reasons) for r in I.published(spark, path, parsed)[1].collect())
+    assert verdicts == [(0, []), (0, []), (0, []), (1, ["late"]), (10, [f"reason {i}" for i in range(10, 15)])]
+    good = I.published(spark, path, parsed)[0].filter("filename = '6.json'").first()
+    assert good.group is None and good.parsed.title == "6.json" and good.kind
+
+    class Lost(Exception):
+        pass
+
+    def lose(*_, **__):
+        raise Lost
+
+    later = d.filter("source = 'a'").withColumn("filename", F.concat(F.lit("later "), "filename"))
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(Lost):  # all but the commit is written
+        patch.setattr(type(spark), "range", lose)
+        I.publish_valid(later, path, "source", F.col("problem"))
+    assert names() == ["1.json", "2.json", "5.json", "6.json"]
+    I.publish_valid(later, path, "source", F.col("problem"))
+    assert names() == ["1.json", "2.json", "5.json", "6.json", "later 1.json", "later 2.json"]
+    I.publish_valid(d.limit(0), path, "source", F.col("problem"))
+    assert len(names()) == 6
+
+
+def test_nested_master_in_two_places(spark, tmp_path):
+    d = spark.createDataFrame([(f"C{i // 4}", f"{i // 2}", "", f"({i})", f"text {i}", i) for i in range(12)], "chapter string, section string, subsection string, clause string, text string, position int")
+    paths = [f"file://{tmp_path}/{x}" for x in "ab"]
+    for _ in range(2):
+        I.write_nested_master(d.repartition(3), paths)
+    a, b = ([r.value for r in spark.read.text(p).collect()] for p in paths)
+    want = [r.asDict(True) for r in I.nested_master(d).collect()]
+    assert a == b and [__import__("json").loads(x) for x in a] == want
+
+
 def test_anchors_against_every_boundary(spark):
     """The nearest boundary over the whole text, however far away, by looking at each place."""
     rng = random.Random(4)
