@@ -22,10 +22,12 @@ RULES = [
     ("repeats", "n_repeat_words > 0.15 * n_words", "n_repeat_words <= 0.02 * n_words"),
     ("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
     ("capitals", "n_upper > 0.3 * word_chars", "n_upper <= 0.1 * word_chars"),
-    ("variety", "n_distinct < 0.4 * n_words AND n_words <= 5000", "n_distinct >= 0.6 * n_words"),
+    ("variety", "n_variety < 0.4 * n_words", "n_variety >= 0.6 * n_words"),
     ("word_length", "word_chars < 2.0 * n_words OR word_chars > 7.0 * n_words", "word_chars BETWEEN 3.0 * n_words AND 6.5 * n_words"),
     ("sentences", "n_stops < 0.03 * n_words", "n_stops >= 0.04 * n_words"),
 ]
+#: Different words are counted in stretches of so many and added up, as their share falls with the length of a text.
+STRETCH = 100
 ROUNDS = 25
 #: A document is kept if its probability of quality is at least this.
 LEAST_QUALITY = 0.5
@@ -43,6 +45,7 @@ def text_counts(text: Column) -> dict[str, Column]:
     longs = lambda x: x.cast("long")
     window = lambda of, shift, n: F.zip_with(F.slice(of, 1, F.greatest(n, F.lit(0))), F.slice(of, 1 + shift, F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     n = F.size("_w")
+    stretches = F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / STRETCH).cast("int"))
     return {
         "_t": F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")),
         "_w": F.when(c("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", SPACE + "+")),
@@ -61,7 +64,7 @@ def text_counts(text: Column) -> dict[str, Column]:
         "n_letters": longs(F.length(F.regexp_replace("_t", r"\P{L}+", ""))),
         "n_stops": longs(F.length("_t") - F.length(F.regexp_replace("_t", rf"[.!?](?={SPACE}|\z)", ""))),
         "n_symbol_lines": longs(F.size(F.filter("_l", lambda x: x.rlike("[#*$%&|<>]")))),
-        "n_distinct": longs(F.size(F.array_distinct("_1"))),
+        "n_variety": longs(F.aggregate(stretches, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice("_1", i * STRETCH + 1, STRETCH))))),
     }
 
 
@@ -80,7 +83,7 @@ def repeated_words(windows: Column, n: int = 8) -> Column:
     return cover["n"]
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_letters", "n_stops", "n_symbol_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_variety", "n_letters", "n_stops", "n_symbol_lines"]
 
 
 def with_votes(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import string
 import unicodedata
@@ -383,11 +384,11 @@ def votes_of(text):
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     cat = [unicodedata.category(c) for c in text]
     upper, letters, stops = cat.count("Lu"), sum(c[0] == "L" for c in cat), sum(x[-1] in ".!?" for x in w)
-    marked, different = sum(bool(re.search("[#*$%&|<>]", x)) for x in lines), len(set(w))
+    marked, different = sum(bool(re.search("[#*$%&|<>]", x)) for x in lines), sum(len(set(w[i : i + 100])) for i in range(0, n, 100))
     rules = [
         (symbols > 0.1 * n, symbols <= 0.02 * n), (letters < 0.88 * chars, letters >= 0.93 * chars), (marked > 0.3 * len(lines), marked <= 0.05 * len(lines)),
         (repeats > 0.15 * n, repeats <= 0.02 * n), (dup > 0.3 * len(lines), dup <= 0.05 * len(lines)), (upper > 0.3 * chars, upper <= 0.1 * chars),
-        (different < 0.4 * n and n <= 5000, different >= 0.6 * n), (chars < 2 * n or chars > 7 * n, 3 * n <= chars <= 6.5 * n), (stops < 0.03 * n, stops >= 0.04 * n),
+        (different < 0.4 * n, different >= 0.6 * n), (chars < 2 * n or chars > 7 * n, 3 * n <= chars <= 6.5 * n), (stops < 0.03 * n, stops >= 0.04 * n),
     ]
     return tuple(-1 if bad else int(good) for bad, good in rules)
 
@@ -424,6 +425,17 @@ def test_op7(spark, small, texts):
         assert r.kept == (not r.base_failed and posterior[votes[r.doc_id]] >= 0.5)
 
 
+def test_op7_variety_does_not_depend_on_length(spark):
+    """The same kind of wording is voted on alike at any length."""
+    rng = random.Random(11)
+    poor, rich = [f"w{i}" for i in range(30)], [f"w{i}" for i in range(3000)]
+    rows = [(k, n, " ".join(rng.choice(words) for _ in range(n))) for k, words in enumerate((poor, rich)) for n in (100, 4999, 5000, 5001, 60000)]
+    rule = [name for name, _, _ in quality.RULES].index("variety")
+    got = quality.with_votes(spark.createDataFrame(rows, "kind int, n int, text string")).select("kind", "n", F.col("_quality.votes")[rule].alias("vote")).collect()
+    assert {(r.kind, r.n): r.vote for r in got} == {(k, n): (-1, 1)[k] for k, n, _ in rows}
+    assert all(votes_of(t)[rule] == (-1, 1)[k] for k, _, t in rows)
+
+
 def test_op7_expectation_maximisation(spark):
     """One bad vote among good ones does not decide; several weak ones do."""
     slip, junk = (1, 1, 1, 1, -1, 1, 1, 1, 1), (0, -1, 1, 0, 0, 1, -1, -1, 0)
