@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -107,39 +106,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: About so many rows are in a part, which one task reads in order.
+ROWS_PER_PART = 100_000
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(part, guest, doc_id, text): rows dealt by ranges of doc_id, with a guest at each range's end.
+    """(part, guest, doc_id, missing, text): rows dealt by ranges of doc_id, with a guest at each range's end.
 
     A part's guest is the first row of the next part that has rows (of the last: the first row of all), so
-    that each row's successor is in its own part.  Bounds and firsts come from the ids alone, and there are
-    as many as parts; the texts are dealt once.
+    that each row's successor is in its own part.  Bounds and firsts come from the ids alone, one of each for a
+    part, and there are as many parts as the number of rows asks for; the texts are dealt once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = [int(x) for x in bounds]
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("doc_id"))) if len(bounds) < 64 else _part_of(bounds)(F.col("doc_id"))
-    placed = rows.withColumn("part", part.cast("int"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("missing"), "text")
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_PART))
+    bounds = sorted({min(int(x), 2**63 - 1) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    placed = rows.withColumn("part", _part_of(bounds)(F.col("doc_id")))
     firsts = sorted((r["part"], r["first"]) for r in placed.groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # a row for each part
-    if not firsts:
-        return placed.select("part", F.lit(False).alias("guest"), "doc_id", "text")
-    host = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # i - 1 = -1: the last part
-    hosts = F.create_map(*[F.lit(x) for kv in host.items() for x in kv])
-    guests = F.when(F.col("doc_id").isin(list(host)), F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(hosts[F.col("doc_id")].alias("part"), F.lit(True).alias("guest"))))
-    seats = F.explode(F.coalesce(guests, F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))))
-    seated = placed.withColumn("_seat", seats).select("_seat.part", "_seat.guest", "doc_id", "text")
-    return seated.repartition("part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    # firsts[-1] leads the list around: the last part is host to the first row of all
+    hosts = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "_first long, _host int")
+    found = placed.join(F.broadcast(hosts), F.col("doc_id") == F.col("_first"), "left")  # no more rows than parts
+    own = F.struct(F.col("part"), F.lit(False).alias("guest"))
+    seats = F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_host").alias("part"), F.lit(True).alias("guest"))))
+    seated = found.withColumn("_seat", F.explode(seats)).select("_seat.part", "_seat.guest", "doc_id", "missing", "text")
+    return seated.repartition("part").sortWithinPartitions("part", "guest", "doc_id", F.desc("missing"), "text")
 
 
 def _part_of(bounds: list[int]):
     @F.pandas_udf("int")
     def part_of(ids):
+        import numpy as np
         import pandas as pd
 
-        return pd.Series([bisect_right(bounds, x) for x in ids], dtype="int32")
+        return pd.Series(np.searchsorted(np.asarray(bounds, np.int64), ids.to_numpy(), side="right").astype("int32"))
 
     return part_of
 
@@ -149,31 +148,33 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next row in
     ascending doc_id (null first, rows of equal ids by text; the last row's next is the first).  Null texts
-    count as empty.  A table of one row is its own next; an empty table gives no rows.
+    count as empty.  Equal rows each give a row.  A table of one row is its own next; an empty table gives no rows.
+    A text of any length is held whole by its task, beside the one before.  Other columns, whatever their names,
+    play no part.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def result(doc_id, text, print_, following, next_print):
+    def result(doc_id, missing, text, print_, following, next_print):
         changed = edited(text, following)
         changed_print = fingerprint(changed)
         sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-        return (None if doc_id == -(2**63) else doc_id, len(text), sha, print_, changed_print, likeness(print_, changed_print), likeness(print_, next_print))
+        return (None if missing else doc_id, len(text), sha, print_, changed_print, likeness(print_, changed_print), likeness(print_, next_print))
 
     def rows(batches):
-        before = None  # (part, doc_id, text, fingerprint) that waits for its successor
+        before = None  # (part, doc_id, missing, text, fingerprint) that waits for its successor
         for b in batches:
             out = []
-            for part, guest, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for part, guest, doc_id, missing, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 text = text or ""
                 if before is None or before[0] != part:
                     if guest:
                         continue  # a second row with the guest's id
-                    before = (part, doc_id, text, fingerprint(text))
+                    before = (part, doc_id, missing, text, fingerprint(text))
                     continue
                 print_ = fingerprint(text)
                 out.append(result(*before[1:], text, print_))
-                before = None if guest else (part, doc_id, text, print_)
+                before = None if guest else (part, doc_id, missing, text, print_)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 

@@ -538,6 +538,60 @@ def test_op9_locates_edits():
     assert 0.97 < merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(changed)) < 1
 
 
+def plain_tree(text):
+    """The tree by its definition: [(section, [(leaf, characters)])] and the root, from the text's sentences and lines."""
+    blake = lambda data: hashlib.blake2b(data, digest_size=16).digest()
+    leaves, leaf, i = [], "", 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] not in "\n.!?":
+            j += 1
+        while j < len(text) and text[j] in "\n.!?":
+            j += 1
+        leaf, i = leaf + text[i:j], j
+        if len(leaf) >= 48 or leaf.endswith("\n"):
+            leaves.append(leaf)
+            leaf = ""
+    leaves += [leaf] if leaf else []
+    assert "".join(leaves) == text
+    sections, open_ = [], []
+    for k, leaf in enumerate(leaves):
+        open_.append(leaf)
+        if blake(leaf.encode())[-1] % 8 == 0 or k == len(leaves) - 1:
+            sections.append((blake(b"".join(blake(x.encode()) for x in open_)), open_))
+            open_ = []
+    return blake(b"".join(h for h, _ in sections)).hex(), sections
+
+
+def plain_likeness(a, b):
+    """Both texts' characters in common leaves, by the texts of the leaves themselves."""
+    x, y = (collections.Counter(leaf for _, s in plain_tree(t)[1] for leaf in s) for t in (a, b))
+    return 2 * sum(len(k) * n for k, n in (x & y).items()) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_op9_brute_force(spark, small, texts):
+    """Fingerprints and likeness against a tree that is built from the definition and compared by its texts."""
+    ids = list(texts)
+    for r in QUERIES["op9_fingerprints"](spark, small).collect():
+        text, following = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        for t, got in ((text, r.fingerprint), (changed, r.edited_fingerprint)):
+            root, sections = plain_tree(t)
+            want = ";".join(f"{h.hex()[:12]}=" + ",".join(f"{hashlib.blake2b(x.encode(), digest_size=16).hexdigest()[:10]}.{len(x)}" for x in s) for h, s in sections)
+            assert got == f"{root}|{want}"
+        assert abs(r.near_edited - plain_likeness(text, changed)) < 1e-9 and abs(r.near_next - plain_likeness(text, following)) < 1e-9
+
+
+def test_op9_order_of_least_ids(spark):
+    """A row without an id comes before that of the least id, and both keep what they are; any number of parts."""
+    rows = [(None, "no id at all."), (-(2**63), "the least."), (0, "zero."), (2**63 - 1, "the most.")]
+    for parts in (1, 2, 90):
+        got = {r.doc_id: r.edited_sha256 for r in merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), parts).collect()}
+        for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1], strict=True):
+            assert got[i] == hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+
+
 def test_op9_odd(spark, odd, nothing):
     rows = merkle.fingerprints(odd, parts=3).collect()
     assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 3, 4, 5, 5, 6, 7, 9]
