@@ -259,10 +259,14 @@ def live_revisions(revisions: DataFrame, field: str, day: Column) -> DataFrame:
     return revisions.filter((F.col("field_name") == field) & (F.col("effective_date") == day) & F.col("undone_by_revision_id").isNull() & F.col("reverts_revision_id").isNull())
 
 
+def revision_text() -> Column:
+    """All that a revision shows, as one text to search."""
+    return F.concat_ws(" ", "section", "label", F.col("id").cast("string"), "old_value", "new_value")
+
+
 def change_history(revisions: DataFrame, query: str = "", field: str | None = None, section: str | None = None) -> DataFrame:
     """Revisions by substring of all they show, by field or family of fields (`callout_*`), and by section."""
-    blob = F.lower(F.concat_ws(" ", "section", "label", F.col("id").cast("string"), "old_value", "new_value"))
-    d = revisions.filter(F.contains(blob, F.lit(query.lower())))
+    d = revisions.filter(F.contains(F.lower(revision_text()), F.lit(query.lower())))
     if field:
         d = d.filter(F.startswith("field_name", F.lit(field[:-1])) if field.endswith("*") else F.col("field_name") == field)
     return d.filter(F.col("section") == section) if section else d

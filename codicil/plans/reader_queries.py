@@ -118,9 +118,13 @@ def validity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.valid_counts(_versions(spark, sf_dir), days, "day", [])
 
 
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "cast(o_custkey % 90 AS string) AS section", "o_orderpriority AS label", "to_json(named_struct('status', o_orderstatus)) AS old_value", "to_json(named_struct('priority', o_orderpriority)) AS new_value", "CASE o_orderkey % 3 WHEN 0 THEN 'callout_title' WHEN 1 THEN 'callout_text' ELSE 'text' END AS field_name")
+
+
 def change_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """revisions and messages by substring."""
-    r = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "cast(o_custkey % 90 AS string) AS section", "o_orderpriority AS label", "to_json(named_struct('status', o_orderstatus)) AS old_value", "to_json(named_struct('priority', o_orderpriority)) AS new_value", "CASE o_orderkey % 3 WHEN 0 THEN 'callout_title' WHEN 1 THEN 'callout_text' ELSE 'text' END AS field_name")
+    r = revisions(spark, sf_dir)
     hits = R.change_history(r, "1-urgent", "callout_*")
     box = R.inbox(table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS sender_name", "c_mktsegment AS message"), "BUILD")
     return hits.select("id", "section", F.lit("revision").alias("kind")).unionByName(box.select("id", F.lit("").alias("section"), F.lit("message").alias("kind")))
