@@ -212,12 +212,22 @@ def chapter_ranges(sections: DataFrame) -> DataFrame:
 
 # Segmentation of plain text -------------------------------------------------------------------------------
 
-CLAUSE = r"(?is)(\([a-z]\)|\([i|v|x]+\))\s*(.*?)(?=\([a-z]\)|\([i|v|x]+\)|\z)"
-SUBSECTION = r"(?is)(?<!sub-section\s)(?<!sub-sections\s)(?<!section\s)(\([0-9]+[A-Z]?\))\s*(.*?)(?=(?<!sub-section\s)(?<!sub-sections\s)(?<!section\s)\([0-9]+[A-Z]?\)|\z)"
+# What marks a clause, a subsection, a footnote and a chapter.
+CLAUSE = r"(?i)\([a-z]\)|\([i|v|x]+\)"
+SUBSECTION = r"(?i)(?<!sub-section\s)(?<!sub-sections\s)(?<!section\s)\([0-9]+[A-Z]?\)"
 FOOTNOTE = r"(?m)^\s*([0-9]+)\.\s+(.*?(?:w\.e\.f\.|Act\s+[0-9]+).*?)$"
 CHAPTER = r"CHAPTER\s+[IVXLCDM0-9]+\s*\n+[^\n]+"
 
 
+def between_markers(text: Column, marker: str) -> Column:
+    """array<struct<mark, content>>: each marker with what stands between it and the next one, without blanks before it.
+
+    Markers are listed and the text is cut at them, so that the time grows with the text, however far apart they are.
+    """
+    contents = _let(F.split(text, marker, -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
+    return F.zip_with(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), contents, lambda m, c: F.struct(m.alias("mark"), F.regexp_replace(c, r"\A\s+", "").alias("content")))
+
+
 def footnotes(text: Column) -> Column:
     """array<struct<ref, note>> of footnote lines."""
     refs, notes = F.regexp_extract_all(text, F.lit(FOOTNOTE), 1), F.regexp_extract_all(text, F.lit(FOOTNOTE), 2)
@@ -265,14 +275,12 @@ def segment_sections(docs: DataFrame) -> DataFrame:
 
 def segment_subsections(sections: DataFrame) -> DataFrame:
     """sections with subsection, text, sub_status, clauses and notes; an unnumbered body is one N/A subsection."""
-    clean = X.sanitize(F.col("body"))
-    numbers, texts = F.regexp_extract_all(clean, F.lit(SUBSECTION), 1), F.regexp_extract_all(clean, F.lit(SUBSECTION), 2)
-    numbered = F.zip_with(numbers, texts, lambda n, t: F.struct(n.alias("subsection"), F.trim(t).alias("content"), F.lit(True).alias("numbered")))
-    alone = F.array(F.struct(F.lit("N/A").alias("subsection"), clean.alias("content"), F.lit(False).alias("numbered")))
-    d = sections.select("*", F.posexplode(F.when(F.size(numbered) > 0, numbered).otherwise(alone)).alias("sub_ord", "s")).select("*", "s.*").drop("s")
+    sub = lambda number, content, numbered: F.struct(number.alias("subsection"), content.alias("content"), F.lit(numbered).alias("numbered"))
+    marked = lambda m: F.transform(m, lambda x: sub(x["mark"], F.trim(x["content"]), True))
+    parts = lambda clean: _let(between_markers(clean, SUBSECTION), lambda m: F.when(F.size(m) > 0, marked(m)).otherwise(F.array(sub(F.lit("N/A"), clean, False))))
+    d = sections.select("*", F.posexplode(_let(X.sanitize(F.col("body")), parts)).alias("sub_ord", "s")).select("*", "s.*").drop("s")
     d = d.withColumn("text", F.trim(F.regexp_replace("content", r"\A\[|\]\z", "")))
-    labels, wording = F.regexp_extract_all("text", F.lit(CLAUSE), 1), F.regexp_extract_all("text", F.lit(CLAUSE), 2)
-    clauses = F.zip_with(labels, wording, lambda n, t: F.struct(n.alias("clause"), F.trim(F.regexp_replace(X.sanitize(t), r"\[\z", "")).alias("text")))
+    clauses = F.transform(between_markers(F.col("text"), CLAUSE), lambda x: F.struct(x["mark"].alias("clause"), F.trim(F.regexp_replace(X.sanitize(x["content"]), r"\[\z", "")).alias("text")))
     d = d.withColumn("clauses", F.filter(clauses, lambda c: c["text"] != "")).withColumn("sub_status", wording_status(F.col("text"), F.col("numbered")))
     d = d.withColumn("notes", linked_notes(F.when(F.col("numbered"), F.col("content")).otherwise(F.col("body")), F.col("notes")))
     lead = F.trim(F.substring(F.col("text"), F.lit(1), F.position(F.get("clauses", F.lit(0))["clause"], F.col("text")) - 1))

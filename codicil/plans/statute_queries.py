@@ -171,14 +171,56 @@ def section_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provisions of plain text made from documents by numbering their lines."""
-    line = F.split("text", "\n")
-    made = F.transform(line, lambda x, i: F.concat(F.when(i % 7 == 0, F.concat(F.lit("CHAPTER "), (i / 7 + 1).cast("int").cast("string"), F.lit("\nHead "), (i / 7).cast("int").cast("string"), F.lit("\n"))).otherwise(""), F.lit("\n"), (i + 1).cast("string"), F.lit(". Title—(1) "), F.substring(x, 1, 40), F.lit(" (a) omitted "), F.substring(x, 41, 20), F.lit(" (b) rest (2) see sub-section (1) end")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(made, "\n").alias("text"))
+    """Provisions of plain text made from whole documents by numbering their lines and adding footnotes.
+
+    wording: MD5 of all subsections and clauses of a section, in order.
+    """
+    made = f"transform(split(text, '\\n'), (x, i) -> {_MADE.format(n='i', half='cast(length(x) div 2 as int)', number='cast(i + 1 as string)', chapter='cast(i div 7 + 1 as string)')})"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"array_join({made}, '\\n')").alias("text"))
     subs = S.segment_subsections(S.segment_sections(docs))
+    clauses = F.array_join(F.transform("clauses", lambda c: F.concat(c["clause"], F.lit("="), c["text"])), ";")
+    row = F.struct("chapter_ord", "section_ord", "sub_ord", F.concat_ws("|", "subsection", "text", clauses).alias("wording"))
     return subs.groupBy("doc_id", "chapter", "section").agg(
-        F.count("*").alias("n_subsections"), F.sum(F.size("clauses")).alias("n_clauses"), F.when(F.bool_or((F.col("sub_status") != "active") | (F.size("notes") > 0)), "amended").otherwise("active").alias("status"), F.min("title").alias("title")
-    )
+        F.count("*").alias("n_subsections"), F.sum(F.size("clauses")).alias("n_clauses"), F.when(F.bool_or((F.col("sub_status") != "active") | (F.size("notes") > 0)), "amended").otherwise("active").alias("status"), F.min("title").alias("title"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["wording"]), "\n")).alias("wording"),
+    )
+
+
+# A line x, numbered n from 0, as a section in chapters of seven; every fifth refers to a footnote of its own.
+_MADE = """concat(CASE WHEN {n} % 7 = 0 THEN concat('CHAPTER ', {chapter}, chr(10), 'Head ', {chapter}, chr(10)) ELSE '' END, chr(10), {number}, '. Title—(1) ', substr(x, 1, {half}),
+  CASE WHEN {n} % 3 = 0 THEN ' (a) omitted ' ELSE ' (a) first ' END, substr(x, {half} + 1), ' (b) rest (2) see sub-section (1) and (3A) end',
+  CASE WHEN {n} % 5 = 0 THEN concat(' [', {number}, ' x]', chr(10), {number}, '. Ins. by Act 21,  w.e.f. 2015') ELSE '' END)"""
+
+
+def _sanitized_sql(x: str) -> str:
+    lines = f"list_transform(string_split(regexp_replace(regexp_replace({x}, '\\b[0-9]+\\*+', '', 'g'), '[0-9]+\\[', '[', 'g'), chr(10)), lambda u: regexp_replace(u, '^\\s+|\\s+$', '', 'g'))"
+    kept = f"list_filter({lines}, lambda u: NOT regexp_matches(u, '^[0-9]+$') AND NOT regexp_matches(u, '(?i)^[0-9]+\\s+SECTIONS$'))"
+    return f"trim(regexp_replace(regexp_replace(array_to_string({kept}, ' '), '([\\p{{L}}\\p{{N}}_]+)-\\s+([\\p{{L}}\\p{{N}}_]+)', '\\1\\2', 'g'), '\\s+', ' ', 'g'))"
+
+
+_MADE_SQL = _MADE.format(n="i", half="(length(x) // 2)", number="(i + 1)::VARCHAR", chapter="(i // 7 + 1)::VARCHAR")
+_SEGMENTED_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+t AS (SELECT doc_id, string_agg({_MADE_SQL}, chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id),
+b AS (SELECT doc_id, regexp_extract_all(text, f, 1) AS refs, regexp_replace(text, f, '', 'g') AS body FROM t, (SELECT '(?m)^\s*([0-9]+)\.\s+(.*?(?:w\.e\.f\.|Act\s+[0-9]+).*?)$' AS f)),
+c AS (SELECT doc_id, refs, unnest(range(len(p))) AS chapter_ord, unnest(p) AS part FROM (SELECT doc_id, refs, list_filter(string_split(regexp_replace(body, '(CHAPTER\s+[IVXLCDM0-9]+\s*\n+[^\n]+)', chr(1) || '\1', 'g'), chr(1)), lambda y: starts_with(y, 'CHAPTER')) AS p FROM b)),
+h AS (SELECT *, regexp_extract(part, '\A(CHAPTER\s+[IVXLCDM0-9]+)', 1) AS chapter, string_split(regexp_replace(regexp_replace(part, '\ACHAPTER\s+[IVXLCDM0-9]+\s*\n+[^\n]+', ''), '\n([0-9]+[A-Z]?\.\s)', chr(1) || '\1', 'g'), chr(1)) AS p FROM c),
+s AS (SELECT doc_id, refs, chapter_ord, chapter, unnest(range(1, len(p))) AS section_ord, unnest(p[2:]) AS raw FROM h),
+r AS (SELECT *, regexp_extract(raw, '\A([0-9]+[A-Z]?)\.', 1) AS section, regexp_replace(trim(raw), '\A[0-9]+[A-Z]?\.\s*', '') AS w FROM s),
+d AS (SELECT *, regexp_extract(string_split(w, chr(10))[1], '\A([^—-]*)', 1) AS head, string_split(w, chr(10))[1] AS one FROM r),
+e AS (SELECT * EXCLUDE (raw), {_sanitized_sql("head")} AS title, trim(substr(one, length(head) + 2)) || substr(w, length(one) + 1) AS body FROM d),
+k AS (SELECT *, {_sanitized_sql("body")} AS clean FROM e),
+m AS (SELECT *, string_split(regexp_replace(regexp_replace(clean, '(?i)((?:section|sub-sections)\s)\(([0-9]+[A-Z]?\))', '\1' || chr(3) || '\2', 'g'), '(?i)(\([0-9]+[A-Z]?\))', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM k),
+n AS (SELECT *, unnest(range(greatest(len(p) - 1, 1))) AS sub_ord, unnest(CASE WHEN len(p) > 1 THEN p[2:] ELSE ['N/A' || chr(2) || clean] END) AS q FROM m),
+u AS (SELECT *, len(p) > 1 AS numbered, string_split(q, chr(2))[1] AS subsection, replace(trim(regexp_replace(string_split(q, chr(2))[2], '\A\s+', '')), chr(3), '(') AS content FROM n),
+v AS (SELECT *, trim(regexp_replace(content, '\A\[|\]\z', '', 'g')) AS text FROM u),
+z AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '(?i)(\([a-z]\)|\([i|v|x]+\))', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:],
+  lambda y: {{'clause': string_split(y, chr(2))[1], 'text': trim(regexp_replace({_sanitized_sql("string_split(y, chr(2))[2]")}, '\[\z', ''))}}), lambda y: y.text <> '') AS clauses FROM v),
+o AS (SELECT *, CASE WHEN len(clauses) > 0 THEN trim(substr(text, 1, greatest(instr(text, clauses[1].clause) - 1, 0))) ELSE '' END AS lead, contains(lower(text), 'omitted') OR contains(lower(text), 'substituted') OR (numbered AND contains(lower(text), 'subs.')) AS changed,
+  len(list_filter(refs, lambda y: contains(CASE WHEN numbered THEN content ELSE body END, y || '***') OR contains(CASE WHEN numbered THEN content ELSE body END, y || '[') OR contains(CASE WHEN numbered THEN content ELSE body END, '[' || y))) > 0 AS noted FROM z)
+SELECT doc_id, chapter, section, count(*) AS n_subsections, sum(len(clauses))::BIGINT AS n_clauses, CASE WHEN bool_or(changed OR noted) THEN 'amended' ELSE 'active' END AS status, min(title) AS title,
+  md5(string_agg(subsection || '|' || CASE WHEN lead <> '' THEN lead ELSE text END || '|' || array_to_string(list_transform(clauses, lambda y: y.clause || '=' || y.text), ';'), chr(10) ORDER BY chapter_ord, section_ord, sub_ord)) AS wording
+FROM o GROUP BY ALL"""
 
 
 _FNS = (chunk_merge, chunk_merge_dropped, section_merge, global_section_merge, subsection_merge, clause_merge, conversation_stitch, note_union, chapter_by_content, chapter_by_sections, heading_artefacts, act_gate, carried_identity, heading_paths, reading_order, chapter_ranges, search_blobs, local_search, section_jump, segmented_text)
@@ -237,5 +279,6 @@ FROM sections WINDOW w AS (ORDER BY position)""",
     "local_search": f"""WITH {FRAGMENTS}, h AS (SELECT chapter, section, lower(string_agg(trim(subsection_no || ' ' || clause_no || ' ' || text || ' ' || note), ' ' ORDER BY ord)) AS body, min(ord) AS position,
   arg_min(chapter_title, ord) AS ct, arg_min(title, ord) AS t FROM r GROUP BY ALL) SELECT chapter, section, position FROM h
 WHERE contains(lower(chapter || ' ' || ct || ' ' || section || ' ' || t || ' ') || body, 'state p and') ORDER BY position LIMIT 6""",
+    "segmented_text": _SEGMENTED_SQL,
     "section_jump": f"WITH {FRAGMENTS} SELECT chapter, section, title FROM sections WHERE section = '7A' ORDER BY position LIMIT 1",
 }

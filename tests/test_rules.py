@@ -2,6 +2,7 @@
 
 import difflib
 import hashlib
+import json
 import random
 import re
 
@@ -412,3 +413,14 @@ def test_nested_master_holds_every_clause_in_order(spark):
     got = [(r.chapter, [(s.section, [(b.subsection, [tuple(x) for x in b.clauses]) for b in s.subsections]) for s in r.sections]) for r in I.nested_master(d).collect()]
     assert got == [(c, [(s, list(b.items())) for s, b in ss.items()]) for c, ss in want.items()]
     assert I.nested_master(d.limit(0)).count() == 0
+
+
+def test_markers_cut_as_a_search_for_each_next_one(spark):
+    """Against Python's lazy search up to the next marker, on texts full of markers."""
+    rng = random.Random(5)
+    pieces = ["(1)", "(12A)", "(a)", "(iv)", "(B)", "(|)", "section ", "sub-section ", "Sub-sections ", "sections ", " ", "\n", "word", "(", ")", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(300)]
+    for marker in (S.SUBSECTION, S.CLAUSE):
+        lazy = re.compile(rf"(?s)({marker[4:]})\s*(.*?)(?={marker[4:]}|\Z)", re.I)
+        got = values(spark, F.to_json(F.transform(S.between_markers(F.col("a"), marker), lambda x: F.array(x["mark"], x["content"]))), *texts)
+        assert [json.loads(x) for x in got] == [[[m[1], m[2]] for m in lazy.finditer(t)] for t in texts]
