@@ -145,8 +145,8 @@ def label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clause_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: clauses by verified lines."""
     li = table(spark, sf_dir, "lineitem")
-    lines = li.selectExpr("cast(l_orderkey AS string) AS section", "cast(l_extendedprice * 100 AS long) * 10 + l_linenumber AS line", "CASE WHEN l_linenumber <= 2 THEN concat('(', l_linenumber, ')') ELSE concat('(', substr('abcdefgh', l_linenumber, 1), ')') END AS label")
-    clauses = li.filter("l_linenumber > 2").selectExpr("cast(l_orderkey AS string) AS section", "concat('(', l_partkey % 2 + 1, ')') AS subsection", "concat('(', substr('abcdefgh', l_linenumber, 1), ')') AS clause", "l_linenumber AS ord").dropDuplicates(["section", "subsection", "clause"])
+    lines = li.selectExpr("cast(l_orderkey AS string) AS section", "cast(rint(l_extendedprice * 100) AS long) * 10 + l_linenumber AS line", "CASE WHEN l_linenumber <= 2 THEN concat('(', l_linenumber, ')') ELSE concat('(', substr('abcdefgh', l_linenumber, 1), ')') END AS label")
+    clauses = li.filter("l_linenumber > 2").selectExpr("cast(l_orderkey AS string) AS section", "concat('(', l_partkey % 2 + 1, ')') AS subsection", "concat('(', substr('abcdefgh', l_linenumber, 1), ')') AS clause", "l_linenumber AS ord").groupBy("section", "subsection", "clause").agg(F.min("ord").alias("ord"))
     return R.verified_clause_order(clauses, lines)
 
 
