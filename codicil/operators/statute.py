@@ -6,8 +6,12 @@ which fragment came first.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from codicil.functions import text as X
 
@@ -20,51 +24,53 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def stitch(a: Column, b: Column) -> Column:
-    """Two fragments as one text: the one that holds the other, or both joined over their longest overlap.
+def cuts(words: Column, step: int, most: int) -> Column:
+    """array of texts: up to `most` words from every `step` words on; the words are worked out once."""
+    starts = lambda w: F.sequence(F.lit(0), F.floor(F.size(w) / step).cast("int"))
+    return _let(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i * step + 1, most), " ")))
+
+
+def stitch(a: str, b: str) -> str:
+    """Two fragments without double blanks as one text: the one that holds the other, or both joined over their longest overlap.
 
     The overlap is the longest run of words that ends one and starts the other, the first fragment's end being
     tried first at each length; without one they are put side by side.
     """
+    if not a or not b:
+        return a or b
+    if a in b or b in a:
+        return b if a in b else a
+    a_first, a_last, b_first, b_last = _first(a), _last(a), _first(b), _last(b)
+    for k in range(min(len(a_first), len(b_first)), LEAST_OVERLAP - 1, -1):
+        if a_last[-k] == b_first[0] and a_last[-k:] == b_first[:k]:
+            return a + b[len(" ".join(b_first[:k])) :]
+        if b_last[-k] == a_first[0] and b_last[-k:] == a_first[:k]:
+            return b + a[len(" ".join(a_first[:k])) :]
+    return f"{a} {b}"
 
-    tail = lambda w, k: F.slice(w, F.size(w) - k + 1, k)
-    head = lambda w, k: F.slice(w, F.lit(1), k)
 
-    def ends(p: Column) -> Column:
-        """Both texts and their first and last words, as many as an overlap may have."""
-        first = lambda t: F.split(F.substring_index(t, " ", MOST_OVERLAP), " ")
-        last = lambda t: F.split(F.substring_index(t, " ", -MOST_OVERLAP), " ")
-        a, b = p["a"], p["b"]
-        return F.struct(a.alias("a"), b.alias("b"), first(a).alias("a_first"), last(a).alias("a_last"), first(b).alias("b_first"), last(b).alias("b_last"))
+def _first(text: str) -> list[str]:
+    return text.split(" ", MOST_OVERLAP)[:MOST_OVERLAP]
 
-    def overlapping(p: Column) -> Column:
-        most = F.least(F.size(p["a_first"]), F.size(p["b_first"]))
-        fits = lambda k: (tail(p["a_last"], k) == head(p["b_first"], k)) | (tail(p["b_last"], k) == head(p["a_first"], k))
-        lengths = F.when(most >= LEAST_OVERLAP, F.reverse(F.sequence(F.lit(LEAST_OVERLAP), most)))
-        return _let(F.get(F.filter(lengths, fits), F.lit(0)), lambda k: over(p, k))
 
-    def over(p: Column, k: Column) -> Column:
-        after = lambda t, words: F.substring(t, F.length(F.array_join(words, " ")) + 1, F.length(t))
-        ahead = tail(p["a_last"], k) == head(p["b_first"], k)
-        onto = lambda x, y, words: F.concat(x, after(y, head(words, k)))
-        return F.when(k.isNull(), F.concat_ws(" ", p["a"], p["b"])).when(ahead, onto(p["a"], p["b"], p["b_first"])).otherwise(onto(p["b"], p["a"], p["a_first"]))
+def _last(text: str) -> list[str]:
+    return text.rsplit(" ", MOST_OVERLAP)[-MOST_OVERLAP:]
 
-    def joined(p: Column) -> Column:
-        return (
-            F.when(p["a"] == "", p["b"]).when(p["b"] == "", p["a"]).when(F.contains(p["b"], p["a"]), p["b"]).when(F.contains(p["a"], p["b"]), p["a"])
-            .otherwise(_let(ends(p), overlapping))
-        )
 
-    return _let(F.struct(X.squeeze(a).alias("a"), X.squeeze(b).alias("b")), joined)
+@F.pandas_udf(StringType())
+def _folded(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda p: reduce(stitch, p))
 
 
 def stitched(text: Column, *order: Column) -> Column:
     """Aggregate: fragments of a group stitched in their order, from the first on.
 
-    The fold is not associative, so a group's fragments meet in one row; groups are single provisions.
+    The fold is not associative, so a group's fragments meet in one row; groups are single provisions.  Blanks are
+    squeezed once a fragment, and the fold looks at the ends of what it has so far.  Group by a column: Spark cannot
+    plan a Python function over an aggregate whose key is a constant.
     """
     parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("_text")))), lambda x: x["_text"])
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.coalesce(F.element_at(parts, 1), F.lit("")), stitch)
+    return _folded(F.when(F.size(parts) > 1, F.transform(parts, X.squeeze)).otherwise(F.transform(parts, lambda x: F.coalesce(x, F.lit("")))))
 
 
 def first_change(status: Column, order: Column) -> Column:

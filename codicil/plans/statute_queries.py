@@ -84,8 +84,8 @@ def conversation_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: conversations as fragments of one text, and overlapping cuts of documents."""
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), F.col("turn").cast("int").alias("turn"), "text")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    cuts = F.sequence(F.lit(0), F.floor(F.size(words) / 40).cast("int"))
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.posexplode(F.transform(cuts, lambda i: F.array_join(F.slice(words, i * 40 + 1, 50), " "))).alias("turn", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.cuts(words, 40, 50)).alias("turn", "text"))
+    d = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "turn", "text")
     return c.unionByName(d).groupBy("id").agg(F.md5(S.stitched(F.col("text"), F.col("turn"))).alias("text_md5"))
 
 
