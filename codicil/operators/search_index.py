@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from codicil.operators.statute import _let
+from codicil.sources.shared import cut
 
 #: Code points of a text that are cut into trigrams at once; a longer text is several such pieces.
 PIECE = 4096
-#: About so many texts share one list of a trigram, so no list is longer and a hot trigram has many.
+#: So many texts share one list of a trigram at most, so no list is longer and a hot trigram has many.
 TEXTS_PER_LIST = 4096
+#: A task holds about so many entries of lists at once, and hands on so many lists at a time.
+ENTRIES_PER_LIST, ROWS_AT_ONCE = 2_000_000, 10_000
 #: Texts that are kept in one folder, of which a query reads those that hold a candidate.
 TEXTS_PER_FOLDER = 20_000
 MOST_FOLDERS = 4096
@@ -26,33 +31,47 @@ BROADCAST_CANDIDATES = 100_000
 _END = "\x00\x00"
 
 
-def _grams(text: Column) -> Column:
-    """array of the different runs of three characters of a text of three or more."""
-
-    def runs(c: Column) -> Column:
-        at = lambda i: F.get(c, i)
-        return F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
-
-    return F.array_distinct(_let(F.split(text, ""), runs))
-
-
 def _pieces(text: Column) -> Column:
     """A text in pieces, each with the first two characters of the next."""
     overlapping = lambda p: F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(p, i + 1), 1, 2), F.lit(""))))
     return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), overlapping)
 
 
-def postings(texts: DataFrame, doc: str, text: str, n_lists: int) -> DataFrame:
-    """(gram, list, docs): the texts that hold a trigram, sorted, in lists by a hash of the text's number.
+def postings(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """(gram, list, docs): the texts that hold a trigram, sorted, in lists of texts that a task reads one after the other.
 
-    A text is cut into pieces that overlap by two characters, so a long one is many short arrays; a piece's
-    trigrams are told apart before the shuffle and lists are put together on the map side first.
+    A text is cut into pieces that overlap by two characters, so a long one is many short rows; all of them go to one
+    list.  A list is whole where it is made, so no trigram is shuffled before it stands for all texts of its list.
     """
+    most_texts, most_entries = TEXTS_PER_LIST, ENTRIES_PER_LIST
+
+    def lists(batches):
+        held, last, n, entries, number = {}, None, 0, 0, TaskContext.get().partitionId() << 32
+
+        def full():
+            grams = sorted(held)
+            docs = [sorted(set(held[g])) for g in grams]
+            for lo in range(0, len(grams), ROWS_AT_ONCE):
+                at = grams[lo : lo + ROWS_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array([number] * len(at), pa.int64()), pa.array(docs[lo : lo + ROWS_AT_ONCE], pa.list_(pa.int64()))], names=["gram", "list", "docs"])
+
+        for b in batches:
+            for of, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if of != last:
+                    if n >= most_texts or entries >= most_entries:
+                        yield from full()
+                        held, n, entries, number = {}, 0, 0, number + 1
+                    last, n = of, n + 1
+                for g in {piece[i : i + 3] for i in range(len(piece) - 2)}:
+                    docs = held.setdefault(g, [])
+                    if not docs or docs[-1] != of:
+                        docs.append(of)
+                        entries += 1
+        yield from full()
+
     whole = F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_END))
-    pieces = texts.select(F.col(doc).alias("doc"), F.explode(_pieces(whole)).alias("_piece")).filter(F.length("_piece") >= 3)
-    grams = pieces.select("doc", F.explode(_grams(F.col("_piece"))).alias("gram"))
-    lists = grams.groupBy("gram", F.pmod(F.xxhash64("doc"), F.lit(n_lists)).alias("list")).agg(F.collect_set("doc").alias("docs"))
-    return lists.select("gram", "list", F.array_sort("docs").alias("docs"))
+    pieces = texts.select(F.col(doc).cast("long").alias("doc"), F.explode(_pieces(whole)).alias("_piece")).filter((F.length("_piece") >= 3) & F.col("doc").isNotNull())
+    return pieces.mapInArrow(lists, "gram string, list long, docs array<long>")
 
 
 def write_index(texts: DataFrame, path: str, doc: str = "doc", text: str = "text") -> None:
@@ -67,7 +86,8 @@ def write_index(texts: DataFrame, path: str, doc: str = "doc", text: str = "text
     placed = texts.withColumn("folder", F.pmod(F.xxhash64(doc), F.lit(folders)).cast("int"))
     placed.repartition("folder", F.pmod(F.xxhash64(F.lit(1), F.col(doc)), F.lit(-(-n // (folders * TEXTS_PER_FOLDER))))).sortWithinPartitions("folder", doc).write.partitionBy("folder").parquet(f"{path}/texts")
     texts.sparkSession.range(1).select(F.lit(folders).alias("folders"), F.lit(placed.schema.json()).alias("columns")).write.parquet(f"{path}/about")
-    postings(texts, doc, text, -(-n // TEXTS_PER_LIST)).repartitionByRange("gram", "list").sortWithinPartitions("gram", "list").write.parquet(f"{path}/postings")
+    lists = cut(postings(texts, doc, text), "lists")  # a range sort reads what it sorts twice
+    lists.repartitionByRange("gram", "list").sortWithinPartitions("gram", "list").write.parquet(f"{path}/postings")
 
 
 def query_grams(query: str) -> list[str]:

@@ -61,3 +61,13 @@ def test_only_candidates_are_read(spark, tmp_path, monkeypatch):
     lists = spark.read.parquet(f"{path}/postings").filter(F.col("gram") == "217")
     assert "EqualTo(gram,217)" in lists._jdf.queryExecution().executedPlan().toString()
     assert [r.doc for r in I.candidates(spark, path, "number 217").collect()] == [217]
+
+
+def test_lists_are_whole_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(I, "PIECE", 5)
+    monkeypatch.setattr(I, "TEXTS_PER_LIST", 7)
+    d = I.postings(spark.createDataFrame([(i, f"text number {i} of some") for i in range(100)], "doc long, text string").repartition(3), "doc", "text")
+    assert "Exchange hashpartitioning(gram" not in d._jdf.queryExecution().executedPlan().toString()
+    rows = d.collect()
+    assert len({(r.gram, r.list) for r in rows}) == len(rows) and all(len(r.docs) <= 7 and r.docs == sorted(set(r.docs)) for r in rows)
+    assert sorted(x for r in rows if r.gram == "mbe" for x in r.docs) == list(range(100))
