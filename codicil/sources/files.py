@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,12 +18,15 @@ def scan_corpus(spark: SparkSession, root: str, pattern: str = "*.pdf", category
     category: a part of the relative path, in either case.  Larger files than most_bytes are left out before
     their content is read.  Order by lower(relative) for a listing.
     """
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     base = root.split("://")[-1].rstrip("/")
-    d = d.withColumn("relative", F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})"))
+    relative = F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})")
+    d = files.load(root).withColumn("relative", relative)
     d = d.filter(~F.array_contains(F.split(F.lower("relative"), "/"), "debug"))
     if category:
-        d = d.filter(F.contains(F.lower("relative"), F.lit(category.lower())))
+        # Spark would read a file before it looks at its path, so those of the category are listed first, without content
+        named = [r["path"] for r in d.filter(F.contains(F.lower("relative"), F.lit(category.lower()))).select("path").collect()]
+        d = files.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in named]).withColumn("relative", relative) if named else d.limit(0)
     return (d.filter(F.col("length") <= most_bytes) if most_bytes else d).select("path", "relative", "length", "content")
 
 
