@@ -93,13 +93,23 @@ def page_verdict(c: Column, least_latin: int = LEAST_LATIN, least_words: int = L
     )
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _replaced(c: Column, sign: str, pattern: str, to: str) -> Column:
+    """regexp_replace() of a pattern whose every match holds `sign`: texts without it are not searched."""
+    return let(c, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
 def sanitize(c: Column) -> Column:
     """One line: footnote marks, lines of digits and counters dropped, words joined over a line's hyphen."""
-    c = F.regexp_replace(F.regexp_replace(_text(c), r"\b[0-9]+\*+", ""), r"[0-9]+\[", "[")
-    lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    kept = F.filter(lines, lambda x: ~x.rlike(r"^[0-9]+$") & ~x.rlike(r"(?i)^[0-9]+\s+SECTIONS$"))
-    joined = F.regexp_replace(F.array_join(kept, " "), r"([\p{L}\p{N}_]+)-\s+([\p{L}\p{N}_]+)", "$1$2")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    c = _replaced(_replaced(_text(c), "*", r"(?=[0-9])\b[0-9]+\*+", ""), "[", r"[0-9]+\[", "[")
+    kept = F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"(?i)\A\s*[0-9]+(?:\s+SECTIONS)?\s*\z"))
+    # a match begins at the last letter before the hyphen, so that words without one are passed once
+    joined = _replaced(F.array_join(kept, " "), "-", r"([\p{L}\p{N}_])-\s+([\p{L}\p{N}_]++)", "$1$2")
+    return F.trim(F.regexp_replace(joined, r"[^\S ]\s*| \s+", " "))
 
 
 def without_markup(c: Column) -> Column:

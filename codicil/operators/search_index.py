@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codicil.operators.statute import _let
+from codicil.functions.text import let as _let
 from codicil.sources.shared import cut
 
 #: Code points of a text that are cut into trigrams at once; a longer text is several such pieces.

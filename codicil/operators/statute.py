@@ -19,15 +19,10 @@ from codicil.functions import text as X
 MOST_OVERLAP, LEAST_OVERLAP = 250, 3
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value evaluated once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def cuts(words: Column, step: int, most: int) -> Column:
     """array of texts: up to `most` words from every `step` words on; the words are worked out once."""
     starts = lambda w: F.sequence(F.lit(0), F.floor(F.size(w) / step).cast("int"))
-    return _let(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i * step + 1, most), " ")))
+    return X.let(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i * step + 1, most), " ")))
 
 
 def stitch(a: str, b: str) -> str:
@@ -219,9 +214,9 @@ def chapter_ranges(sections: DataFrame) -> DataFrame:
 # Segmentation of plain text -------------------------------------------------------------------------------
 
 # What marks a clause, a subsection, a footnote and a chapter.
-CLAUSE = r"(?i)\([a-z]\)|\([i|v|x]+\)"
-SUBSECTION = r"(?i)(?<!sub-section\s)(?<!sub-sections\s)(?<!section\s)\([0-9]+[A-Z]?\)"
-FOOTNOTE = r"(?m)^\s*([0-9]+)\.\s+(.*?(?:w\.e\.f\.|Act\s+[0-9]+).*?)$"
+CLAUSE = r"(?i)\((?:[a-z]\)|[i|v|x]+\))"
+SUBSECTION = r"(?i)\((?<!sub-section\s\()(?<!sub-sections\s\()(?<!section\s\()[0-9]+[A-Z]?\)"
+FOOTNOTE = r"(?m)^\s*+([0-9]++)\.\s++(.*?(?:w\.e\.f\.|Act\s+[0-9]+).*)"
 CHAPTER = r"CHAPTER\s+[IVXLCDM0-9]+\s*\n+[^\n]+"
 
 
@@ -230,14 +225,14 @@ def between_markers(text: Column, marker: str) -> Column:
 
     Markers are listed and the text is cut at them, so that the time grows with the text, however far apart they are.
     """
-    contents = _let(F.split(text, marker, -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
+    contents = X.let(F.split(text, marker, -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
     return F.zip_with(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), contents, lambda m, c: F.struct(m.alias("mark"), F.regexp_replace(c, r"\A\s+", "").alias("content")))
 
 
 def footnotes(text: Column) -> Column:
-    """array<struct<ref, note>> of footnote lines."""
-    refs, notes = F.regexp_extract_all(text, F.lit(FOOTNOTE), 1), F.regexp_extract_all(text, F.lit(FOOTNOTE), 2)
-    return F.zip_with(refs, notes, lambda r, n: F.struct(r.alias("ref"), F.trim(F.regexp_replace(n, r"\s+", " ")).alias("note")))
+    """array<struct<ref, note>> of footnote lines; the text is searched once, and each line taken apart."""
+    part = lambda line, n: F.regexp_extract(line, r"(?s)\A\s*([0-9]+)\.\s+(.*)\z", n)
+    return F.transform(F.regexp_extract_all(text, F.lit(FOOTNOTE), F.lit(0)), lambda x: F.struct(part(x, 1).alias("ref"), F.trim(F.regexp_replace(part(x, 2), r"\s+", " ")).alias("note")))
 
 
 def without_footnotes(text: Column) -> Column:
@@ -246,12 +241,14 @@ def without_footnotes(text: Column) -> Column:
 
 def linked_notes(text: Column, notes: Column) -> Column:
     """Those of the footnotes that a text refers to by `N***`, `N[` or `[N`."""
-    return F.filter(notes, lambda n: F.contains(text, F.concat(n["ref"], F.lit("***"))) | F.contains(text, F.concat(n["ref"], F.lit("["))) | F.contains(text, F.concat(F.lit("["), n["ref"])))
+    some = F.contains(text, F.lit("[")) | F.contains(text, F.lit("***"))
+    linked = F.filter(notes, lambda n: F.contains(text, F.concat(n["ref"], F.lit("***"))) | F.contains(text, F.concat(n["ref"], F.lit("["))) | F.contains(text, F.concat(F.lit("["), n["ref"])))
+    return F.when(some, linked).otherwise(F.slice(notes, 1, 0))
 
 
 def wording_status(text: Column, numbered: Column) -> Column:
-    low = F.lower(text)
-    return F.when(F.contains(low, F.lit("omitted")), "omitted").when(F.contains(low, F.lit("substituted")) | (numbered & F.contains(low, F.lit("subs."))), "substituted").otherwise("active")
+    has = lambda low, word: F.contains(low, F.lit(word))
+    return X.let(F.lower(text), lambda low: F.when(has(low, "omitted"), "omitted").when(has(low, "substituted") | (numbered & has(low, "subs.")), "substituted").otherwise("active"))
 
 
 def segment_sections(docs: DataFrame) -> DataFrame:
@@ -260,15 +257,16 @@ def segment_sections(docs: DataFrame) -> DataFrame:
     A chapter is `CHAPTER n` and its title's line; a section starts at a line `N. `; its title ends at the first
     dash.  A text without chapters is one chapter N/A, General.
     """
-    body = without_footnotes(F.coalesce("text", F.lit("")))
-    parts = F.split(body, rf"(?={CHAPTER})")
-    named = F.filter(parts, lambda p: p.rlike(rf"\A{CHAPTER}"))
-    chapters = F.when(F.size(named) > 0, named).otherwise(F.array(body))
-    d = docs.select("doc_id", footnotes(F.coalesce("text", F.lit(""))).alias("notes"), F.posexplode(chapters).alias("chapter_ord", "part"))
+    text = F.coalesce("text", F.lit(""))
+    named = lambda body: F.filter(F.split(body, rf"(?={CHAPTER})"), lambda p: p.rlike(rf"\A{CHAPTER}"))
+    chapters = X.let(without_footnotes(text), lambda body: X.let(named(body), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(body))))
+    # footnotes are listed before chapters become rows, so once a text; no list below is empty, and an outer
+    # explode keeps Spark from making it a second time for a filter on its size
+    d = docs.select("doc_id", footnotes(text).alias("notes"), chapters.alias("_chapters")).select("doc_id", "notes", F.posexplode_outer("_chapters").alias("chapter_ord", "part"))
     d = d.withColumn("head", F.regexp_extract("part", rf"\A({CHAPTER})", 1)).withColumn("part", F.expr("substring(part, length(head) + 1)"))
     d = d.withColumn("chapter", F.when(F.col("head") == "", "N/A").otherwise(F.regexp_extract("head", r"(CHAPTER\s+[IVXLCDM0-9]+)", 1)))
     d = d.withColumn("chapter_title", F.when(F.col("head") == "", "General").otherwise(X.sanitize(F.regexp_extract("head", r"\n+([^\n]+)\z", 1))))
-    d = d.select("*", F.posexplode(F.split("part", r"\n(?=[0-9]+[A-Z]?\.\s)")).alias("section_ord", "raw")).filter("section_ord > 0")
+    d = d.select("*", F.posexplode_outer(F.split("part", r"\n(?=[0-9]+[A-Z]?\.\s)")).alias("section_ord", "raw")).filter("section_ord > 0")
     d = d.withColumn("section", F.regexp_extract("raw", r"\A([0-9]+[A-Z]?)\.", 1)).withColumn("raw", F.regexp_replace(F.trim("raw"), r"\A[0-9]+[A-Z]?\.\s*", ""))
     first = F.split("raw", "\n", 2)[0]
     rest = F.when(F.instr("raw", "\n") > 0, F.expr("substring(raw, instr(raw, '\n'))")).otherwise("")
@@ -283,9 +281,9 @@ def segment_subsections(sections: DataFrame) -> DataFrame:
     """sections with subsection, text, sub_status, clauses and notes; an unnumbered body is one N/A subsection."""
     sub = lambda number, content, numbered: F.struct(number.alias("subsection"), content.alias("content"), F.lit(numbered).alias("numbered"))
     marked = lambda m: F.transform(m, lambda x: sub(x["mark"], F.trim(x["content"]), True))
-    parts = lambda clean: _let(between_markers(clean, SUBSECTION), lambda m: F.when(F.size(m) > 0, marked(m)).otherwise(F.array(sub(F.lit("N/A"), clean, False))))
-    d = sections.select("*", F.posexplode(_let(X.sanitize(F.col("body")), parts)).alias("sub_ord", "s")).select("*", "s.*").drop("s")
-    d = d.withColumn("text", F.trim(F.regexp_replace("content", r"\A\[|\]\z", "")))
+    parts = lambda clean: X.let(between_markers(clean, SUBSECTION), lambda m: F.when(F.size(m) > 0, marked(m)).otherwise(F.array(sub(F.lit("N/A"), clean, False))))
+    d = sections.select("*", F.posexplode_outer(X.let(X.sanitize(F.col("body")), parts)).alias("sub_ord", "s")).select("*", "s.*").drop("s")
+    d = d.withColumn("text", F.trim(F.regexp_replace(F.regexp_replace("content", r"\A\[", ""), r"\]\z", "")))
     clauses = F.transform(between_markers(F.col("text"), CLAUSE), lambda x: F.struct(x["mark"].alias("clause"), F.trim(F.regexp_replace(X.sanitize(x["content"]), r"\[\z", "")).alias("text")))
     d = d.withColumn("clauses", F.filter(clauses, lambda c: c["text"] != "")).withColumn("sub_status", wording_status(F.col("text"), F.col("numbered")))
     d = d.withColumn("notes", linked_notes(F.when(F.col("numbered"), F.col("content")).otherwise(F.col("body")), F.col("notes")))

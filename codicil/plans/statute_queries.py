@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codicil.functions import text as X
 from codicil.operators import reader as R
 from codicil.operators import statute as S
-from codicil.sources.tables import table
+from codicil.sources.tables import spread, table
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def segmented_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     wording: MD5 of all subsections and clauses of a section, in order.
     """
     made = f"transform(split(text, '\\n'), (x, i) -> {_MADE.format(n='i', half='cast(length(x) div 2 as int)', number='cast(i + 1 as string)', chapter='cast(i div 7 + 1 as string)')})"
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"array_join({made}, '\\n')").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(f"array_join({made}, '\\n')").alias("text"))
     subs = S.segment_subsections(S.segment_sections(docs))
     clauses = F.array_join(F.transform("clauses", lambda c: F.concat(c["clause"], F.lit("="), c["text"])), ";")
     row = F.struct("chapter_ord", "section_ord", "sub_ord", F.concat_ws("|", "subsection", "text", clauses).alias("wording"))
