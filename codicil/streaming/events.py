@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -26,42 +28,57 @@ def active_time(events: DataFrame) -> DataFrame:
     return per_user.select("user_id", (F.floor(F.col("_us") / (TICK_SECONDS * 10**6)) * TICK_SECONDS).alias("active_seconds"))
 
 
+#: Events in one value of the state.
+STATE_EVENTS = 4096
+
+
 class _Ticks(StatefulProcessor):
     """Active time of one user, tick by tick.
 
     Events wait until the watermark has passed them and are then taken in order, so that files may come in any order
-    within the lateness.  A timer stands at the earliest that waits, or 30 seconds after the last one taken.
+    within the lateness.  A timer stands at the earliest that waits, or 30 seconds after the last one taken.  What
+    waits is kept as a list of values of many events each, so a batch asks the state a few times a user, not for each event.
     """
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._waiting = handle.getMapState("waiting", "at long, event_id long", "n int")
+        self._waiting = handle.getListState("waiting", "events binary")
         self._done = handle.getValueState("done", "last long, open boolean, active long, ticks long")
 
     def _wake_at(self, at: int) -> None:
         self._handle.registerTimer(-(-at // 1000))
 
+    @staticmethod
+    def _packed(events: np.ndarray) -> list[tuple[bytes]]:
+        """Rows of time and event_id as values of the state."""
+        return [(np.ascontiguousarray(events[k : k + STATE_EVENTS]).tobytes(),) for k in range(0, len(events), STATE_EVENTS)]
+
     def handleInputRows(self, key, rows, timerValues):
         least = None
-        for r in rows:
-            self._waiting.updateValue((r["at"], r["event_id"]), (1,))
-            least = r["at"] if least is None else min(least, r["at"])
+        for d in rows:
+            if len(d):
+                self._waiting.appendList(self._packed(d[["at", "event_id"]].to_numpy(np.int64)))
+                least = int(d["at"].min()) if least is None else min(least, int(d["at"].min()))
         if least is not None:
             self._wake_at(least)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed, idle = timerValues.getCurrentWatermarkInMs() * 1000, IDLE_SECONDS * 10**6
-        waiting = sorted(tuple(k) for k in self._waiting.keys())
-        last, unfinished, active, ticks = self._done.get() if self._done.exists() else (0, False, 0, 0)
+        parts = [np.frombuffer(v[0], np.int64).reshape(-1, 2) for v in self._waiting.get()]
+        last, unfinished, active, ticks = self._done.get() or (0, False, 0, 0)
         left = None
-        for at, event_id in waiting:
-            if at > passed:
-                left = at
-                break
-            active += min(at - last, idle) if unfinished else 0
-            last, unfinished = at, True
-            self._waiting.removeKey((at, event_id))
+        if parts:
+            waiting = np.unique(np.concatenate(parts), axis=0)  # by time; one that comes again counts once
+            n = int(np.searchsorted(waiting[:, 0], passed, side="right"))
+            if n:
+                at = waiting[:n, 0]
+                active += int(np.minimum(np.diff(at), idle).sum()) + (min(int(at[0]) - last, idle) if unfinished else 0)
+                last, unfinished = int(at[-1]), True
+                self._waiting.clear()
+                if n < len(waiting):
+                    self._waiting.put(self._packed(waiting[n:]))
+            left = int(waiting[n, 0]) if n < len(waiting) else None
         if unfinished and last + idle <= passed:
             active, unfinished = active + idle, False
         now = active // (TICK_SECONDS * 10**6)
@@ -70,8 +87,9 @@ class _Ticks(StatefulProcessor):
             self._wake_at(last + idle)
         if left is not None:
             self._wake_at(left)
-        for tick in range(ticks + 1, now + 1):
-            yield Row(user_id=key[0], tick=tick, active_seconds=tick * TICK_SECONDS)
+        if now > ticks:
+            tick = np.arange(ticks + 1, now + 1)
+            yield pd.DataFrame({"user_id": key[0], "tick": tick, "active_seconds": tick * TICK_SECONDS})
 
 
 def active_ticks(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -82,7 +100,7 @@ def active_ticks(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     later than `late` are left out; rows without a user or time have no activity.  State: one row a user and the events of `late`.
     """
     d = events.filter("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(0)).alias("event_id"))
-    return d.groupBy("user_id").transformWithState(_Ticks(), "user_id long, tick long, active_seconds long", "Append", "EventTime")
+    return d.groupBy("user_id").transformWithStateInPandas(_Ticks(), "user_id long, tick long, active_seconds long", "Append", "EventTime")
 
 
 def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,59 @@ def test_a_broken_table_is_an_error(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").selectExpr("CASE WHEN id >= 0 THEN raise_error('broken') END AS id").groupBy("id").count()
     with pytest.raises(Exception, match="broken|USER_RAISED"):
         E.run_to_table(stream, "broken").collect()
+
+
+def test_ticks_ask_the_state_a_few_times_for_any_number_of_events():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self, "_" + name)
+
+        def _get(self):
+            return iter(self.value or []) if isinstance(self.value, list | None) and self.many else self.value
+
+        def _update(self, value):
+            self.value = value
+
+        def _put(self, values):
+            self.value = list(values)
+
+        def _appendList(self, values):
+            self.value = (self.value or []) + list(values)
+
+        def _clear(self):
+            self.value = None
+
+    class Handle:
+        def getListState(self, *_):
+            s = State()
+            s.many = True
+            return s
+
+        def getValueState(self, *_):
+            s = State()
+            s.many = False
+            return s
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 6_000_000
+
+    ticks = E._Ticks()
+    ticks.init(Handle())
+    at = [n * 10**6 for n in range(10_000)]
+    rows = pd.DataFrame({"at": [*reversed(at), 0], "event_id": [*reversed(range(10_000)), 0]})
+    assert list(ticks.handleInputRows((7,), iter([rows]), Times())) == []
+    (out,) = ticks.handleExpiredTimer((7,), Times(), None)
+    assert out["active_seconds"].tolist() == list(range(10, 6001, 10)) and set(out["user_id"]) == {7}
+    left = [tuple(x) for v in ticks._waiting.get() for x in np.frombuffer(v[0], np.int64).reshape(-1, 2).tolist()]
+    assert left == [(n * 10**6, n) for n in range(6001, 10_000)]
+    assert len(calls) < 15
