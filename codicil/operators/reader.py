@@ -379,6 +379,17 @@ def _run_back(a: bytes, b: bytes, i: int, j: int) -> int:
     return found
 
 
+def _run_on(a: bytes, b: bytes, i: int, j: int) -> int:
+    """How many tokens from i and j on are equal, found likewise."""
+    most, found, step = min(len(a) // 4 - i, len(b) // 4 - j), 0, 1
+    while step:
+        if found + step <= most and a[4 * (i + found) : 4 * (i + found + step)] == b[4 * (j + found) : 4 * (j + found + step)]:
+            found, step = found + step, 2 * step
+        else:
+            step //= 2
+    return found
+
+
 def _reaches(a: bytes, b: bytes, n: int, m: int, most: int) -> list[list[int]] | None:
     """At [d][(k + d) // 2] the least i on the diagonal i - j = n - m + k from which d edits suffice up to both ends; None if over
     `most` are needed from the beginning.  Those of d edits come from those of d - 1 and the equal tokens before them."""
@@ -407,36 +418,47 @@ def _reaches(a: bytes, b: bytes, n: int, m: int, most: int) -> list[list[int]] |
     return None
 
 
+def _within(a: bytes, b: bytes) -> bool:
+    """Whether the tokens of a are in b, in order."""
+    i = j = 0
+    n, m = len(a) // 4, len(b) // 4
+    while i < n and n - i <= m - j:
+        same = _run_on(a, b, i, j)
+        i, j = i + same, j + max(1, same)
+    return i == n
+
+
 def word_diff_operations(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """(type, value) runs by a longest common subsequence; at equal lengths removing comes before adding.
 
-    From the ends backwards, the places from which d edits suffice are found for d = 0, 1, 2, …, so near copies take a
+    Where one list is within the other, only adding or only removing is left.  Else, from the ends backwards, the places from which d edits suffice are found for d = 0, 1, 2, …, so near copies take a
     time that grows with their difference.  The way forwards matches what is equal, and removes where that leaves an
     edit less to do, else adds.  Where the difference is not small against the lengths, the table of lengths is cheaper.
     """
     a, b = _codes(old, new)
     n, m = len(old), len(new)
-    levels = _reaches(a.tobytes(), b.tobytes(), n, m, 64 + int(0.1 * (n * m) ** 0.5))
+    first, second = a.tobytes(), b.tobytes()
+    one_way = _within(first, second) if n <= m else _within(second, first)
+    levels = [] if one_way else _reaches(first, second, n, m, 64 + int(0.1 * (n * m) ** 0.5))
     if levels is None:
         return _by_table(old, new, a, b)
-    first, second = a.tolist(), b.tolist()
     runs: list[list] = []
     i = j = 0
     d, base = len(levels) - 1, n - m
     while i < n or j < m:
-        if i < n and j < m and first[i] == second[j]:
-            kind, token, i, j = "same", old[i], i + 1, j + 1
+        if same := _run_on(first, second, i, j):
+            kind, found, i, j = "same", old[i : i + same], i + same, j + same
         else:
             d -= 1
             x = i + 1 - j - base + d
-            if j == m or (i < n and x % 2 == 0 and 0 <= x // 2 < len(levels[d]) and levels[d][x // 2] <= i + 1):
-                kind, token, i = "removed", old[i], i + 1
+            if n > m if one_way else j == m or (i < n and x % 2 == 0 and 0 <= x // 2 < len(levels[d]) and levels[d][x // 2] <= i + 1):
+                kind, found, i = "removed", old[i : i + 1], i + 1
             else:
-                kind, token, j = "added", new[j], j + 1
+                kind, found, j = "added", new[j : j + 1], j + 1
         if runs and runs[-1][0] == kind:
-            runs[-1][1].append(token)
+            runs[-1][1].extend(found)
         else:
-            runs.append([kind, [token]])
+            runs.append([kind, found])
     return [(kind, "".join(tokens)) for kind, tokens in runs]
 
 

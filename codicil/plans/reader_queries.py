@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.operators import reader as R
-from codicil.sources.tables import table
+from codicil.sources.tables import spread, table
 
 
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_copy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word differences of documents with an altered copy."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "$1, indeed, ").alias("new"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "$1, indeed, ").alias("new"))
     diff = R.word_diff(d, "text", "new")
     of = lambda *kinds: F.md5(F.array_join(F.transform(F.filter("diff", lambda x: x["type"].isin(*kinds)), lambda x: x["value"]), ""))
     return diff.select("doc_id", F.size("diff").alias("n_runs"), (of("same", "removed") == F.md5(F.coalesce("text", F.lit("")))).alias("old_whole"), (of("same", "added") == F.md5(F.coalesce("new", F.lit("")))).alias("new_whole"))

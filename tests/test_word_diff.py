@@ -3,6 +3,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from codicil.operators import reader as R
@@ -73,3 +74,21 @@ def test_query_keeps_both_texts_whole(spark):
     from codicil.plans import reader_queries as Q
 
     assert Q.near_copy_diff(spark, "/root/testdata/sf0.001").filter("NOT (old_whole AND new_whole)").count() == 0
+
+
+def test_many_additions_alone_take_a_time_that_grows_with_the_texts(monkeypatch):
+    """A list within the other is told in one way through; the search over all edits would take their square."""
+    old = [f"w{k % 97}" for k in range(4000)]
+    new = [t for k, w in enumerate(old) for t in ([w, ",", "indeed"] if k % 4 == 0 else [w])]
+    by_table = R._by_table(old, new, *R._codes(old, new)), R._by_table(new, old, *R._codes(new, old))
+    monkeypatch.setattr(R, "_reaches", lambda *_: pytest.fail("searched"))
+    assert R.word_diff_operations(old, new) == by_table[0]
+    assert R.word_diff_operations(new, old) == by_table[1]
+    assert R.word_diff_operations([], ["a"]) == [("added", "a")] and R.word_diff_operations(["a"], []) == [("removed", "a")]
+
+
+def test_slow_rows_of_one_file_are_dealt_over_all_cores(spark):
+    from codicil.sources.tables import spread
+
+    d = spread(spark.range(10, numPartitions=1))
+    assert d.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and d.count() == 10
