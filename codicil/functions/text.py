@@ -82,13 +82,13 @@ def is_placeholder(c: Column) -> Column:
     return F.transform(cleaned, lambda text: sum(F.contains(text, F.lit(p)).cast("int") for p in PLACEHOLDER_PHRASES) >= 2)[0]
 
 
-def page_verdict(c: Column, least_latin: int = LEAST_LATIN, least_words: int = LEAST_WORDS) -> Column:
-    """Why a page's own text will not do, or `good`."""
+def page_verdict(c: Column, least_latin: int = LEAST_LATIN, least_words: int = LEAST_WORDS, latin: Column | None = None, words: Column | None = None) -> Column:
+    """Why a page's own text will not do, or `good`; latin and words are the text's counts where they are known."""
     return (
         F.when(F.trim(F.regexp_replace(_text(c), r"\s+", " ")) == "", "empty")
         .when(is_placeholder(c), "xfa_placeholder")
-        .when(latin_characters(c) < least_latin, "too_few_english_characters")
-        .when(english_words(c) < least_words, "too_few_english_words")
+        .when((latin_characters(c) if latin is None else latin) < least_latin, "too_few_english_characters")
+        .when((english_words(c) if words is None else words) < least_words, "too_few_english_words")
         .otherwise("good")
     )
 

@@ -14,17 +14,19 @@ from codicil.functions import text as X
 
 def split_pages(docs: DataFrame, lines_per_page: int = 4) -> DataFrame:
     """(keys, page, text): a text's lines, so many to a page, page numbers from 1.  No shuffle."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    cuts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int"))
-    pages = F.transform(cuts, lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, lines_per_page), "\n"))
+    starts = lambda lines: F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int"))
+    cut = lambda lines: F.transform(starts(lines), lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, lines_per_page), "\n"))
+    # the text is split once, not once a page; no text is without pages, and an outer explode keeps Spark from
+    # making them a second time for a filter on their number
+    pages = X.let(F.split(F.coalesce("text", F.lit("")), "\n"), cut)
     others = [c for c in docs.columns if c != "text"]
-    return docs.select(*others, F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return docs.select(*others, F.posexplode_outer(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 def route_pages(pages: DataFrame) -> DataFrame:
     """Pages with their English text, its statistics, the verdict, and how the text is to be had."""
     english = pages.withColumn("english", X.english_lines(F.col("text")))
-    verdict = X.page_verdict(F.col("english"))
+    verdict = X.page_verdict(F.col("english"), latin=F.col("latin_characters"), words=F.col("english_words"))
     return (
         english.withColumn("latin_characters", X.latin_characters(F.col("english")))
         .withColumn("english_words", X.english_words(F.col("english")))
