@@ -44,6 +44,12 @@ def citation_index(ops: DataFrame) -> DataFrame:
     return ops.select(F.upper("principal_section").alias("section"), "doc_ord", "op_ord", "operation", F.trim("target").alias("target"), made.alias("citation"))
 
 
+def first_worded(ops: DataFrame) -> DataFrame:
+    """Of operations that differ in their places alone the first: all that a list of different citations needs."""
+    worded = ["principal_section", "operation", "title", "act_number", "target", "source_excerpt", "page_reference", "effective_date"]
+    return ops.groupBy(*worded).agg(F.min(F.struct("doc_ord", "op_ord")).alias("_first")).select(*worded, "_first.doc_ord", "_first.op_ord")
+
+
 def distinct_listed(rows: DataFrame, keys: list[str], note: str, order: list[str]) -> DataFrame:
     """(keys, note): each group's different notes in the order of their first occurrence, as an array."""
     first = rows.filter(F.coalesce(note, F.lit("")) != "").groupBy(*keys, note).agg(F.min(F.struct(*order)).alias("_first"))

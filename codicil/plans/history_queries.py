@@ -47,7 +47,7 @@ def citation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def section_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each section's different citations in order, joined."""
-    index = H.citation_index(operations(spark, sf_dir))
+    index = H.citation_index(H.first_worded(operations(spark, sf_dir)))
     return L.digests(L.listed(index, "section", F.col("citation"), ["doc_ord", "op_ord"]), "section").select("section", F.col("md5").alias("citations"), F.col("chars").cast("int").alias("chars"))
 
 
