@@ -1,12 +1,12 @@
-"""Substring dedup: paragraphs by MinHash bands, exact Jaccard, and components.
+"""Substring dedup: paragraphs by MinHash bands and rare shingles, exact Jaccard, and components.
 
 A text is a run of words, line ends being blanks like others, and is cut into paragraphs of LEAST_WORDS words at
 least: around each sentence of so many words, between shorter sentences, and inside very long ones, where a hash
 of the words around says so.  Every cut depends on words nearby alone, so that a passage is cut alike wherever
 it stands, and every word of a text that is long enough is in one paragraph.  Equal paragraphs
-share an id; similar ones meet in buckets of MinHash bands, are verified by exact Jaccard similarity of
-their 5-word shingles, and are clustered by connected components.  In each cluster the first occurrence stays
-and the others are removed.
+share an id; those that may be similar to others meet in buckets of MinHash bands.  Among them, similar ones share
+one of their rarest 5-word shingles, are verified by exact Jaccard similarity of these, and are clustered by
+connected components.  In each cluster the first occurrence stays and the others are removed.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from codicil.llm.ngram_join import row_key
 LEAST_WORDS = 12
 #: About so many shingles of paragraphs are in a block that is compared at once.
 BLOCK_SHINGLES, BLOCK = 20_000, 512
+#: Paragraphs are brought together by so many common shingles at most, more than one only where very many share one.
+LEVELS = 3
 #: Ids that a task remembers so that it sends the bands of a repeated paragraph about once.
 MEMO_IDS = 300_000
 #: Bytes of several texts that are cut up in one go.
@@ -176,9 +178,9 @@ def banded(docs: DataFrame, least_words: int, bands: int, per_band: int) -> Data
 
 
 def collisions(dealt: DataFrame) -> DataFrame:
-    """(bucket, key) of buckets with two different keys at least, each key once, from rows sorted by both.
+    """(key): the keys in buckets with two different keys at least, from rows (bucket, key) sorted by both.
 
-    The rows stream through; only the bucket's first key waits for a second one.
+    The rows stream through; only the bucket's first key waits for a second one.  A key comes once a bucket.
     """
 
     def rows(batches):
@@ -196,21 +198,117 @@ def collisions(dealt: DataFrame) -> DataFrame:
                 elif x != last:
                     last = x
                     if not shared:
-                        out.append((k, first))
+                        out.append(first)
                         shared = True
-                    out.append((k, x))
+                    out.append(x)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["bucket", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["key"])
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(rows, "bucket long, key long")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(rows, "key long")
+
+
+def shingled(texts: DataFrame) -> DataFrame:
+    """(id, set, shingles) of texts (id, text): the different shingles, and an id of them."""
+
+    def rows(batches):
+        for b in batches:
+            sets = list(S.shingle_sets(b.column(1)))
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(S.set_id, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "set", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(rows, "id binary, set binary, shingles array<long>")
+
+
+def ranked(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, least, room, rare) of those sets (id, shingles) that may be similar to another one.
+
+    n: shingles; least: how many of them a similar set has at least; rare: those that other sets have too, rarest
+    first.  Of `n - least + k` shingles in one order of all, similar sets have k in common, if they have as many at
+    all; n - size(rare) of them, which come first, are in no other set, so that the first room + k of rare are left.
+    """
+    n = F.size("shingles")
+    each = sets.select("id", n.alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    own = each.join(often.select(dealt_anew("s", "long"), "f"), "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s")))["s"].alias("rare"))
+    least = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int")
+    return own.withColumn("least", least).withColumn("room", F.size("rare") - F.col("least")).filter("room >= 0").select("id", "n", "least", "room", "rare")
+
+
+def sharing(units: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, id, blocks) of the groups of units of ranked() in which all similar ones meet, and of those of several blocks.
+
+    Units meet by a shingle; where more than a block share it, by it and another one that similar ones must share
+    too, and so on.  Of groups with the same members one is looked at.
+    """
+    now = units.select("id", "n", F.explode(F.slice("rare", 1, F.col("room") + 1)).alias("s")).select("id", "n", F.array("s").alias("by"))
+    members = [F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit("x"), "id")).alias("xor")]
+    small = None
+    for level in range(2, LEVELS + 2):
+        now = now.withColumn("bucket", F.xxhash64("by"))
+        sizes = now.groupBy("bucket").agg(*members, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")).filter("size > 1")
+        sizes = sizes.groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks"))
+        now = cut(now.join(sizes.select(dealt_anew("bucket", "long"), "blocks"), "bucket"), "sharing")
+        one, large = now.filter("blocks = 1").select("bucket", "id", "blocks"), now.filter("blocks > 1")
+        small = one if small is None else small.unionByName(one)
+        if large.isEmpty():
+            return small, None
+        if level > LEVELS:
+            break
+        again = large.join(units.select(dealt_anew("id"), "least", "room", "rare"), "id")
+        more = again.select("id", "n", "by", F.explode(F.array_except(F.slice("rare", 1, F.col("room") + level), F.col("by"))).alias("s"))
+        more = more.select("id", "n", F.array_sort(F.concat("by", F.array("s"))).alias("by")).distinct()
+        # sets of fewer shingles than that are similar to others by fewer
+        now = more.unionByName(again.filter(F.col("least") < level).select("id", "n", "by"))
+    return small, large.select("bucket", "id", "blocks")
+
+
+def linked(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, root) of the sets (id, set, shingles) that are linked to others: those of equal sets, and of similar ones.
+
+    A group of several blocks first has each block by itself and with the first one, which links those that are all
+    alike.  Then what is not in the group's largest component is compared with all of the group, so that rows
+    grow with the square of a group's size only if its sets share LEVELS rare shingles and yet are not linked.
+    """
+    firsts = cut(sets.groupBy("set").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles"), F.count("*").alias("copies")), "sets")
+    equal = sets.join(firsts.filter("copies > 1").select(dealt_anew("set"), F.col("id").alias("b")), "set").select(F.col("id").alias("a"), "b")
+    units = cut(ranked(firsts, threshold), "ranked")
+    small, large = sharing(units)
+    shingles = firsts.join(units.select("id"), "id", "left_semi").select(dealt_anew("id"), "shingles")
+    found = lambda placed: verified_edges(S.together(placed.join(shingles, "id"), "bucket"), threshold)
+    one = small.select("bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("mine"), "id")
+    if large is None:
+        return S.components(found(one).unionByName(equal))
+    d = large.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    first = d.withColumn("other", F.explode(F.when(F.col("mine") == 0, F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(F.lit(0), F.col("mine")))))
+    first = first.select("bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "id")
+    roots = cut(S.components(found(one.unionByName(first)).unionByName(equal)), "roots")
+    d = large.join(roots.select(dealt_anew("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    parts = cut(d.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks")), "parts")
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.first("blocks").alias("blocks")).filter("n > main.n")
+    if main.isEmpty():
+        return roots
+    # blocks of what is apart come first, those of the largest component after them
+    of = lambda n: F.ceil(F.col("blocks") * n / F.col("n")).cast("int")
+    main = main.select(dealt_anew("bucket", "long"), F.col("main.root").alias("main"), of(F.col("n") - F.col("main.n")).alias("apart"), of(F.col("main.n")).alias("within"))
+    d = d.select("bucket", "id", "root").join(main, "bucket").withColumn("inside", F.col("root") == F.col("main"))
+    d = d.withColumn("mine", F.when(F.col("inside"), F.col("apart") + F.pmod(F.xxhash64("id"), F.col("within").cast("long"))).otherwise(F.pmod(F.xxhash64("id"), F.col("apart").cast("long"))).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("apart") + F.when(F.col("inside"), 0).otherwise(F.col("within")) - 1)))
+    rest = d.select("bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "mine", "id")
+    return S.components(found(rest).unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
 def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
-    """A forest of the pairs whose Jaccard similarity reaches the threshold, from (bucket, bi, bj, mine, id, text)."""
+    """A forest of the pairs whose Jaccard similarity reaches the threshold, from (bucket, bi, bj, mine, id, shingles)."""
+
+    def arrays(column):
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            yield values[lo:hi]
 
     def rows(batches):
         a, b = [], []
-        for group in S.block_groups(batches, 3, S.shingle_sets):
+        for group in S.block_groups(batches, 3, arrays):
             if len(a) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                 a, b = [], []
@@ -234,7 +332,7 @@ def verified_edges(blocks: DataFrame, threshold: float) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return blocks.select("bucket", "bi", "bj", "mine", "id", "text").mapInArrow(rows, "a binary, b binary")
+    return blocks.select("bucket", "bi", "bj", "mine", "id", "shingles").mapInArrow(rows, "a binary, b binary")
 
 
 def duplicate_paragraphs(docs: DataFrame, threshold: float = S.THRESHOLD, least_words: int = LEAST_WORDS, recall: float = 0.996) -> DataFrame:
@@ -256,24 +354,15 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = S.THRESHOLD, least_
     found = cut(occurrences(d, least_words), "paragraphs")  # rows have their numbers from here on
     half = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long")
     sets = found.groupBy("id").agg(F.count("*").alias("n")).withColumn("key", half)
-    sets = sets.join(met.select("key").distinct().select(dealt_anew("key", "long"), F.lit(True).alias("met")), "key", "left").filter("n > 1 OR met")
-    sets = cut(sets.select("id", "key", "n", F.coalesce("met", F.lit(False)).alias("met")), "paragraph-sets")
+    sets = sets.join(met.distinct().select(dealt_anew("key", "long"), F.lit(True).alias("met")), "key", "left").filter("n > 1 OR met")
+    sets = cut(sets.select("id", "n", F.coalesce("met", F.lit(False)).alias("met")), "paragraph-sets")
     held = cut(found.join(sets.select("id"), "id"), "paragraphs-held")
     # whose text: one occurrence of each colliding paragraph, taken out of its row's text
-    wanted = held.groupBy("id").agg(F.min(F.struct("key", "start", "end")).alias("at"), F.first("words").alias("words"))
-    wanted = cut(wanted.join(sets.filter("met").select(dealt_anew("id"), F.col("key").alias("half")), "id"), "paragraphs-wanted")
+    wanted = held.join(sets.filter("met").select(dealt_anew("id")), "id").groupBy("id").agg(F.min(F.struct("key", "start", "end")).alias("at"))
     of_row = wanted.groupBy(F.col("at.key").alias("_key")).agg(F.collect_list(F.struct("id", "at.start", "at.end")).alias("of"))
     texts = docs.select(row_key().alias("key"), "text").join(of_row.select(dealt_anew("_key", "long"), "of"), F.col("key") == F.col("_key"))
     texts = texts.select("text", F.explode("of").alias("o")).select("o.id", F.expr("substring(text, cast(o.start as int) + 1, cast(o.end - o.start as int))").alias("text"))
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-    met = met.join(wanted.select(F.col("half").alias("key"), "id", "words"), "key").select("bucket", "id", "words")
-    # copies meet in several bands: of buckets with the same members one is looked at
-    members = [F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit("x"), "id")).alias("xor")]
-    sizes = met.groupBy("bucket").agg(*members, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_SHINGLES)).alias("blocks"))
-    sizes = sizes.groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks"))
-    placed = S.in_blocks(met.join(sizes.select(dealt_anew("bucket", "long"), "blocks"), "bucket"), F.col("blocks"))
-    edges = verified_edges(S.together(placed.join(texts.select(dealt_anew("id"), "text"), "id"), "bucket"), threshold)
-    roots = S.components(edges)
+    roots = linked(cut(shingled(texts.groupBy("id").agg(F.min("text").alias("text"))), "paragraphs-wanted"), threshold)
     clustered = sets.join(roots, "id", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "id"))
     clusters = clustered.groupBy("root").agg(F.sum("n").alias("n_occurrences")).filter("n_occurrences > 1")
     named = cut(clustered.select("id", "root").join(clusters.select(dealt_anew("root"), "n_occurrences"), "root"), "clusters")

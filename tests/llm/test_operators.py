@@ -79,6 +79,40 @@ def test_op1_odd(spark, odd, nothing):
     assert all("thirteen" not in r.text for r in cleaned.filter("doc_id = 6").collect())
 
 
+def paragraphs_of_groups(n):
+    """(doc_id, text) of n paragraphs each that are all alike, that share a few rare words alone, of some groups of alike ones, and that are equal sets."""
+    rng = np.random.default_rng(5)
+    some = lambda k: [f"w{x}" for x in rng.integers(0, 10**9, k)]
+    core, near, parts = some(30), some(11), [some(14) for _ in range(4)]
+    texts = [" ".join(core + some(1)) for _ in range(n)]
+    texts += [" ".join(some(8) + near[:6] + some(8)) for _ in range(n)]
+    texts += [" ".join(near[:8] + parts[i % 4] + some(1)) for i in range(n)]
+    texts += [" ".join(["na"] * (12 + i)) for i in range(8)]
+    texts += [" ".join(near + core[: 10 + i % 12]) for i in range(n // 4)]
+    return list(enumerate(texts))
+
+
+def test_op1_large_groups(spark, monkeypatch):
+    """Groups of several blocks: the clusters of a brute-force version, and rows that grow with the paragraphs, not with their square."""
+    dealt, plain = [], substring_dedup.verified_edges
+
+    def counted(blocks, threshold):
+        dealt[-1] += blocks.count()
+        return plain(blocks, threshold)
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4)
+    monkeypatch.setattr(substring_dedup, "verified_edges", counted)
+    for n in (32, 128):
+        dealt.append(0)
+        texts = paragraphs_of_groups(n)
+        rows = substring_dedup.duplicate_paragraphs(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        units = {(d, start, end): shingle_set(p) for d, t in texts for start, end, p, _ in substring_dedup.paragraphs(t)}
+        root = roots_of(units, links_of(units))
+        size = collections.Counter(root.values())
+        assert {(r.doc_id, r.start, r.end, r.class_doc_id, r.class_start, r.n_occurrences) for r in rows} == {(*u, root[u][0], root[u][1], size[root[u]]) for u in units if size[root[u]] > 1}
+    assert 0 < dealt[1] < 6 * dealt[0]
+
+
 def shared_runs(texts, n=50):
     """(key, word, key, word, length) of maximal runs of n words or more that two texts share, by brute force."""
     words, at, found = {k: WORD.findall(t or "") for k, t in texts.items()}, collections.defaultdict(list), set()
