@@ -8,18 +8,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from codicil.functions import text as X
+from codicil.operators import lists as L
 from codicil.operators import statute as S
+from codicil.sources.shared import cut
+
+#: Rows of a part of a section's wording, and those of the next part that go with it.
+PART_ROWS, MORE_ROWS = 128, 32
+
+
+def _wording(fragments: DataFrame) -> DataFrame:
+    """(chapter, section, ord, chapter_title, title, row): what is searched of each fragment."""
+    row = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("subsection_no", "clause_no", "text", "note")])
+    return fragments.filter(S.real_chapter(F.col("chapter_no"))).select(S.key(F.col("chapter_no")).alias("chapter"), F.upper("section_no").alias("section"), "ord", "chapter_title", "title", row.alias("row"))
+
+
+def _heads(wording: DataFrame) -> DataFrame:
+    """(chapter, section, position, _head): a section's first place, and the titles there with its numbers.
+
+    Places are added up before titles are looked at, as a least title would have Spark sort all rows.
+    """
+    at = wording.groupBy("chapter", "section").agg(F.min("ord").alias("position"))
+    first = wording.join(at.select(F.struct("chapter", "section", F.col("position").alias("ord")).alias("_at")), F.struct("chapter", "section", "ord") == F.col("_at"))
+    heads = first.groupBy("chapter", "section").agg(F.first("ord").alias("position"), F.min_by("chapter_title", "ord").alias("_ct"), F.min_by("title", "ord").alias("_t"))
+    return heads.select("chapter", "section", "position", F.concat_ws(" ", "chapter", "_ct", "section", "_t").alias("_head"))
 
 
 def search_blobs(fragments: DataFrame) -> DataFrame:
     """(chapter, section, position, blob): all of a section's wording, lower case, in order."""
-    f = fragments.filter(S.real_chapter(F.col("chapter_no"))).withColumn("chapter", S.key(F.col("chapter_no"))).withColumn("section", F.upper("section_no"))
-    row = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("subsection_no", "clause_no", "text", "note")])
-    parts = F.array_sort(F.collect_list(F.struct("ord", row.alias("row"))))
-    g = f.groupBy("chapter", "section").agg(F.min("ord").alias("position"), F.min_by("chapter_title", "ord").alias("_ct"), F.min_by("title", "ord").alias("_t"), F.transform(parts, lambda p: p["row"]).alias("_rows"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "row")))
+    g = _wording(fragments).groupBy("chapter", "section").agg(F.min("ord").alias("position"), F.min_by("chapter_title", "ord").alias("_ct"), F.min_by("title", "ord").alias("_t"), F.transform(parts, lambda p: p["row"]).alias("_rows"))
     return g.select("chapter", "section", "position", F.lower(F.concat_ws(" ", "chapter", "_ct", "section", "_t", F.array_join("_rows", " "))).alias("blob"))
 
 
+def search_parts(fragments: DataFrame) -> DataFrame:
+    """(chapter, section, position, nth, own, part): search_blobs() in parts, so that no row grows with a section.
+
+    The first `own` characters of each part, in the order of nth, make up the blob.  After them a part goes on with the
+    first MORE_ROWS rows of the next, each of one character at least, so that what lies across two parts is whole in one.
+    """
+    f, of = _wording(fragments), F.struct("chapter", "section").alias("_of")
+    heads = cut(_heads(f).select(of, "position", "_head"), "heads")  # they go to the sort, which reads its rows twice, and to the parts
+    rows = f.select(of, F.lit(1).alias("_kind"), "ord", F.concat(F.lit(" "), "row").alias("_row"))
+    rows = heads.select("_of", F.lit(0).alias("_kind"), F.col("position").alias("ord"), F.col("_head").alias("_row")).unionByName(rows)
+    home = F.expr(f"rank div {PART_ROWS}")
+    also = F.when((F.col("rank") % PART_ROWS < MORE_ROWS) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    dealt = L.ranked(rows, "_of", "_row", ["_kind", "ord"], distinct=False).select("_of", "rank", home.alias("_home"), F.lower("_row").alias("_text"), F.explode(also).alias("nth"))
+    own = F.sum(F.when(F.col("_home") == F.col("nth"), F.length("_text")))
+    held = F.array_sort(F.collect_list(F.struct("rank", "_text")))
+    parts = dealt.groupBy("_of", "nth").agg(own.alias("own"), F.array_join(F.transform(held, lambda x: x["_text"]), "").alias("part"))
+    return parts.join(heads.select("_of", "position"), "_of").select("_of.*", "position", "nth", "own", "part")
+
+
 def search(blobs: DataFrame, query: str, limit: int = 6) -> DataFrame:
     """The first sections in reading order whose text holds the query, literally; none for under two characters."""
     q = query.strip().lower()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,16 @@ def _pieces(text: Column) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), overlapping)
 
 
+def _trigrams(text: str) -> list[int]:
+    """The different trigrams of a text as numbers of three code points, in order."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]).tolist()
+
+
+def _spelt(gram: int) -> str:
+    return chr(gram >> 42) + chr(gram >> 21 & 0x1FFFFF) + chr(gram & 0x1FFFFF)
+
+
 def postings(texts: DataFrame, doc: str, text: str) -> DataFrame:
     """(gram, list, docs): the texts that hold a trigram, sorted, in lists of texts that a task reads one after the other.
 
@@ -53,7 +64,7 @@ def postings(texts: DataFrame, doc: str, text: str) -> DataFrame:
             docs = [sorted(set(held[g])) for g in grams]
             for lo in range(0, len(grams), ROWS_AT_ONCE):
                 at = grams[lo : lo + ROWS_AT_ONCE]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array([number] * len(at), pa.int64()), pa.array(docs[lo : lo + ROWS_AT_ONCE], pa.list_(pa.int64()))], names=["gram", "list", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_spelt, at), pa.string()), pa.array([number] * len(at), pa.int64()), pa.array(docs[lo : lo + ROWS_AT_ONCE], pa.list_(pa.int64()))], names=["gram", "list", "docs"])
 
         for b in batches:
             for of, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -62,7 +73,7 @@ def postings(texts: DataFrame, doc: str, text: str) -> DataFrame:
                         yield from full()
                         held, n, entries, number = {}, 0, 0, number + 1
                     last, n = of, n + 1
-                for g in {piece[i : i + 3] for i in range(len(piece) - 2)}:
+                for g in _trigrams(piece):
                     docs = held.setdefault(g, [])
                     if not docs or docs[-1] != of:
                         docs.append(of)
@@ -121,7 +132,10 @@ def find(spark: SparkSession, path: str, query: str, doc: str = "doc", text: str
     Folders of texts without a candidate are not read where the candidates are few enough to be broadcast, and
     each candidate is verified by its whole text.
     """
-    q = query.strip().lower()
+    return _holding(spark, path, query.strip().lower(), doc, text)
+
+
+def _holding(spark: SparkSession, path: str, q: str, doc: str, text: str) -> DataFrame:
     about = spark.read.parquet(f"{path}/about").first()
     texts = spark.read.schema(StructType.fromJson(json.loads(about["columns"]))).parquet(f"{path}/texts")
     if len(q) < 2:
@@ -136,3 +150,22 @@ def find(spark: SparkSession, path: str, query: str, doc: str = "doc", text: str
 def search(spark: SparkSession, path: str, query: str, limit: int = 6, doc: str = "doc", text: str = "text", order: str = "position") -> DataFrame:
     """The first rows by `order` that find() finds."""
     return find(spark, path, query, doc, text).orderBy(order).limit(limit)
+
+
+def find_parts(spark: SparkSession, path: str, query: str, keys: list[str], rows: int, more: int, doc: str = "doc", text: str = "part") -> DataFrame:
+    """(keys): the texts that hold a query, of an index of their parts as reader.search_parts() makes them.
+
+    A part holds `more` characters of the next at least, so a query that is no longer by more than one is whole in a
+    part.  Of a longer one the beginning is looked up, and what follows a hit is read: all parts but the last have `rows`
+    characters at least, so the query says how many.
+    """
+    q = query.strip().lower()
+    hits = _holding(spark, path, q[: more + 1], doc, text)
+    if len(q) <= more + 1:
+        return hits.select(*keys).distinct()
+    following = F.explode(F.sequence("nth", F.col("nth") + -(-len(q) // rows))).alias("nth")
+    asked = hits.select(F.struct(*keys).alias("_of"), F.col("nth").alias("_from"), following)
+    own = spark.read.schema(hits.schema).parquet(f"{path}/texts").select(F.struct(*keys).alias("_of"), "nth", F.left(F.col(text), F.col("own")).alias("_text"))
+    held = F.array_sort(F.collect_list(F.struct("nth", "_text")))
+    whole = asked.join(own, ["_of", "nth"]).groupBy("_of", "_from").agg(F.array_join(F.transform(held, lambda x: x["_text"]), "").alias("_text"))
+    return whole.filter(F.contains("_text", F.lit(q))).select("_of.*").distinct()

@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from codicil.operators import reader as R
 from codicil.operators import search_index as I
+from codicil.plans import search_queries, statute_queries
 
 
 def built(spark, tmp_path, rows, name="index"):
@@ -71,3 +73,34 @@ def test_lists_are_whole_where_they_are_made(spark, monkeypatch):
     rows = d.collect()
     assert len({(r.gram, r.list) for r in rows}) == len(rows) and all(len(r.docs) <= 7 and r.docs == sorted(set(r.docs)) for r in rows)
     assert sorted(x for r in rows if r.gram == "mbe" for x in r.docs) == list(range(100))
+
+
+def test_parts_of_sections_against_their_whole_text(spark, tmp_path, monkeypatch):
+    """Numbers and texts that are null or empty, ties, queries within a part, over two and over many."""
+    monkeypatch.setattr(R, "PART_ROWS", 5)
+    monkeypatch.setattr(R, "MORE_ROWS", 2)
+    dealt = random.Random(4)
+    one = dealt.choice
+    rows = [(one(["I", "i ", "II", "N/A", None, ""]), one(["1a", "1A", "2", None, ""]), [None, "", "C"][o % 3 if o else 0], ["title", None, ""][o % 5 % 3 if o else 1], one(["", "(1)", None]), one(["(a)", "", None]), one(["text", "Ab c", "é𝒳", "", None, "ΟΔΟΣ"]), one(["", "note", None]), o) for o in [one([i, i // 3, None]) for i in range(400)]]
+    fragments = spark.createDataFrame(rows + [("III", "9", "c", "t", "", None, "", "", 1)], "chapter_no string, section_no string, chapter_title string, title string, subsection_no string, clause_no string, text string, note string, ord long")
+    parts = R.search_parts(fragments).withColumn("doc", F.xxhash64("chapter", "section", "nth"))
+    got = sorted(parts.collect(), key=lambda r: r.nth)
+    blobs = {(r.chapter, r.section, r.position): r.blob for r in R.search_blobs(fragments).collect()}
+    assert {k: "".join(r.part[: r.own] for r in got if (r.chapter, r.section, r.position) == k) for k in blobs} == blobs and len(got) > 2 * len(blobs)
+    path = f"file://{tmp_path}/parts"
+    I.write_index(parts, path, text="part")
+    long = max(blobs.values(), key=len)
+    for q in [long[i : i + n] for i, n in ((3, 2), (16, 4), (40, 9), (29, 70), (len(long) // 2, 90))] + [long, long + "x", "a  (", " ab ", "A"]:
+        want = {k for k, blob in blobs.items() if len(q.strip()) >= 2 and q.strip().lower() in blob}
+        found = I.find_parts(spark, path, q, ["chapter", "section", "position"], R.PART_ROWS, R.MORE_ROWS).collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want), q
+
+
+def test_no_text_of_the_index_grows_with_a_section(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART_ROWS", 7, raising=False)
+    monkeypatch.setattr(R, "MORE_ROWS", 2, raising=False)
+    longest, write = [], I.write_index
+    monkeypatch.setattr(I, "write_index", lambda texts, path, doc="doc", text="text": (longest.append(texts.agg(F.max(F.length(text))).first()[0]), write(texts, path, doc, text)))
+    small = "/root/testdata/sf0.001"
+    assert search_queries.indexed_search(spark, small).collect() == statute_queries.local_search(spark, small).collect()
+    assert longest and max(longest) < 1000
