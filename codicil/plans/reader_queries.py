@@ -25,7 +25,7 @@ def glossary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of a glossary of any size, here all words and pairs of words of the benchmark."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("provision_id"), F.explode(F.concat(F.filter(words, lambda x: F.length(x) >= 6), pairs)).alias("term"))
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("provision_id"), F.explode(F.concat(words, pairs)).alias("term"))
     glossary = w.groupBy("term").agg(F.min("provision_id").alias("provision_id")).withColumn("ord", -F.length("term"))  # the longer first
     return R.glossary_spans(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("provision_id"), "text")), glossary)
 
