@@ -137,11 +137,14 @@ def glossary_spans(provisions: DataFrame, glossary: DataFrame) -> DataFrame:
     run = lambda n: rf"(?<![A-Za-z0-9])(?=([A-Za-z0-9]++(?:[^A-Za-z0-9]++[A-Za-z0-9]++){{{n - 1}}}))"  # noqa: E731  n words from each word on
     by_size = F.array(*[F.struct(F.lit(n).alias("_size"), F.regexp_extract_all("text", F.lit(run(n)), 1).alias("_runs")) for n in sorted(sizes)])
     runs = provisions.select("provision_id", F.explode(by_size).alias("_of")).select("provision_id", "_of._size", F.posexplode("_of._runs").alias("_at", "found"))
-    hits = runs.withColumn("_key", lower(F.col("found"))).join(terms, ["_key", "_size"]).filter(~F.col("owner").eqNullSafe(F.col("provision_id")))
-    first = hits.groupBy("provision_id", "_at").agg(F.min_by(F.struct("_at", "_size", "found", "term", "owner"), F.struct("ord", "owner")).alias("_hit"))
-    in_order = first.groupBy("provision_id").agg(F.array_sort(F.collect_list("_hit")).alias("_hits"))
-    kept = in_order.withColumn("_kept", _apart("_hits._at", "_hits._size"))
-    return kept.select("provision_id", F.posexplode(F.transform("_kept", lambda i: F.get("_hits", i))).alias("nth", "_hit")).select("provision_id", "nth", "_hit.found", "_hit.term", "_hit.owner")
+    of_owner = terms.groupBy("_key", "_size", "owner").agg(F.min(F.struct("ord", "term")).alias("_first")).select("_key", "_size", "owner", "_first.*")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("ord", "owner"))
+    asked = of_owner.withColumn("_nth", nth).filter("_nth <= 2").drop("_nth")  # a provision leaves out its own, so it takes one of two owners' terms
+    hits = runs.withColumn("_key", lower(F.col("found"))).join(asked, ["_key", "_size"]).filter(~F.col("owner").eqNullSafe(F.col("provision_id")))
+    hit = F.struct("_at", "ord", "owner", "_size", "found", F.when(F.col("term") != F.col("found"), F.col("term")).alias("term"))  # at one place all but the first overlap it
+    kept = hits.groupBy("provision_id").agg(F.array_sort(F.collect_list(hit)).alias("_hits")).withColumn("_kept", _apart("_hits._at", "_hits._size"))
+    found = kept.select("provision_id", F.posexplode(F.transform("_kept", lambda i: F.get("_hits", i))).alias("nth", "_hit"))
+    return found.select("provision_id", "nth", "_hit.found", F.coalesce("_hit.term", "_hit.found").alias("term"), "_hit.owner")
 
 
 def cross_references(texts: DataFrame, sections: DataFrame) -> DataFrame:
